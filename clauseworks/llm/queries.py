@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import citations, encoding, mixing, splitting
+from clauseworks.llm import citations, encoding, mixing, neardup, splitting
 from clauseworks.session import table
 
 
@@ -19,6 +19,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "analyze_clause", "clause_id", "clause"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(table(spark, sf_dir, "analyze_clause", "clause_id", "clause")).select("clause_id_a", "clause_id_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "analyze_clause", "clause_id", "clause"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "compliance_result", "result_id", "citations")
     return citations.map_citations(results, table(spark, sf_dir, "statute_section")).select("result_id", "pos", "section_id")
@@ -43,7 +51,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p5_found, p7_ids, p8_mix, p8_shares)
+    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p7_ids, p8_mix, p8_shares)
     return {f.__name__: f for f in named}
 
 
