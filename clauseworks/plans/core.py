@@ -1,15 +1,451 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the domain tables, and the SQL that says the same to DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clauseworks.functions import scalars as S
+from clauseworks.operators import clauses as C
+from clauseworks.operators import integrity, lookup, mutate, relations, retrieve, rollup, validation
+from clauseworks.schemas import AGREEMENT_STATUS, ANALYSIS_STATUS, SEVERITY, STATUS_LABEL, STATUS_VARIANT
+from clauseworks.session import table
+from clauseworks.sources import tables as sources
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+NOW = "2026-01-01 00:00:00"
+#: the rows of a table that was partly delivered twice
+AGREEMENTS, ANALYSES = "(SELECT DISTINCT * FROM agreements)", "(SELECT DISTINCT * FROM analyses)"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return lookup.once(table(spark, sf_dir, name))
+
+
+def _case(column: str, labels: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + " END"
+
+
+@query(f"""
+SELECT id, file_name, status, {_case("status", STATUS_LABEL)} AS label, {_case("status", STATUS_VARIANT)} AS variant,
+       strftime(uploaded_at, '%Y/%-m/%-d') AS uploaded
+FROM {AGREEMENTS} WHERE user_id = (SELECT min(id) FROM users WHERE id IN (SELECT user_id FROM agreements)) ORDER BY uploaded_at DESC, id""")
+def owner_list_desc(spark, sf_dir):
+    agreements = table(spark, sf_dir, "agreements", "id", "user_id", "file_name", "status", "uploaded_at")
+    users = table(spark, sf_dir, "users", "id")
+    owner = relations.present(users, agreements, "id", "user_id").agg(F.min("id")).first()[0]
+    mine = lookup.owned_by(lookup.once(agreements.filter(F.col("user_id") == owner)), owner)
+    return mine.select("id", "file_name", "status", S.labelled(F.col("status"), STATUS_LABEL).alias("label"), S.labelled(F.col("status"), STATUS_VARIANT).alias("variant"), S.list_date(F.col("uploaded_at")).alias("uploaded"))
+
+
+@query(f"""
+SELECT user_id, id, uploaded_at, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at DESC NULLS LAST, id) AS place
+FROM {AGREEMENTS} QUALIFY place <= 3""")
+def newest_of_each_owner(spark, sf_dir):
+    agreements = lookup.once(table(spark, sf_dir, "agreements"))
+    return lookup.newest_for_each(agreements, "user_id", "uploaded_at", "id", 3).select("user_id", "id", "uploaded_at", "place")
+
+
+@query("SELECT id, email, name FROM users WHERE id = (SELECT max(id) FROM users)")
+def point_lookup(spark, sf_dir):
+    users = table(spark, sf_dir, "users", "id", "email", "name")
+    return lookup.by_key(users, id=users.agg(F.max("id")).first()[0])
+
+
+@query("SELECT id AS user_id, email, name FROM users WHERE email = (SELECT min(email) FROM users)")
+def email_lookup(spark, sf_dir):
+    users = table(spark, sf_dir, "users", "id", "email", "name")
+    return lookup.by_key(users, email=users.agg(F.min("email")).first()[0]).withColumnRenamed("id", "user_id")
+
+
+@query("""
+SELECT a.analysis_id, a.clause_index, a.clause_id, a.clause_title FROM analyze_clause a
+JOIN (SELECT analysis_id, max(clause_index) AS clause_index FROM analyze_clause GROUP BY analysis_id) k
+ON a.analysis_id = k.analysis_id AND a.clause_index = k.clause_index""")
+def composite_lookup(spark, sf_dir):
+    """The last clause of each analysis by its two-column key."""
+    clauses = table(spark, sf_dir, "analyze_clause", "analysis_id", "clause_index", "clause_id", "clause_title")
+    keys = clauses.groupBy("analysis_id").agg(F.max("clause_index").alias("clause_index"))
+    return clauses.join(keys, ["analysis_id", "clause_index"])
+
+
+@query(f"SELECT a.id, a.file_name, u.id AS user_id, u.email AS user_email, u.name AS user_name FROM {AGREEMENTS} a JOIN users u ON a.user_id = u.id")
+def include_owner(spark, sf_dir):
+    agreements = lookup.once(table(spark, sf_dir, "agreements")).select("id", "file_name", F.col("user_id").alias("owner"))
+    users = table(spark, sf_dir, "users", "id", "email", "name")
+    return relations.include(agreements, users, "owner", "user_").select("id", "file_name", "user_id", "user_email", "user_name")
+
+
+@query(f"SELECT id, status FROM {AGREEMENTS} a WHERE EXISTS (SELECT 1 FROM analyses s WHERE s.agreement_id = a.id)")
+def key_exists(spark, sf_dir):
+    return relations.present(_once(spark, sf_dir, "agreements"), table(spark, sf_dir, "analyses"), "id", "agreement_id").select("id", "status")
+
+
+@query(f"SELECT id, status FROM {AGREEMENTS} a WHERE NOT EXISTS (SELECT 1 FROM analyses s WHERE s.agreement_id = a.id)")
+def key_absent(spark, sf_dir):
+    return relations.absent(_once(spark, sf_dir, "agreements"), table(spark, sf_dir, "analyses"), "id", "agreement_id").select("id", "status")
+
+
+@query(f"""
+SELECT a.user_id, a.id AS agreement_id, s.id AS analysis_id, s.status AS analysis_status, c.clause_id, c.clause_index
+FROM {AGREEMENTS} a LEFT JOIN {ANALYSES} s ON s.agreement_id = a.id LEFT JOIN analyze_clause c ON c.analysis_id = s.id""")
+def agreement_chain(spark, sf_dir):
+    clauses = table(spark, sf_dir, "analyze_clause", "analysis_id", "clause_id", "clause_index")
+    return relations.chain(_once(spark, sf_dir, "agreements"), _once(spark, sf_dir, "analyses"), clauses).select("user_id", "agreement_id", "analysis_id", "analysis_status", "clause_id", "clause_index")
+
+
+@query(f"""
+SELECT a.id, a.prev_doc, p.status AS previous_status FROM {AGREEMENTS} a LEFT JOIN {AGREEMENTS} p ON a.prev_doc = p.id WHERE a.prev_doc IS NOT NULL""")
+def previous_version(spark, sf_dir):
+    agreements = _once(spark, sf_dir, "agreements")
+    old = agreements.select(F.col("id").alias("prev_doc"), F.col("status").alias("previous_status"))
+    return agreements.filter("prev_doc is not null").join(old, "prev_doc", "left").select("id", "prev_doc", "previous_status")
+
+
+_REQUESTS = f"""
+(SELECT id AS agreement_id, user_id AS caller FROM {AGREEMENTS} WHERE status <> 'FAILED'
+ UNION ALL SELECT id, (SELECT min(id) FROM users) FROM {AGREEMENTS} WHERE status = 'FAILED'
+ UNION ALL SELECT agreement_id || '-gone', id FROM {ANALYSES})"""
+
+
+@query(f"""
+SELECT r.agreement_id, r.caller, CASE WHEN a.user_id IS NULL THEN 404 WHEN a.user_id <> r.caller THEN 403 ELSE 204 END AS code
+FROM {_REQUESTS} r LEFT JOIN {AGREEMENTS} a ON a.id = r.agreement_id""")
+def guarded_delete_outcome(spark, sf_dir):
+    agreements, analyses = _once(spark, sf_dir, "agreements"), _once(spark, sf_dir, "analyses")
+    other = table(spark, sf_dir, "users", "id").agg(F.min("id")).first()[0]
+    caller = F.when(F.col("status") == "FAILED", F.lit(other)).otherwise(F.col("user_id"))
+    requests = agreements.select(F.col("id").alias("agreement_id"), caller.alias("caller")).unionAll(analyses.select(F.concat("agreement_id", F.lit("-gone")), "id"))
+    return validation.deletion(requests, agreements).select("agreement_id", "caller", "code")
+
+
+def _left(spark, sf_dir):
+    tables = {"users": table(spark, sf_dir, "users"), "agreements": _once(spark, sf_dir, "agreements"), "analyses": _once(spark, sf_dir, "analyses"), "clause_results": table(spark, sf_dir, "analyze_clause")}
+    return mutate.cascade(tables, "users", table(spark, sf_dir, "users").filter("name is null").select("id"))
+
+
+@query(f"""
+WITH u AS (SELECT id FROM users WHERE name IS NOT NULL), a AS (SELECT id, user_id FROM {AGREEMENTS} WHERE user_id NOT IN (SELECT id FROM users WHERE name IS NULL)),
+s AS (SELECT id FROM {ANALYSES} WHERE agreement_id NOT IN (SELECT id FROM {AGREEMENTS} WHERE user_id IN (SELECT id FROM users WHERE name IS NULL))),
+c AS (SELECT clause_id, analysis_id FROM analyze_clause WHERE analysis_id NOT IN (SELECT id FROM {ANALYSES} WHERE agreement_id IN (SELECT id FROM {AGREEMENTS} WHERE user_id IN (SELECT id FROM users WHERE name IS NULL))))
+SELECT 'user' AS kind, id AS row_id FROM u UNION ALL SELECT 'agreement', id FROM a UNION ALL SELECT 'analysis', id FROM s UNION ALL SELECT 'clause', CAST(clause_id AS VARCHAR) FROM c""")
+def cascade_delete(spark, sf_dir):
+    """What is left when all users without a name are deleted."""
+    left = _left(spark, sf_dir)
+    key = {"users": ("user", "id"), "agreements": ("agreement", "id"), "analyses": ("analysis", "id"), "clause_results": ("clause", "clause_id")}
+    frames = [left[t].select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("row_id")) for t, (kind, c) in key.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("""
+SELECT id, email FROM users UNION ALL
+SELECT user_id, min(user_id || '@import.invalid') FROM analyze_clause WHERE user_id NOT IN (SELECT id FROM users) GROUP BY user_id""")
+def upsert_noop(spark, sf_dir):
+    """Users and those that clauses name and that aren't there yet; the others stay untouched."""
+    users = table(spark, sf_dir, "users", "id", "email")
+    wanted = table(spark, sf_dir, "analyze_clause", "user_id").distinct().select(F.col("user_id").alias("id"), F.concat("user_id", F.lit("@import.invalid")).alias("email"))
+    return mutate.insert_absent(users, wanted, "id")
+
+
+_PROFILES = "(SELECT email, 'Profile ' || id AS name, 'https://img.example/' || id AS image FROM users WHERE image IS NULL OR name IS NULL OR name = '')"
+
+
+@query(f"""
+SELECT u.id, CASE WHEN p.email IS NULL THEN u.name ELSE coalesce(nullif(u.name, ''), p.name) END AS name,
+CASE WHEN p.email IS NULL THEN u.image ELSE coalesce(nullif(u.image, ''), p.image) END AS image, u.email_verified OR p.email IS NOT NULL AS email_verified
+FROM users u LEFT JOIN {_PROFILES} p ON u.email = p.email""")
+def fill_profile(spark, sf_dir):
+    users = table(spark, sf_dir, "users")
+    poor = users.filter("image is null or name is null or name = ''")
+    profiles = poor.select("email", F.concat(F.lit("Profile "), "id").alias("name"), F.concat(F.lit("https://img.example/"), "id").alias("image"))
+    return mutate.fill_profile(users, profiles).select("id", "name", "image", "email_verified")
+
+
+@query(f"""
+SELECT a.id, CASE WHEN s.id IS NULL THEN a.status ELSE s.status END AS status, CASE WHEN s.id IS NULL THEN a.prev_doc ELSE coalesce(s.error_message, a.prev_doc) END AS prev_doc
+FROM {AGREEMENTS} a LEFT JOIN {ANALYSES} s ON s.agreement_id = a.id""")
+def keyed_update(spark, sf_dir):
+    """Agreements with their analysis' status; a null note keeps the old value (the token refresh's rule)."""
+    agreements = _once(spark, sf_dir, "agreements").select("id", "status", "prev_doc")
+    changes = _once(spark, sf_dir, "analyses").select(F.col("agreement_id").alias("id"), "status", F.col("error_message").alias("prev_doc"))
+    return mutate.update(agreements, changes, "id", keep_if_null=("prev_doc",))
+
+
+@query("""
+WITH accounts AS (SELECT 'google' AS provider_id, substr(id, 5) AS account_id, id AS user_id FROM users WHERE password_hash IS NULL),
+incoming AS (SELECT clause_id AS arrival, 'google' AS provider_id, substr(user_id, 5) AS account_id, 'x' || substr(analysis_id, 1, 6) || '@example.org' AS email FROM analyze_clause
+  UNION ALL SELECT row_number() OVER (ORDER BY id) + 100000000, 'other', substr(id, 5), email FROM users),
+j AS (SELECT i.*, a.user_id AS au, u.id AS mu, row_number() OVER (PARTITION BY i.provider_id, i.account_id ORDER BY i.arrival) > 1 AS again
+  FROM incoming i LEFT JOIN accounts a USING (provider_id, account_id) LEFT JOIN users u ON u.email = i.email),
+k AS (SELECT *, row_number() OVER (PARTITION BY email, (au IS NULL AND NOT again) ORDER BY arrival) > 1 AS later FROM j)
+SELECT arrival, CASE WHEN au IS NOT NULL OR again THEN 'returning' WHEN mu IS NOT NULL OR later THEN 'link' ELSE 'new' END AS branch, coalesce(au, mu) AS user_id FROM k""")
+def link_decision(spark, sf_dir):
+    from pyspark.sql import Window
+
+    users = table(spark, sf_dir, "users")
+    account = lambda c: F.substring(c, 5, 1000)
+    accounts = users.filter("password_hash is null").select(F.lit("google").alias("provider_id"), account("id").alias("account_id"), F.col("id").alias("user_id"))
+    clauses = table(spark, sf_dir, "analyze_clause", "clause_id", "user_id", "analysis_id")
+    mail = F.concat(F.lit("x"), F.substring("analysis_id", 1, 6), F.lit("@example.org"))
+    incoming = clauses.select(F.col("clause_id").alias("arrival"), F.lit("google").alias("provider_id"), account("user_id").alias("account_id"), mail.alias("email"))
+    second = users.select((F.row_number().over(Window.orderBy("id")) + 100000000).cast("bigint").alias("arrival"), F.lit("other").alias("provider_id"), account("id").alias("account_id"), "email")
+    return relations.link_decision(incoming.unionByName(second), accounts, users).select("arrival", "branch", "user_id")
+
+
+_EMAIL = validation.EMAIL.replace("'", "''")
+
+
+@query(f"""
+WITH r AS (SELECT id AS request, email, coalesce(password_hash, 'short') AS password, name FROM users)
+SELECT request, CASE WHEN NOT coalesce(regexp_matches(email, '{_EMAIL}'), false) THEN 'Invalid email' WHEN length(password) < 8 THEN 'Password needs 8 characters'
+WHEN name IS NOT NULL AND length(name) < 1 THEN 'Name is empty' END AS issue FROM r""")
+def validate_rows(spark, sf_dir):
+    users = table(spark, sf_dir, "users").withColumn("password", F.coalesce("password_hash", F.lit("short")))
+    return users.select(F.col("id").alias("request"), validation.signup_issue().alias("issue"))
+
+
+@query(f"""
+WITH r AS (SELECT id AS request, lower(email) AS email, coalesce(password_hash, 'long enough') AS password, nullif(name, '') AS name FROM users),
+k AS (SELECT *, CASE WHEN NOT coalesce(regexp_matches(email, '{_EMAIL}'), false) THEN 1 WHEN length(password) < 8 THEN 1 END AS bad FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY email, bad IS NULL ORDER BY request) AS rank FROM k)
+SELECT request, CASE WHEN bad IS NOT NULL THEN 400 WHEN email IN (SELECT email FROM users) OR rank > 1 THEN 409 ELSE 201 END AS code FROM n""")
+def signup_outcome(spark, sf_dir):
+    """Every user signs up again with the e-mail in lower case: e-mails are compared as they are."""
+    users = table(spark, sf_dir, "users")
+    requests = users.select(F.col("id").alias("request"), F.lower("email").alias("email"), F.coalesce("password_hash", F.lit("long enough")).alias("password"), F.nullif("name", F.lit("")).alias("name"))
+    return validation.signup(requests, users).select("request", "code")
+
+
+@query("SELECT id AS request, CASE WHEN coalesce(password_hash, '') = '' THEN 401 ELSE 200 END AS code FROM users")
+def login_outcome(spark, sf_dir):
+    users = table(spark, sf_dir, "users")
+    requests = users.select(F.col("id").alias("request"), "email", F.lit("a password").alias("password"))
+    return validation.login(requests, users).select("request", "code")
+
+
+@query("SELECT doc_id, n_chars, coalesce(n_chars <= 2048, false) AS fits FROM documents")
+def size_limit(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "n_chars").withColumn("fits", validation.fits(F.col("n_chars"), 2048))
+
+
+@query("""
+SELECT 'agreements.id' AS rule, id AS key, count(*) AS n FROM agreements GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'agreements.s3_key', s3_key, count(*) FROM agreements WHERE s3_key IS NOT NULL GROUP BY s3_key HAVING count(*) > 1
+UNION ALL SELECT 'analyses.agreement_id', agreement_id, count(*) FROM analyses GROUP BY agreement_id HAVING count(*) > 1
+UNION ALL SELECT 'users.email', email, count(*) FROM users GROUP BY email HAVING count(*) > 1
+UNION ALL SELECT 'clauses.analysis_id,clause_index', analysis_id || ',' || clause_index, count(*) FROM analyze_clause GROUP BY analysis_id, clause_index HAVING count(*) > 1
+UNION ALL SELECT 'results.clause_id', CAST(clause_id AS VARCHAR), count(*) FROM compliance_result GROUP BY clause_id HAVING count(*) > 1""")
+def unique_violations(spark, sf_dir):
+    rules = [("agreements", ["id"], "agreements"), ("agreements", ["s3_key"], "agreements"), ("analyses", ["agreement_id"], "analyses"), ("users", ["email"], "users"), ("analyze_clause", ["analysis_id", "clause_index"], "clauses"), ("compliance_result", ["clause_id"], "results")]
+    out = None
+    for name, key, label in rules:
+        bad = integrity.repeated_keys(table(spark, sf_dir, name, *key), *key).select(F.lit(f"{label}.{','.join(key)}").alias("rule"), F.concat_ws(",", *(F.col(k).cast("string") for k in key)).alias("key"), "n")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+@query("""
+SELECT 'agreements.user_id' AS rule, id AS row_id FROM agreements WHERE user_id NOT IN (SELECT id FROM users)
+UNION ALL SELECT 'analyses.agreement_id', id FROM analyses WHERE agreement_id NOT IN (SELECT id FROM agreements)
+UNION ALL SELECT 'clauses.analysis_id', CAST(clause_id AS VARCHAR) FROM analyze_clause WHERE analysis_id NOT IN (SELECT id FROM analyses)
+UNION ALL SELECT 'results.clause_id', CAST(result_id AS VARCHAR) FROM compliance_result WHERE clause_id NOT IN (SELECT clause_id FROM analyze_clause)
+UNION ALL SELECT 'documents.agreement_id', CAST(doc_id AS VARCHAR) FROM documents WHERE agreement_id IS NOT NULL AND agreement_id NOT IN (SELECT id FROM agreements)""")
+def fk_orphans(spark, sf_dir):
+    rules = [("agreements", "id", "user_id", "users", "id", "agreements"), ("analyses", "id", "agreement_id", "agreements", "id", "analyses"), ("analyze_clause", "clause_id", "analysis_id", "analyses", "id", "clauses"), ("compliance_result", "result_id", "clause_id", "analyze_clause", "clause_id", "results"), ("documents", "doc_id", "agreement_id", "agreements", "id", "documents")]
+    out = None
+    for child, key, column, parent, parent_key, label in rules:
+        bad = integrity.orphans(table(spark, sf_dir, child, key, column), column, table(spark, sf_dir, parent, parent_key), parent_key)
+        bad = bad.select(F.lit(f"{label}.{column}").alias("rule"), F.col(key).cast("string").alias("row_id"))
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def _list(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(f"""
+SELECT 'results.status' AS rule, status AS value, count(*) AS n FROM compliance_result WHERE status NOT IN ({_list(C.STATUSES)}) GROUP BY status
+UNION ALL SELECT 'results.severity', severity, count(*) FROM compliance_result WHERE severity NOT IN ({_list(SEVERITY)}) GROUP BY severity
+UNION ALL SELECT 'agreements.status', status, count(*) FROM agreements WHERE status NOT IN ({_list(AGREEMENT_STATUS)}) GROUP BY status
+UNION ALL SELECT 'analyses.status', status, count(*) FROM analyses WHERE status NOT IN ({_list(ANALYSIS_STATUS)}) GROUP BY status""")
+def enum_violations(spark, sf_dir):
+    rules = [("compliance_result", "status", C.STATUSES, "results"), ("compliance_result", "severity", SEVERITY, "results"), ("agreements", "status", AGREEMENT_STATUS, "agreements"), ("analyses", "status", ANALYSIS_STATUS, "analyses")]
+    out = None
+    for name, column, domain, label in rules:
+        bad = integrity.outside_domain(table(spark, sf_dir, name, column), column, domain).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+        bad = bad.select(F.lit(f"{label}.{column}").alias("rule"), "value", "n")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+@query("""
+SELECT * FROM (SELECT 'name' AS "column", count(*) FILTER (name IS NULL) AS n FROM users UNION ALL SELECT 'email', count(*) FILTER (email IS NULL) FROM users
+UNION ALL SELECT 'image', count(*) FILTER (image IS NULL) FROM users UNION ALL SELECT 'password_hash', count(*) FILTER (password_hash IS NULL) FROM users) WHERE n > 0""")
+def missing_values(spark, sf_dir):
+    return integrity.missing_values(table(spark, sf_dir, "users"), "name", "email", "image", "password_hash")
+
+
+@query(f"""SELECT id, 'uploads/' || epoch_ms(uploaded_at) || '-' || file_name AS object_key, epoch_ms(uploaded_at) AS millis FROM {AGREEMENTS}""")
+def object_key(spark, sf_dir):
+    at = F.col("uploaded_at")
+    return _once(spark, sf_dir, "agreements").select("id", S.object_key(at, F.col("file_name")).alias("object_key"), S.epoch_millis(at).alias("millis"))
+
+
+@query(f"""
+SELECT s.id, s.created_at + to_seconds(3600) AS expires_at, s.created_at + to_seconds(3600) > TIMESTAMP '{NOW}' AS valid FROM {ANALYSES} s""")
+def expiry(spark, sf_dir):
+    expires = S.plus_seconds(F.col("created_at"), F.lit(3600))
+    return _once(spark, sf_dir, "analyses").select("id", expires.alias("expires_at"), (expires > F.lit(NOW).cast("timestamp_ntz")).alias("valid"))
+
+
+@query(f"SELECT id, strftime(uploaded_at, '%Y/%-m/%-d') AS uploaded FROM {AGREEMENTS}")
+def locale_date(spark, sf_dir):
+    return _once(spark, sf_dir, "agreements").select("id", S.list_date(F.col("uploaded_at")).alias("uploaded"))
+
+
+@query("SELECT id, coalesce(name, email) AS present, coalesce(nullif(name, ''), email) AS filled FROM users")
+def nullish_and_falsy(spark, sf_dir):
+    name, email = F.col("name"), F.col("email")
+    return table(spark, sf_dir, "users").select("id", S.first_present(name, email).alias("present"), S.first_filled(name, email).alias("filled"))
+
+
+@query(f"""SELECT id, replace(replace(replace(replace(replace(replace(url_encode(file_name), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%7E', '~') AS encoded FROM {AGREEMENTS}""")
+def encoded_names(spark, sf_dir):
+    return _once(spark, sf_dir, "agreements").select("id", S.encode_component(F.col("file_name")).alias("encoded"))
+
+
+@query(f"SELECT id, file_name, 'application/pdf' AS content_type FROM {AGREEMENTS}")
+def query_parameters(spark, sf_dir):
+    """Upload requests as URLs, and their parameters read again."""
+    url = F.concat(F.lit("https://app.example/api/upload/presigned?fileName="), S.encode_form(F.col("file_name")), F.lit("&contentType=application%2Fpdf"))
+    urls = _once(spark, sf_dir, "agreements").select("id", url.alias("url"))
+    return sources.parameters(urls, "url", "fileName", "contentType").select("id", F.col("fileName").alias("file_name"), F.col("contentType").alias("content_type"))
+
+
+@query("SELECT id, '{\"user\":' || CAST(to_json({'id': id, 'email': email, 'name': name}) AS VARCHAR) || '}' AS body FROM users")
+def user_responses(spark, sf_dir):
+    user = F.struct("id", "email", "name").alias("user")
+    return table(spark, sf_dir, "users").select("id", sources.responses(F.struct(user)).alias("body"))
+
+
+@query("SELECT md5(s3_key) AS id_part, s3_key FROM agreements WHERE s3_url IS NULL GROUP BY s3_key")
+def objects_without_url(spark, sf_dir):
+    agreements = table(spark, sf_dir, "agreements", "s3_key", "s3_url")
+    objects = agreements.select("s3_key").distinct()
+    return mutate.stored_without_row(objects, agreements.filter("s3_url is not null")).select(F.md5("s3_key").alias("id_part"), "s3_key")
+
+
+@query(r"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS clause_index, parts[i] AS clause FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS parts, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+WHERE trim(parts[i], ' ') <> ''""")
+def clause_fanout(spark, sf_dir):
+    return C.segments(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("""
+SELECT analysis_id, CAST(count(*) AS BIGINT) AS clauses, md5(string_agg(clause_index || ':' || coalesce(md5(clause), 'null'), ',' ORDER BY clause_index)) AS digest FROM analyze_clause GROUP BY analysis_id""")
+def clause_fanin(spark, sf_dir):
+    """The clauses of each analysis together again, in their order."""
+    rows = table(spark, sf_dir, "analyze_clause", "analysis_id", "clause_index", "clause").withColumn("hash", F.coalesce(F.md5("clause"), F.lit("null")))
+    parts = F.transform("results", lambda r: F.concat(r["clause_index"].cast("string"), F.lit(":"), r["hash"]))
+    return C.fan_in(rows, "analysis_id", "clause_index", "hash").select("analysis_id", F.size("results").cast("bigint").alias("clauses"), F.md5(F.array_join(parts, ",")).alias("digest"))
+
+
+@query(r"""
+SELECT clause_id, md5('## Lease clause' || chr(10) || clause || chr(10) || chr(10) || '## Relevant legal context' || chr(10) || coalesce(array_to_string(list_filter(legal_context, lambda x: x IS NOT NULL), chr(10) || chr(10)), '')) AS digest,
+length('## Lease clause' || chr(10) || clause || chr(10) || chr(10) || '## Relevant legal context' || chr(10) || coalesce(array_to_string(list_filter(legal_context, lambda x: x IS NOT NULL), chr(10) || chr(10)), '')) AS chars
+FROM analyze_clause WHERE clause IS NOT NULL""")
+def prompt_build(spark, sf_dir):
+    prompts = table(spark, sf_dir, "analyze_clause", "clause_id", "clause", "legal_context").filter("clause is not null").select("clause_id", C.prompt(F.col("clause"), F.col("legal_context")).alias("p"))
+    return prompts.select("clause_id", F.md5("p").alias("digest"), F.length("p").cast("bigint").alias("chars"))
+
+
+@query(f"""
+SELECT result_id, upper(status) AS compliance, reason AS explanation, CAST(len(citations) AS INTEGER) AS citations FROM compliance_result
+WHERE status IN ({_list(C.STATUSES)}) AND reason IS NOT NULL AND citations IS NOT NULL""")
+def judgment_struct(spark, sf_dir):
+    """Answers written as JSON, read and checked again, in the result table's names."""
+    raw = table(spark, sf_dir, "compliance_result").select("result_id", F.to_json(F.struct("status", "reason", "citations")).alias("json"))
+    read = raw.select("result_id", C.judgment(F.col("json")).alias("j")).filter("j is not null").select("result_id", "j.*")
+    return C.stored(read).select("result_id", "compliance", "explanation", F.size("rta_citations").alias("citations"))
+
+
+@query("SELECT result_id, CAST(i - 1 AS INTEGER) AS pos, citations[i] AS citation FROM (SELECT result_id, citations, unnest(range(1, len(citations) + 1)) AS i FROM compliance_result)")
+def citation_rows(spark, sf_dir):
+    return C.fan_out(table(spark, sf_dir, "compliance_result", "result_id", "citations"), "result_id", "citations").toDF("result_id", "pos", "citation")
+
+
+@query("""
+SELECT clause_id, CASE WHEN clause IS NULL THEN 'compliant'
+WHEN regexp_matches(lower(clause), '\\b(may not|must not|forfeit|waives? all|penalty)\\b') THEN 'non_compliant'
+WHEN regexp_matches(lower(clause), '\\b(reasonable|as needed|at the discretion)\\b') OR length(trim(clause, ' ')) < 20 THEN 'needs_review' ELSE 'compliant' END AS status FROM analyze_clause""".replace("\\\\", "\\"))
+def keyword_judgments(spark, sf_dir):
+    clauses = table(spark, sf_dir, "analyze_clause", "clause_id", "clause", "legal_context")
+    return C.judge(clauses).select("clause_id", F.col("judgment.status").alias("status"))
+
+
+@query("SELECT clause_id, 0 AS snippets FROM analyze_clause")
+def retrieve_none(spark, sf_dir):
+    """The default context: nothing is retrieved."""
+    return table(spark, sf_dir, "analyze_clause", "clause_id").select("clause_id", F.size(retrieve.no_context()).alias("snippets"))
+
+
+@query("""
+WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS match_id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM q, v WHERE q.vec_id <> v.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS INTEGER) AS rank, match_id, round(similarity, 6) AS similarity FROM s)
+SELECT * FROM r WHERE rank <= 3""")
+def retrieve_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    found = retrieve.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 3)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT user_id, count(*) AS uploads, max(uploaded_at) AS last_upload FROM {AGREEMENTS} GROUP BY user_id")
+def uploads_by_owner(spark, sf_dir):
+    return rollup.uploads_by_owner(_once(spark, sf_dir, "agreements"))
+
+
+@query(f"""
+SELECT a.user_id, strftime(s.created_at, '%Y-%m') AS month, count(*) AS analyses FROM {ANALYSES} s JOIN {AGREEMENTS} a ON s.agreement_id = a.id GROUP BY ALL""")
+def analyses_by_month(spark, sf_dir):
+    return rollup.analyses_by_month(_once(spark, sf_dir, "analyses"), _once(spark, sf_dir, "agreements"))
+
+
+@query("""
+SELECT c.analysis_id, count(*) AS answers, count(*) FILTER (lower(replace(r.status, '-', '_')) = 'non_compliant') AS non_compliant,
+count(*) FILTER (lower(replace(r.status, '-', '_')) = 'needs_review') AS needs_review,
+CAST(coalesce(max(CASE r.severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN NULL THEN 0 END), 0) AS BIGINT) AS worst
+FROM compliance_result r JOIN analyze_clause c ON r.clause_id = c.clause_id GROUP BY c.analysis_id""")
+def judgments_by_analysis(spark, sf_dir):
+    return rollup.judgments_by_analysis(table(spark, sf_dir, "compliance_result"), table(spark, sf_dir, "analyze_clause"))
+
+
+@query(f"SELECT id, date_diff('millisecond', started_at, completed_at) AS millis FROM {ANALYSES}")
+def analysis_durations(spark, sf_dir):
+    return rollup.durations(_once(spark, sf_dir, "analyses"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
