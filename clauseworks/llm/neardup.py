@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.llm.arrow import per_batch, texts
-from clauseworks.llm.shingles import mixed, runs, word_hashes
-from clauseworks.session import cut
+from clauseworks.llm.shingles import by_text, mixed, runs, word_hashes
+from clauseworks.session import cut, release
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 COMMON, COUNTERS = 0.005, 20  # share of all texts; log2 of the table's size
 EVIDENCE, MOST_SEEDS, APART = 90, 12, 6
 SKETCH = 256  # bits
 PER_BUCKET, BLOCK = 100_000, 256
+CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
 def sets(all_texts: list[str], size: int = SIZE, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,12 +44,10 @@ def sets(all_texts: list[str], size: int = SIZE, min_words: int = MIN_WORDS) ->
     text, value = runs(flat, counts, size)
     long = counts[text] >= max(min_words, size)
     text, value = text[long], value[long]
-    place = np.arange(len(text))
-    order = np.lexsort((place, value, text))
-    text, value, place = text[order], value[order], place[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    return text[new], value[new], place[new]
+    order = by_text(text, value)
+    text, value = text[order], value[order]
+    start = _starts(text, value >> np.uint64(20))
+    return text[start], value[start], np.minimum.reduceat(order, start) if len(start) else order
 
 
 def _slot(value: np.ndarray) -> np.ndarray:
@@ -136,7 +135,7 @@ def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int)
     for seed in range(int(seeds.max(initial=0))):
         act = seeds[text] > seed
         t, v, p = text[act], mixed(value[act], seed + 1), place[act]
-        order = np.lexsort((v, t))  # the parts of either band are runs of this order
+        order = by_text(t, v)  # the parts of either band are runs of this order
         t, v, p = t[order], v[order], p[order]
         for up in (0, 1):
             bits = band[t] + up
@@ -165,17 +164,16 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
             return None
         of = kind[np.searchsorted(owner, who)]
         bucket = (what % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((of, what, bucket))
+        what = what >> np.uint64(32)
+        order = np.lexsort((what, bucket))
         what, of, bucket = what[order], of[order], bucket[order]
-        start = _starts(bucket, what, of)  # exact copies within the batch are one
-        what, of, bucket = what[start], of[start], bucket[start]
         start = _starts(bucket)
         ends = [*start[1:], len(bucket)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[start], pa.int32()),
-                pa.array([_low_bytes(what[a:b]) for a, b in zip(start, ends)], pa.binary()),
-                pa.array([of[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()),
+                pa.array([_planes(np.diff(what[a:b], prepend=np.uint64(0)), 4) for a, b in zip(start, ends)], pa.binary()),
+                pa.array([_planes(of[a:b].view(np.uint64) >> np.uint64(64 - 8 * CLASS_BYTES), CLASS_BYTES) for a, b in zip(start, ends)], pa.binary()),
             ],
             ["bucket", "signatures", "classes"],
         )
@@ -183,9 +181,15 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
     return run
 
 
-def _low_bytes(values: np.ndarray) -> bytes:
-    """The upper six bytes of each value; within a bucket they tell signatures apart, and what meets is checked."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value, first all lowest ones: planes of zeros vanish in the shuffle's compression."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
 def _meet(key, table):
@@ -193,11 +197,8 @@ def _meet(key, table):
 
     A signature of many classes comes out as pairs of blocks of at most ``BLOCK``, so that no later task has it whole.
     """
-    raw = np.frombuffer(b"".join(table.column("signatures").to_pylist()), np.uint8).reshape(-1, 6)
-    what = np.zeros((len(raw), 8), np.uint8)
-    what[:, 2:] = raw
-    what = what.view(">u8").reshape(-1).astype(np.uint64)
-    of = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.int64)
+    what = np.concatenate([np.cumsum(_from_planes(x, 4)) for x in table.column("signatures").to_pylist()])
+    of = np.concatenate([_from_planes(x, CLASS_BYTES) for x in table.column("classes").to_pylist()]).view(np.int64)
     order = np.lexsort((of, what))
     what, of = what[order], of[order]
     start = _starts(what, of)
@@ -265,28 +266,34 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     ``threshold`` on, class_a < class_b."""
     df = df.select(key, column).filter(F.col(column).isNotNull() & F.col(key).isNotNull())
     n, packed = common_slots(df, column, size, min_words, common)
+    who = cut(members(df, key, column, size, min_words))
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, n * 55 / PER_BUCKET)))))
     signed = per_batch(df.select(column), "bucket int, signatures binary, classes binary", _signatures, column, size, min_words, packed, buckets)
     met = signed.groupBy("bucket").applyInArrow(_meet, "left array<bigint>, right array<bigint>")
-    pairs = (
-        met.select(F.explode("left").alias("class_a"), "right")
-        .select("class_a", F.explode(F.filter("right", lambda x: x > F.col("class_a"))).alias("class_b"))
+    pairs = cut(
+        met.select(F.explode("left").alias("short_a"), "right")
+        .select("short_a", F.explode(F.filter("right", lambda x: x > F.col("short_a"))).alias("short_b"))
         .distinct()
     )
-    who = members(df, key, column, size, min_words)
+    del signed, met
+    release(df.sparkSession)
     sketch = [f"s{k}" for k in range(SKETCH // 64)]
     rep = who.groupBy("class").agg(F.min(key).alias("rep"), F.first("runs").alias("runs"), *(F.first(s).alias(s) for s in sketch))
-    side = lambda x: rep.select(F.col("class").alias(f"class_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("runs").alias(f"runs_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in sketch))
+    short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
+    side = lambda x: rep.select(short.alias(f"short_{x}"), F.col("class").alias(f"class_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("runs").alias(f"runs_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in sketch))
     both = F.col("runs_a") + F.col("runs_b")
     far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketch), F.lit(0))
-    close = (
-        pairs.join(side("a"), "class_a")
-        .join(side("b"), "class_b")
+    close = cut(
+        pairs.join(side("a"), "short_a")
+        .join(side("b"), "short_b")
         .filter(F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b"))
         # the sets differ in at most (1 - t) / (1 + t) of their runs, and the sketches in no more bits
         .filter(far <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-        .select("class_a", "rep_a", "class_b", "rep_b")
+        .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "rep_a", "rep_b")
     )
+    del pairs
+    release(df.sparkSession)
+    df = some_keys(df, key, close.select(F.col("rep_a").alias("k")).unionByName(close.select(F.col("rep_b").alias("k"))))
     text = lambda x: df.select(F.col(key).alias(f"rep_{x}"), F.col(column).alias(f"text_{x}"))
     # a key may have several rows here; any row of the class will do, so the pairs are made distinct again
     checked = per_batch(
@@ -297,6 +304,22 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     return who.select(key, "class"), links
 
 
+def some_keys(df: DataFrame, key: str, keys: DataFrame, bits: int = 22) -> DataFrame:
+    """The rows of ``df`` whose key may be among ``keys`` (k): all that are, and some others.
+
+    A table of ``2 ** bits`` bits by the keys' hashes goes to every task as one row, whatever the number of keys.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    word = keys.select(slot("k").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")).alias("b"))
+    rows = word.orderBy("w").toArrow()  # at most 2 ** (bits - 6) rows
+    packed = np.zeros(1 << (bits - 6), np.int64)
+    packed[np.array(rows.column("w"))] = np.array(rows.column("b"))
+    table = df.sparkSession.createDataFrame(pa.table({"bits": pa.array([packed.tolist()], pa.list_(pa.int64()))}))
+    s = slot(key)
+    hit = F.getbit(F.element_at("bits", (F.shiftright(s, 6) + 1).cast("int")), F.pmod(s, F.lit(64)).cast("int")) == 1
+    return df.join(F.broadcast(table), hit).select(*df.columns)
+
+
 def pairs(df: DataFrame, key: str = "clause_id", column: str = "clause", **parameters) -> DataFrame:
     """(key_a, key_b, similarity) of all rows whose similarity is at least the threshold, key_a < key_b.
 
@@ -304,7 +327,7 @@ def pairs(df: DataFrame, key: str = "clause_id", column: str = "clause", **param
     paired with itself. An empty table gives no pair.
     """
     who, links = similar_classes(df, key, column, **parameters)
-    who, links = cut(who), cut(links)
+    links = cut(links)
     a = who.select(F.col("class").alias("class_a"), F.col(key).alias("x"))
     b = who.select(F.col("class").alias("class_b"), F.col(key).alias("y"))
     across = links.join(a, "class_a").join(b, "class_b").select("x", "y", "similarity")
@@ -348,7 +371,7 @@ def groups(df: DataFrame, key: str = "clause_id", column: str = "clause", **para
     ``group`` is the least key of all rows reached over links. Null and short texts have no row.
     """
     who, links = similar_classes(df, key, column, **parameters)
-    who, links = cut(who), cut(links)
+    links = cut(links)
     of = components(who.select(F.col("class").alias("node")), links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     each = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
     sizes = who.groupBy("class").agg(F.count("*").alias("copies"), F.min(key).alias("least"))

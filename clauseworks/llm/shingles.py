@@ -1,29 +1,13 @@
-"""Word shingles of whole batches as 64-bit hashes."""
+"""Words and word runs of whole batches as 64-bit hashes, without a Python object for each word."""
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 
-WORDS = re.compile(r"[^\W_]+")  # maximal runs of letters and digits
-KEEP_WORDS = 400_000
-
-
-class WordHashes(dict):
-    """64-bit hash by word; at most ``KEEP_WORDS`` are kept."""
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 40:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
-HASHES = WordHashes()
+CHARACTERS_AT_ONCE = 1_000_000
+STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -34,12 +18,59 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _is_word() -> np.ndarray:
+    """By code point: whether it is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def _of_character() -> np.ndarray:
+    return mixed(np.arange(0x110000, dtype=np.uint64), 77)
+
+
+_GROWN: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _GROWN or len(_GROWN[0][0]) < n:
+        size = max(n, 2 * CHARACTERS_AT_ONCE)
+        inverse = pow(STEP, -1, 1 << 64)
+        up, down = np.full(size, np.uint64(STEP)), np.full(size, np.uint64(inverse))
+        up[0] = down[0] = 1
+        _GROWN[:] = [(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))]
+    return _GROWN[0]
+
+
+def _hash_words(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, hash) of each word of a text: the sum of its characters' hashes, each by a power of its place."""
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = _is_word()[codes]
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    up, down = _powers_to(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_of_character()[codes] * up[: len(codes)], out=total[1:])
+    return start, mixed((total[end] - total[start]) * down[start], 5)
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts, number of words of each text), of the lower-cased texts."""
-    each = [WORDS.findall(t.lower()) for t in texts]
-    counts = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((HASHES[w] for words in each for w in words), np.uint64, int(counts.sum()))
-    return flat, counts
+    """(hashes of all words of all texts, number of words of each text): of the lower-cased texts, the maximal runs
+    of letters and digits."""
+    hashes, counts, group, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        group.append(t.lower())
+        size += len(group[-1]) + 1
+        if size >= CHARACTERS_AT_ONCE or k == len(texts) - 1:
+            start, value = _hash_words("\n".join(group))
+            begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in group])])
+            hashes.append(value)
+            counts.append(np.diff(np.searchsorted(start, begin)))
+            group, size = [], 0
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def runs(flat: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +81,12 @@ def runs(flat: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, n
     n = len(flat) - size + 1
     value = np.zeros(n, np.uint64)
     for k in range(size):
-        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n])
+        value = value * np.uint64(STEP) + flat[k : k + n]
+        value ^= value >> np.uint64(29)
     inside = text[:n] == text[size - 1 :]
-    return text[:n][inside], value[inside]
+    return text[:n][inside], mixed(value[inside])
 
 
-def distinct(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, value) pairs, sorted by text and value."""
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    return text[new], value[new]
+def by_text(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order by text and the upper 44 bits of the value, for up to 2**20 texts: one sort of one key."""
+    return np.argsort((text.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
