@@ -22,9 +22,23 @@ def per_batch(df: DataFrame, schema: str, make: Callable[..., Callable[[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make(*args)
         for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
+            for part in slices(batch):
+                out = f(part)
                 if out is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+BYTES_AT_ONCE = 4_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``BYTES_AT_ONCE``, or of one row, without a copy: a batch of very long texts
+    takes no more memory than one of short ones."""
+    if batch.num_rows > 1 and batch.nbytes > BYTES_AT_ONCE:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch

@@ -11,7 +11,7 @@ are joined. Three things make that selective:
   partitions for short texts, the expected number of equal blocks is 7 or more.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
   of the blocks, and a block counts only if it holds two runs that lie apart in the text.
-* What meets is checked by a second parity sketch of 256 bits, whose Hamming distance is at most the symmetric
+* What meets is checked by a second parity sketch of two to four bits for each run, whose Hamming distance is at most the symmetric
   difference of the sets: no pair above the threshold is lost. Then the similarity itself is computed.
 
 Exact copies (the same set of runs) are one class from the start and are compared once.
@@ -33,7 +33,7 @@ from clauseworks.session import cut, release
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 COMMON, COUNTERS = 0.005, 20  # share of all texts; log2 of the table's size
 EVIDENCE, MOST_SEEDS, APART = 90, 12, 6
-SKETCH = 256  # bits
+SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK = 100_000, 256
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
@@ -216,6 +216,11 @@ def _meet(key, table):
     return pa.table({"left": pa.array(left, kind), "right": pa.array(right, kind)})
 
 
+def sketch_level(number: np.ndarray) -> np.ndarray:
+    """The level of a set's sketch, which has ``SKETCH << level`` bits: at least twice as many as the set has runs."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(number, 1))).astype(np.int64) - int(np.log2(SKETCH)) + 1)
+
+
 def _sketches(key: str, column: str, size: int, min_words: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         text, value, _ = sets(texts(batch.column(column)), size, min_words)
@@ -224,13 +229,22 @@ def _sketches(key: str, column: str, size: int, min_words: int):
             return None
         start = _starts(text)
         number = np.diff(np.append(start, len(text)))
-        bit = (mixed(value, 7) % np.uint64(SKETCH)).astype(np.int64)
+        level = sketch_level(number)
         row = np.searchsorted(owner, text)
-        odd = np.bincount(row * SKETCH + bit, minlength=len(owner) * SKETCH).reshape(-1, SKETCH) & 1
-        words = np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+        own, half = np.empty(len(owner), object), np.empty(len(owner), object)
+        for k in np.unique(level):
+            bits = SKETCH << int(k)
+            at, here = np.flatnonzero(level == k), level[row] == k
+            place = np.searchsorted(at, row[here]) * bits + (mixed(value[here], 7) % np.uint64(bits)).astype(np.int64)
+            odd = (np.bincount(place, minlength=len(at) * bits).reshape(-1, bits) & 1).astype(np.uint8)
+            # bit h % (bits / 2) of the sketch one level lower is the parity of bits h and h + bits / 2 of this one
+            lower = odd[:, : bits // 2] ^ odd[:, bits // 2 :]
+            own[at] = list(np.packbits(odd, axis=1).view(">i8").astype(np.int64))
+            half[at] = list(np.packbits(lower, axis=1).view(">i8").astype(np.int64))
+        words = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), *(pa.array(words[:, k]) for k in range(SKETCH // 64))],
-            [key, "class", "runs", *(f"s{k}" for k in range(SKETCH // 64))],
+            [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(list(own), words), pa.array(list(half), words)],
+            [key, "class", "runs", "level", "sketch", "half"],
         )
 
     return run
@@ -238,27 +252,29 @@ def _sketches(key: str, column: str, size: int, min_words: int):
 
 def _similarity(columns: tuple[str, ...], size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a = sets(texts(batch.column("text_a")), size, 0)
-        b = sets(texts(batch.column("text_b")), size, 0)
+        # a text is in several pairs: its set is made once for a batch
+        names = np.concatenate([np.array(batch.column(c).to_pylist(), np.int64) for c in ("class_a", "class_b")])
+        all_texts = texts(batch.column("text_a")) + texts(batch.column("text_b"))
+        kinds, first, which = np.unique(names, return_index=True, return_inverse=True)
+        text, value, _ = sets([all_texts[k] for k in first], size, 0)
+        begin = np.searchsorted(text, np.arange(len(kinds) + 1))
         n = batch.num_rows
-        both = np.concatenate([a[0], b[0]])
-        value = np.concatenate([a[1], b[1]])
-        order = np.lexsort((value, both))
-        both, value = both[order], value[order]
-        same = (both[1:] == both[:-1]) & (value[1:] == value[:-1])
-        shared = np.bincount(both[1:][same], minlength=n)
-        union = np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n) - shared
-        score = pa.array(shared / np.maximum(union, 1))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), score], [*columns, "similarity"])
+        score = np.zeros(n)
+        for k, (a, b) in enumerate(zip(which[:n], which[n:])):
+            x, y = value[begin[a] : begin[a + 1]], value[begin[b] : begin[b + 1]]
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            score[k] = shared / max(1, len(both) - shared)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "similarity"])
 
     return run
 
 
 def members(df: DataFrame, key: str, column: str, size: int = SIZE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, class, runs, sketch words) of every text that has ``min_words`` words."""
+    """(key, class, runs, level, sketch, half) of every text that has ``min_words`` words."""
     kind = df.schema[key].dataType.simpleString()
-    words = ", ".join(f"s{k} bigint" for k in range(SKETCH // 64))
-    return per_batch(df.select(key, column), f"`{key}` {kind}, class bigint, runs int, {words}", _sketches, key, column, size, min_words)
+    return per_batch(df.select(key, column), f"`{key}` {kind}, class bigint, runs int, level int, sketch array<bigint>, half array<bigint>", _sketches, key, column, size, min_words)
 
 
 def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THRESHOLD, size: int = SIZE, min_words: int = MIN_WORDS, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
@@ -277,19 +293,27 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     )
     del signed, met
     release(df.sparkSession)
-    sketch = [f"s{k}" for k in range(SKETCH // 64)]
-    rep = who.groupBy("class").agg(F.min(key).alias("rep"), F.first("runs").alias("runs"), *(F.first(s).alias(s) for s in sketch))
+    parts = ["runs", "level", "sketch", "half"]
+    rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in parts))
     short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
-    side = lambda x: rep.select(short.alias(f"short_{x}"), F.col("class").alias(f"class_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("runs").alias(f"runs_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in sketch))
+    side = lambda x: rep.select(short.alias(f"short_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("class", "rep", *parts)))
     both = F.col("runs_a") + F.col("runs_b")
-    far = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketch), F.lit(0))
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    # sketches of neighbouring levels are compared on the lower one; sets further apart in size aren't similar
+    far = (
+        F.when(F.col("level_a") == F.col("level_b"), apart("sketch_a", "sketch_b"))
+        .when(F.col("level_a") == F.col("level_b") + 1, apart("half_a", "sketch_b"))
+        .when(F.col("level_b") == F.col("level_a") + 1, apart("sketch_a", "half_b"))
+        .otherwise(F.lit(0))
+    )
     close = cut(
         pairs.join(side("a"), "short_a")
         .join(side("b"), "short_b")
         .filter(F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b"))
         # the sets differ in at most (1 - t) / (1 + t) of their runs, and the sketches in no more bits
         .filter(far <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-        .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "rep_a", "rep_b")
+        .filter(F.col("class_a") != F.col("class_b"))
+        .select("class_a", "class_b", "rep_a", "rep_b")
     )
     del pairs
     release(df.sparkSession)
@@ -300,7 +324,11 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
         close.join(text("a"), "rep_a").join(text("b"), "rep_b").select("class_a", "class_b", "text_a", "text_b"),
         "class_a bigint, class_b bigint, similarity double", _similarity, ("class_a", "class_b"), size,
     )
-    links = checked.filter(F.col("similarity") >= threshold).groupBy("class_a", "class_b").agg(F.max("similarity").alias("similarity"))
+    links = (
+        checked.filter(F.col("similarity") >= threshold)
+        .groupBy(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+        .agg(F.max("similarity").alias("similarity"))
+    )
     return who.select(key, "class"), links
 
 

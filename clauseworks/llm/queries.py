@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import citations, encoding, mixing, neardup, splitting
+from clauseworks.llm import citations, encoding, mixing, neardup, pairs, splitting
 from clauseworks.session import table
 
 
@@ -32,6 +32,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.map_citations(results, table(spark, sf_dir, "statute_section")).select("result_id", "pos", "section_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "compliance_result", "result_id", "clause_id", "reason", "citations")
+    return pairs.defects(results, table(spark, sf_dir, "analyze_clause", "clause_id", "clause")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -51,7 +56,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p7_ids, p8_mix, p8_shares)
+    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares)
     return {f.__name__: f for f in named}
 
 
