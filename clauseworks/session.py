@@ -43,9 +43,12 @@ def release(spark: SparkSession) -> None:
     long after the step: call this behind ``cut``, once the frames before it are dropped.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds the frames that Python let go, the second what only they referred to
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
