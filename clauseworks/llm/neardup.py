@@ -5,12 +5,12 @@ the parity (XOR of the hashes) of a text's runs within a part is one block of it
 differ in d runs differ in at most d blocks. By the pigeonhole principle the pairs sought share blocks, so equal blocks
 are joined. Three things make that selective:
 
-* The number of parts follows the size of a text, in bands of powers of two; a text has blocks for two bands, so that
-  texts of neighbouring bands meet. At a similarity of 0.5 two texts may differ in two thirds of their runs, and no
-  number of parts leaves a block equal for certain; with about as many parts as runs, and more independent
-  partitions for short texts, the expected number of equal blocks is 7 or more.
+* The number of parts follows the size of a text, in bands of powers of two; a text has blocks for two numbers of
+  parts, so that texts of neighbouring bands meet. At a similarity of 0.5 two texts may differ in two thirds of
+  their runs, and no number of parts leaves a block equal for certain; ``plan`` has so many independent partitions
+  that 5 or more blocks are equal in the mean.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
-  of the blocks, and a block counts only if it holds two runs that lie apart in the text.
+  of the blocks, and a block counts only if it holds two or three runs, of which two lie apart in the text.
 * What meets is checked by a second parity sketch of two to four bits for each run, whose Hamming distance is at most the symmetric
   difference of the sets: no pair above the threshold is lost. Then the similarity itself is computed.
 
@@ -32,7 +32,7 @@ from clauseworks.session import cut, release
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 COMMON, COUNTERS = 0.005, 20  # share of all texts; log2 of the table's size
-EVIDENCE, MOST_SEEDS, APART = 90, 12, 6
+EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8, 12, 6
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK = 100_000, 256
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
@@ -126,28 +126,57 @@ def _bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
+@lru_cache(maxsize=1)
+def plan() -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, pairs) by band and level: in how many independent partitions into ``2 ** level`` parts a text whose
+    number of runs is in the band takes part, and in how many of them, the first ones, a part counts with two runs;
+    in the others it needs three. Levels are the one below the band, the band and the one above.
+
+    Small sets take parts of two runs, about as many parts as runs or twice as many. Larger ones take parts of three
+    runs and fewer parts: as many seeds more make up for that, and unlike texts hardly ever share such a part. The
+    two bands where this changes have both kinds, so that they meet.
+    """
+    bands = 40
+    seeds, pairs = np.zeros((bands, 3), np.int64), np.zeros((bands, 3), np.int64)
+    for band in range(1, bands):
+        low = 2.0 ** (band - 1)  # runs of the band's smallest set
+        two, three = (min(MOST_SEEDS, max(1, int(np.ceil(e / low)))) for e in (EVIDENCE_OF_TWO, EVIDENCE_OF_THREE))
+        if band < TRIPLES_FROM:
+            seeds[band] = pairs[band] = [0, two, two]
+            if band == TRIPLES_FROM - 1:
+                seeds[band, 1] = max(two, three)
+        else:
+            seeds[band] = [three, three, 0]
+            if band == TRIPLES_FROM:
+                pairs[band, 1] = two
+    return seeds, pairs
+
+
 def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) of every block that counts, of sets without their common runs."""
     n = np.bincount(text, minlength=n_texts)
     band = np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
-    seeds = np.minimum(np.ceil(EVIDENCE / 2.0 ** (band - 1)), MOST_SEEDS).astype(np.int64)
+    seeds, pairs = plan()
+    most = seeds.max(axis=1)[band]
     who, what = [], []
-    for seed in range(int(seeds.max(initial=0))):
-        act = seeds[text] > seed
+    for seed in range(int(most.max(initial=0))):
+        act = most[text] > seed
         t, v, p = text[act], mixed(value[act], seed + 1), place[act]
-        order = by_text(t, v)  # the parts of either band are runs of this order
+        order = by_text(t, v)  # the parts of any level are runs of this order
         t, v, p = t[order], v[order], p[order]
-        for up in (0, 1):
-            bits = band[t] + up
-            part = v >> (64 - bits).astype(np.uint64)
-            start = _starts(t, part)
+        for k in range(3):
+            bits = np.maximum(band[t] + k - 1, 0)
+            start = _starts(t, v >> np.minimum(64 - bits, 63).astype(np.uint64))
             if not len(start):
                 continue
-            apart = np.maximum.reduceat(p, start) - np.minimum.reduceat(p, start) >= APART
-            start_of = start[apart]
-            parity = np.bitwise_xor.reduceat(v, start)[apart]
-            who.append(t[start_of])
-            what.append(mixed(parity ^ (bits[start_of].astype(np.uint64) << np.uint64(8)), seed + 51))
+            of = band[t[start]]
+            size = np.diff(np.append(start, len(t)))
+            good = (seeds[of, k] > seed) & (size >= np.where(pairs[of, k] > seed, 2, 3))
+            good &= np.maximum.reduceat(p, start) - np.minimum.reduceat(p, start) >= APART
+            first = start[good]
+            parity = np.bitwise_xor.reduceat(v, start)[good]
+            who.append(t[first])
+            what.append(mixed(parity ^ (bits[first].astype(np.uint64) << np.uint64(8)), seed + 51))
     return (np.concatenate(who), np.concatenate(what)) if who else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -240,7 +269,8 @@ def _sketches(key: str, column: str, size: int, min_words: int):
             # bit h % (bits / 2) of the sketch one level lower is the parity of bits h and h + bits / 2 of this one
             lower = odd[:, : bits // 2] ^ odd[:, bits // 2 :]
             own[at] = list(np.packbits(odd, axis=1).view(">i8").astype(np.int64))
-            half[at] = list(np.packbits(lower, axis=1).view(">i8").astype(np.int64))
+            # on the lowest level it is never needed
+            half[at] = list(np.packbits(lower, axis=1).view(">i8").astype(np.int64)) if k else [None] * len(at)
         words = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
             [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(list(own), words), pa.array(list(half), words)],
@@ -250,23 +280,24 @@ def _sketches(key: str, column: str, size: int, min_words: int):
     return run
 
 
-def _similarity(columns: tuple[str, ...], size: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _similarity(size: int, min_words: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         # a text is in several pairs: its set is made once for a batch
-        names = np.concatenate([np.array(batch.column(c).to_pylist(), np.int64) for c in ("class_a", "class_b")])
-        all_texts = texts(batch.column("text_a")) + texts(batch.column("text_b"))
-        kinds, first, which = np.unique(names, return_index=True, return_inverse=True)
-        text, value, _ = sets([all_texts[k] for k in first], size, 0)
-        begin = np.searchsorted(text, np.arange(len(kinds) + 1))
-        n = batch.num_rows
-        score = np.zeros(n)
-        for k, (a, b) in enumerate(zip(which[:n], which[n:])):
-            x, y = value[begin[a] : begin[a + 1]], value[begin[b] : begin[b + 1]]
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            score[k] = shared / max(1, len(both) - shared)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "similarity"])
+        where: dict[str, int] = {}
+        which = [where.setdefault(t, len(where)) for c in ("text_a", "text_b") for t in texts(batch.column(c))]
+        text, value, _ = sets(list(where), size, min_words)
+        begin = np.searchsorted(text, np.arange(len(where) + 1))
+        owner, kind = classes(text, value)
+        of = dict(zip(owner.tolist(), kind.tolist()))
+        n, rows = batch.num_rows, []
+        for a, b in zip(which[:n], which[n:]):
+            if a in of and b in of and a != b:
+                both = np.concatenate([value[begin[a] : begin[a + 1]], value[begin[b] : begin[b + 1]]])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                rows.append((of[a], of[b], shared / (len(both) - shared)))
+        names = ["class_a", "class_b", "similarity"]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names)
 
     return run
 
@@ -296,7 +327,7 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     parts = ["runs", "level", "sketch", "half"]
     rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in parts))
     short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
-    side = lambda x: rep.select(short.alias(f"short_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("class", "rep", *parts)))
+    side = lambda x: rep.select(short.alias(f"short_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", *parts)))
     both = F.col("runs_a") + F.col("runs_b")
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
     # sketches of neighbouring levels are compared on the lower one; sets further apart in size aren't similar
@@ -312,8 +343,8 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
         .filter(F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b"))
         # the sets differ in at most (1 - t) / (1 + t) of their runs, and the sketches in no more bits
         .filter(far <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-        .filter(F.col("class_a") != F.col("class_b"))
-        .select("class_a", "class_b", "rep_a", "rep_b")
+        .filter(F.col("rep_a") != F.col("rep_b"))
+        .select("rep_a", "rep_b")
     )
     del pairs
     release(df.sparkSession)
@@ -321,11 +352,11 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     text = lambda x: df.select(F.col(key).alias(f"rep_{x}"), F.col(column).alias(f"text_{x}"))
     # a key may have several rows here; any row of the class will do, so the pairs are made distinct again
     checked = per_batch(
-        close.join(text("a"), "rep_a").join(text("b"), "rep_b").select("class_a", "class_b", "text_a", "text_b"),
-        "class_a bigint, class_b bigint, similarity double", _similarity, ("class_a", "class_b"), size,
+        close.join(text("a"), "rep_a").join(text("b"), "rep_b").select("text_a", "text_b"),
+        "class_a bigint, class_b bigint, similarity double", _similarity, size, min_words,
     )
     links = (
-        checked.filter(F.col("similarity") >= threshold)
+        checked.filter((F.col("similarity") >= threshold) & (F.col("class_a") != F.col("class_b")))
         .groupBy(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
         .agg(F.max("similarity").alias("similarity"))
     )
