@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseworks.llm import citations, encoding, mixing, neardup, pairs, splitting
+from clauseworks.llm import citations, encoding, mixing, neardup, pairs, spam, splitting
 from clauseworks.session import table
 
 
@@ -55,8 +55,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares)
+    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)
     return {f.__name__: f for f in named}
 
 
