@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauseworks.llm import citations, encoding, mixing, neardup, pairs, spam, splitting
+from clauseworks.llm import citations, encoding, mixing, neardup, pairs, personal, spam, splitting
 from clauseworks.session import table
 
 
@@ -19,6 +20,22 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "analyze_clause", "clause_id", "clause"))
 
 
+def _personal(spark: SparkSession, sf_dir: str, f: Callable) -> DataFrame:
+    names = personal.known_names(table(spark, sf_dir, "users", "name"))
+    clauses = f(table(spark, sf_dir, "analyze_clause", "clause_id", "clause"), "clause_id", "clause", names)
+    reasons = f(table(spark, sf_dir, "compliance_result", "result_id", "reason"), "result_id", "reason", names)
+    label = lambda df, key, field: df.withColumnRenamed(key, "row_id").withColumn("field", F.lit(field))
+    return label(clauses, "clause_id", "clause").unionByName(label(reasons, "result_id", "reason"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, personal.find).select("field", "row_id", "kind").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, personal.redacted).select("field", "row_id", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "analyze_clause", "clause_id", "clause")).select("clause_id_a", "clause_id_b")
 
@@ -60,7 +77,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)
+    named = (p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)
     return {f.__name__: f for f in named}
 
 
