@@ -30,7 +30,7 @@ NAME_SHARE = 1e-5
 WEIGHTS = {"form": 1.0, "strong form": 2.0, "label before": 2.0, "denied before": -4.0, "denied behind": -4.0, "known first name": 2.0, "surname form": 1.0, "title": 1.5, "initial": 1.0, "per character": 0.01}
 # Digits in words, labels of official numbers, and what a number may be instead.
 DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|double|triple"
-ID_LABEL = r"s\.?\s?i\.?\s?n\.?|n\.?\s?a\.?\s?s\.?|ssn|social (?:insurance|security)|assurance sociale|tax(?:payer)?(?: id\w*)?|fiscal|passe?port|(?:pr|permanent resident|residen\w+|résiden\w+|health|santé|soleil|identity|id|medical|medicare) card|carte\b|driver\W?s?\W? licen[cs]e|driving licen[cs]e|licen[cs]e|permis de conduire|birth certificate|naissance|national (?:id|identity)|identit[éy]\w*|identification"
+ID_LABEL = r"s\.?\s?i\.?\s?n\.?|n\.?\s?a\.?\s?s\.?|ssn|social\s+(?:insurance|security)|assurance\s+sociale|tax(?:payer)?(?:\s+id\w*)?|fiscal|passe?port|(?:pr|permanent\s+resident|residen\w+|résiden\w+|health|santé|soleil|identity|id|medical|medicare)\s+card|carte\b|driver\W?s?\W?\s+licen[cs]e|driving\s+licen[cs]e|licen[cs]e|permis\s+de\s+conduire|birth\s+certificate|naissance|national\s+(?:id|identity)|identit[éy]\w*|identification"
 DENIED = r"serial|série|invoice|facture|file|dossier|form|formulaire|stall|stationnement|schedule|annexe|page|clause|account|compte|order|commande|model|modèle|part no|policy|police|\$|rl|tsl|ref(?:erence)?|référence"
 STREET = "street|st|road|rd|avenue|ave|av|boulevard|blvd|lane|ln|drive|dr|court|crt|ct|crescent|cres|cr|way|terrace|terr|ter|place|pl|square|sq|circle|cir|trail|trl|parkway|pkwy|highway|hwy|close|alley|heights|grove|gardens?|walk|quay|mews"
 RUE = r"rue|avenue|av\.?|boulevard|boul\.?|bd|chemin|ch\.|allée|place|impasse|route|quai|cours|côte|rang|ruelle|montée|square|terrasse|passage"
@@ -54,7 +54,7 @@ PHONE_WORDS = re.compile(rf"(?<![^\W_])(?:{DIGITS})(?:[\s,.-]+(?:{DIGITS})){{6,}
 ID_FORMS = re.compile(
     r"(?<![\w/.-])(?:\d{3}[-. \xa0]\d{3}[-. \xa0]\d{3}|[A-Z]{2}\d{6,7}|[A-Z]{2}\d{2}-\d{5}|\d{4}-\d{3}-\d{3}-[A-Z]{2}|[A-Z]\d{4}-\d{5}-\d{5}|(?:19|20)\d{2}-[A-Z]-\d{5,6}|[A-Z]{2}-\d{5}/\d{3})(?![\w-]|[./]\d)"
 )
-ID_LABELLED = re.compile(rf"(?<![^\W_])(?:{ID_LABEL})(?![^\W_])[^\n\d$]{{0,24}}?(?<![^\W_])(?P<id>(?=(?:[\s./-]?[^\W_]){{0,6}}?(?:[\s./-]?\d){{5}})[A-Z]{{0,3}}[-\s]?\d[\dA-Z]*(?:[-./\xa0 ]?[\dA-Z]*\d[\dA-Z]*|[-./][A-Z]{{1,2}}(?![^\W_]))*)", re.I)
+ID_LABELLED = re.compile(rf"(?<![^\W_])(?:{ID_LABEL})(?![^\W_])[^\d$]{{0,24}}?(?<![^\W_])(?P<id>(?=(?:[\s./-]?[^\W_]){{0,6}}?(?:[\s./-]?\d){{5}})[A-Z]{{0,3}}[-\s]?\d[\dA-Z]*(?:[-./\xa0 ]?[\dA-Z]*\d[\dA-Z]*|[-./][A-Z]{{1,2}}(?![^\W_]))*)", re.I)
 ADDRESS = re.compile(
     rf"(?<![\w$€.,/-])(?P<no>\d{{1,5}}[A-Za-z]?),?\s+"
     rf"(?:(?:(?P<rue>{RUE})\s+(?:de\s+la\s+|de\s+l['’]\s?|du\s+|des\s+|de\s+|d['’]\s?|l['’]\s?)?[^\W\d_][\w'’-]*(?:\s(?-i:[A-ZÀ-Þ])[\w'’-]+)?)"
@@ -66,7 +66,7 @@ UNIT_BEFORE = re.compile(r"(?:#\s?\d+[A-Za-z]?|(?<![^\W_])(?:apt|unit|suite|app|
 STREETS = frozenset(STREET.replace("gardens?", "garden|gardens").split("|")) | frozenset(re.sub(r"[.?]", "", RUE).split("|"))
 NUMBER = re.compile(r"(?<![$€,.\d])[\d(+](?:[-./() \xa0A-Z\n]{0,2}\d){5,}|(?<![$€,.\d])\d(?:[-./ ]?[\dA-Z]){6,}|[A-Z]{1,2}-?\d{4}")
 HEADING = re.compile(r"\s*(?:—|–\s*residential|rental office|lease|residential|package|tenancy)", re.I)
-BEFORE_LABEL = re.compile(rf"(?:{ID_LABEL})(?![^\W_])[^.;\n]{{0,30}}$", re.I)
+BEFORE_LABEL = re.compile(rf"(?:{ID_LABEL})(?![^\W_])[^.;]{{0,30}}$", re.I)
 BEFORE_DENIED = re.compile(rf"(?<![^\W_])(?:{DENIED})(?![^\W_])[^.;]{{0,12}}$", re.I)
 BEFORE_PHONE = re.compile(r"(?:tel|tél|phone|call|text|fax|cell|reach\w*|answers?|contact\w*|appel\w*|répond|urgence|emergenc\w+|ext|joindre|numéro)[^.;\n]{0,40}$", re.I)
 WORD = re.compile(r"[^\W\d_]+")
