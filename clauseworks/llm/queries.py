@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.llm import citations, encoding, mixing, neardup, pairs, personal, spam, splitting
+from clauseworks.llm import citations, encoding, mixing, neardup, pairs, personal, scans, spam, splitting
 from clauseworks.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scanned(table(spark, sf_dir, "analyze_clause", "clause_id", "clause")).select("clause_id").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "analyze_clause", "clause_id", "clause"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses = table(spark, sf_dir, "analyze_clause", "clause_id", "clause")
     return splitting.split(clauses, with_text=False).filter("pieces > 1").select("clause_id").distinct()
@@ -77,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)
+    named = (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p9_found)
     return {f.__name__: f for f in named}
 
 
