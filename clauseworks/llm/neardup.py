@@ -10,7 +10,9 @@ are joined. Three things make that selective:
   their runs, and no number of parts leaves a block equal for certain; ``plan`` has so many independent partitions
   that 5 or more blocks are equal in the mean.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
-  of the blocks, and a block counts only if it holds two or three runs, of which two lie apart in the text.
+  of the blocks, but for texts that have little else: those have blocks of all their runs too, so that a group of
+  copies that is itself a large part of all texts is found. A block counts only if it holds two or three runs, of
+  which two lie apart in the text.
 * What meets is checked by a second parity sketch of two to four bits for each run, whose Hamming distance is at most the symmetric
   difference of the sets: no pair above the threshold is lost. Then the similarity itself is computed.
 
@@ -31,7 +33,8 @@ from clauseworks.llm.shingles import by_text, mixed, runs, word_hashes
 from clauseworks.session import cut, release
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-COMMON, COUNTERS = 0.005, 20  # share of all texts; log2 of the table's size
+COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 20  # share of all texts, and their number at least; log2 of the table's size
+LOW = 0.36  # part of a text's runs that aren't common, up to which the common ones count too
 EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8, 12, 6
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK = 100_000, 256
@@ -113,7 +116,7 @@ def common_slots(df: DataFrame, column: str, size: int, min_words: int, common:
             n = int(np.frombuffer(r["total"], np.int64)[0])
     for r in rows:
         if r["part"] >= 0:
-            bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["total"], np.int64) > max(common * n, 1.5)
+            bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["total"], np.int64) > max(common * n, COMMON_LEAST)
     return n, np.packbits(bits).tobytes()
 
 
@@ -126,42 +129,53 @@ def _bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
 
 
-@lru_cache(maxsize=1)
-def plan() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def plan(only_three: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(seeds, pairs) by band and level: in how many independent partitions into ``2 ** level`` parts a text whose
     number of runs is in the band takes part, and in how many of them, the first ones, a part counts with two runs;
     in the others it needs three. Levels are the one below the band, the band and the one above.
 
     Small sets take parts of two runs, about as many parts as runs or twice as many. Larger ones take parts of three
     runs and fewer parts: as many seeds more make up for that, and unlike texts hardly ever share such a part. The
-    two bands where this changes have both kinds, so that they meet.
+    two bands where this changes have both kinds, so that they meet. ``only_three`` has parts of three for all sets.
     """
     bands = 40
     seeds, pairs = np.zeros((bands, 3), np.int64), np.zeros((bands, 3), np.int64)
     for band in range(1, bands):
         low = 2.0 ** (band - 1)  # runs of the band's smallest set
         two, three = (min(MOST_SEEDS, max(1, int(np.ceil(e / low)))) for e in (EVIDENCE_OF_TWO, EVIDENCE_OF_THREE))
-        if band < TRIPLES_FROM:
+        if band < TRIPLES_FROM and not only_three:
             seeds[band] = pairs[band] = [0, two, two]
             if band == TRIPLES_FROM - 1:
                 seeds[band, 1] = max(two, three)
         else:
             seeds[band] = [three, three, 0]
-            if band == TRIPLES_FROM:
+            if band == TRIPLES_FROM and not only_three:
                 pairs[band, 1] = two
     return seeds, pairs
 
 
-def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of every block that counts, of sets without their common runs."""
+def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of every block that counts: of the sets without their common runs, and of the whole sets of
+    texts that are mostly common, as the members of a group that is itself a large part of all texts are."""
+    who, what = blocks(text[~common], value[~common], place[~common], n_texts)
+    n, rare = np.bincount(text, minlength=n_texts), np.bincount(text[~common], minlength=n_texts)
+    low = (rare <= LOW * n)[text]
+    who2, what2 = blocks(text[low], value[low], place[low], n_texts, whole=True)
+    return np.concatenate([who, who2]), np.concatenate([what, what2])
+
+
+def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of every block that counts."""
     n = np.bincount(text, minlength=n_texts)
     band = np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
-    seeds, pairs = plan()
+    seeds, pairs = plan(whole)
+    shift = 300 * whole  # whole sets don't meet sets without their common runs
     most = seeds.max(axis=1)[band]
     who, what = [], []
     for seed in range(int(most.max(initial=0))):
         act = most[text] > seed
-        t, v, p = text[act], mixed(value[act], seed + 1), place[act]
+        t, v, p = text[act], mixed(value[act], seed + 1 + shift), place[act]
         order = by_text(t, v)  # the parts of any level are runs of this order
         t, v, p = t[order], v[order], p[order]
         for k in range(3):
@@ -176,7 +190,7 @@ def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int)
             first = start[good]
             parity = np.bitwise_xor.reduceat(v, start)[good]
             who.append(t[first])
-            what.append(mixed(parity ^ (bits[first].astype(np.uint64) << np.uint64(8)), seed + 51))
+            what.append(mixed(parity ^ (bits[first].astype(np.uint64) << np.uint64(8)), seed + 51 + shift))
     return (np.concatenate(who), np.concatenate(what)) if who else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -187,8 +201,7 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         text, value, place = sets(texts(batch.column(column)), size, min_words)
         owner, kind = classes(text, value)
-        rare = ~is_common[_slot(value)]
-        who, what = blocks(text[rare], value[rare], place[rare], batch.num_rows)
+        who, what = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
         if not len(who):
             return None
         of = kind[np.searchsorted(owner, who)]
