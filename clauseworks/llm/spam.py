@@ -28,7 +28,8 @@ LINK = re.compile(r"(?:<a\s[^>]*>)|(?:\b(?:https?|ftp)://|\bwww\.)[^\s<>\"'()\[\
 TAG = re.compile(r"(?<![^\s,;|(])[#@][^\W_][\w-]*")
 LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 PARTS = re.compile(r"(?<=[.!?;,])\s+|\s+[|*•·–—/]+\s+")
-LINE = 120  # a line up to this length is one segment
+SENTENCES = re.compile(r"(?<=[.!?])\s+")
+LINE = 120  # a line up to this length is cut at the ends of sentences only
 MODEL_SHARE = 1e-5  # words with a smaller share of their language count as this
 OVER, PAGE_SHARE, TIMES = 8.0, 0.004, 2  # how much more often, how large a part of the page, and how often at least
 COVER, SHARE = 0.5, 0.42  # of a segment; of a page, a little under half as single words of its lists go unseen
@@ -42,9 +43,9 @@ def _without_links(text: str) -> str:
 
 
 def segments(text: str):
-    """The lines of a text, and the parts of long ones."""
+    """The sentences of a text's lines, and the parts of long lines."""
     for line in LINES.split(text):
-        yield from PARTS.split(line) if len(line) > LINE else (line,)
+        yield from (PARTS if len(line) > LINE else SENTENCES).split(line)
 
 
 def _counts(column: str):
