@@ -22,7 +22,7 @@ from clauseworks.llm.languages import FUNCTION_WORDS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-MOST = 120  # characters of a segment
+MOST = 250  # characters of a segment
 MAX_NAMES = 100_000
 NAME_SHARE = 1e-5
 
