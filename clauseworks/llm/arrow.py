@@ -13,6 +13,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+SMALL_BYTES = 48_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over all cores if it is small: a small table is often one row group of one file, and so one task.
+
+    Larger inputs have tasks enough and aren't shuffled; the rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
+
+
 def per_batch(df: DataFrame, schema: str, make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch | None]], *args) -> DataFrame:
     """Run ``make(*args)`` once in each task and its result on each Arrow batch of ``df``.
 
@@ -27,7 +40,7 @@ def per_batch(df: DataFrame, schema: str, make: Callable[..., Callable[[pa.Recor
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 BYTES_AT_ONCE = 4_000_000

@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseworks.llm.arrow import per_batch, texts
+from clauseworks.llm.arrow import per_batch, spread, texts
 from clauseworks.llm.citations import SECTION, SUBSECTION, plain
 from clauseworks.llm.languages import WORD, language
 from clauseworks.llm.neardup import sets
+from clauseworks.session import cut
 
 # What stands for an answer that isn't there.
 PLACEHOLDERS = set("""
@@ -165,6 +166,7 @@ def sentence_frames(results: DataFrame, reason: str = "reason") -> tuple[dict[st
     whatever the input: at most 1 / FRAME_SHARE beginnings with 1 / FINAL_SHARE last words each.
     """
     counted = per_batch(results.select(reason), "start string, last string, words int, n bigint", _frames, reason)
+    counted = cut(counted.groupBy("start", "last", "words").agg(F.sum("n").alias("n")))  # read several times below
     each = counted.groupBy("start", "last").agg(F.sum("n").alias("n"))
     lengths = counted.groupBy("start", "words").agg(F.sum("n").alias("n"))
     total = each.agg(F.sum("n")).first()[0] or 0
@@ -224,6 +226,6 @@ def defects(results: DataFrame, clauses: DataFrame, key: str = "result_id") -> D
     defects. A null reason is empty.
     """
     frames, finals = sentence_frames(results)
-    pairs = results.select(key, "clause_id", "reason", "citations").join(clauses.select("clause_id", "clause"), "clause_id", "left")
+    pairs = spread(results.select(key, "clause_id", "reason", "citations")).join(clauses.select("clause_id", "clause"), "clause_id", "left")
     kind = results.schema[key].dataType.simpleString()
     return per_batch(pairs.select(key, "reason", "citations", "clause"), f"`{key}` {kind}, defect string", _judge, key, frames, finals)
