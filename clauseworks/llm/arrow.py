@@ -13,7 +13,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-SMALL_BYTES = 48_000_000
+SMALL_BYTES = 16_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
