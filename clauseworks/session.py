@@ -45,10 +45,11 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
-    for _ in range(2):  # the first finds the frames that Python let go, the second what only they referred to
+    for _ in range(3):  # the first finds the frames that Python let go, the next what only they referred to
         gc.collect()
-        time.sleep(0.2)
+        time.sleep(0.4)  # Python's finalizers and Spark's cleaner have threads of their own
         spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
