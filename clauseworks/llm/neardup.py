@@ -10,9 +10,11 @@ are joined. Three things make that selective:
   their runs, and no number of parts leaves a block equal for certain; ``plan`` has so many independent partitions
   that 5 or more blocks are equal in the mean.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
-  of the blocks, but for texts that have little else: those have blocks of all their runs too, so that a group of
-  copies that is itself a large part of all texts is found. A block counts only if it holds two or three runs, of
-  which two lie apart in the text.
+  of the blocks; a group of copies that is itself a large part of all texts meets on blocks of common runs. If the
+  similarity of two texts is at least t, so is that of their rare runs or that of their common ones. So every text
+  also has blocks of the parts of its whole set that hold common runs alone, four or more of them, and texts that
+  have little else have all blocks of their whole sets. A block counts only if it holds two or three runs, of which
+  two lie apart in the text.
 * What meets is checked by a second parity sketch of two to four bits for each run, whose Hamming distance is at most the symmetric
   difference of the sets: no pair above the threshold is lost. Then the similarity itself is computed.
 
@@ -34,8 +36,9 @@ from clauseworks.session import cut, release
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 20  # share of all texts, and their number at least; log2 of the table's size
-LOW = 0.36  # part of a text's runs that aren't common, up to which the common ones count too
+LOW = 0.36  # part of a text's runs that aren't common, up to which parts of three or more common ones count too
 EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8, 12, 6
+EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK = 100_000, 256
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
@@ -156,13 +159,50 @@ def plan(only_three: bool = False) -> tuple[np.ndarray, np.ndarray]:
 
 
 def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of every block that counts: of the sets without their common runs, and of the whole sets of
-    texts that are mostly common, as the members of a group that is itself a large part of all texts are."""
+    """(text, signature) of every block that counts: of the sets without their common runs, of the parts of common
+    runs alone, and of the whole sets of texts that are mostly common."""
     who, what = blocks(text[~common], value[~common], place[~common], n_texts)
     n, rare = np.bincount(text, minlength=n_texts), np.bincount(text[~common], minlength=n_texts)
     low = (rare <= LOW * n)[text]
     who2, what2 = blocks(text[low], value[low], place[low], n_texts, whole=True)
-    return np.concatenate([who, who2]), np.concatenate([what, what2])
+    who3, what3 = common_blocks(text, value, place, common, n_texts)
+    return np.concatenate([who, who2, who3]), np.concatenate([what, what2, what3])
+
+
+def common_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of the parts of whole sets that hold common runs alone, ``FOUR`` or more, in all texts.
+
+    Parts are larger than those of ``blocks``: one to eight runs in the mean. Texts of few patterns share three common
+    runs by chance too often, and four from all over a text hardly ever.
+    """
+    n = np.bincount(text, minlength=n_texts)
+    band = np.where(np.bincount(text[common], minlength=n_texts) >= FOUR, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 0)
+    of = band[text]
+    who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for b in np.unique(band[band > 0]).tolist():
+        here = of == b
+        t, v, p, c = text[here], value[here], place[here], common[here]
+        first = _starts(t)
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t)))) << (b - 1)
+        t, p, v, row, v_rare, row_rare = t[c], p[c], v[c], row[c], v[~c], row[~c]
+        for seed in range(int(np.ceil(EVIDENCE_OF_FOUR / 2 ** max(b - 1, 4)))):
+            h, shift = mixed(v, seed + 601), np.uint64(65 - b)
+            fine, fine_rare = row + (h >> shift).astype(np.int64), row_rare + (mixed(v_rare, seed + 601) >> shift).astype(np.int64)
+            for k in range(min(3, b)):
+                bits, part = b - 1 - k, fine >> k
+                rare = np.zeros(len(first) << bits, bool)
+                rare[fine_rare >> k] = True
+                alone = np.flatnonzero(~rare[part])
+                alone = alone[np.bincount(part[alone], minlength=len(rare))[part[alone]] >= FOUR]
+                if not len(alone):
+                    continue
+                alone = alone[np.argsort(part[alone], kind="stable")]
+                start = _starts(part[alone])
+                owner = t[alone[start]]
+                good = np.maximum.reduceat(p[alone], start) - np.minimum.reduceat(p[alone], start) >= np.maximum(APART, APART_SHARE * n[owner])
+                who.append(owner[good])
+                what.append(mixed(np.bitwise_xor.reduceat(h[alone], start)[good] ^ np.uint64(bits << 8), seed + 801))
+    return np.concatenate(who), np.concatenate(what)
 
 
 def blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, n_texts: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +241,10 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         text, value, place = sets(texts(batch.column(column)), size, min_words)
         owner, kind = classes(text, value)
+        # copies have the same signatures: one text of each class will do
+        one = np.zeros(batch.num_rows, bool)
+        one[owner[np.unique(kind, return_index=True)[1]]] = True
+        text, value, place = (x[one[text]] for x in (text, value, place))
         who, what = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
         if not len(who):
             return None

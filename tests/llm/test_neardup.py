@@ -95,6 +95,24 @@ def test_groups_hold_chains_copies_and_a_hot_text(spark):
     assert len({(r["clause_id_a"], r["clause_id_b"]) for r in neardup.pairs(df).collect()}) == len(linked)
 
 
+def hot_group(rng, base, copies, shares):
+    """Copies of a base that is hot among the texts, and copies with runs of their own."""
+    texts = [(k, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(30, 200)))) for k in range(200)]
+    texts += [(1000 + k, " ".join(base)) for k in range(copies)]
+    return texts + [(2000 + k, " ".join(base + [rng.choice(VOCABULARY) for _ in range(int(len(base) * x))])) for k, x in enumerate(shares)]
+
+
+@pytest.mark.parametrize("words", [30, 60, 102, 240])
+def test_additions_to_a_hot_text_are_found(spark, words):
+    rng = random.Random(words)
+    texts = hot_group(rng, [rng.choice(VOCABULARY) for _ in range(words)], 60, [k / 100 for k in range(40, 96, 5)])
+    wanted = brute(texts)
+    assert sum(a >= 1000 for a, b in wanted) >= 60 * 59 // 2 + 60 * 12
+    df = spark.createDataFrame(texts, "clause_id bigint, clause string")
+    got = {(r["clause_id_a"], r["clause_id_b"]) for r in neardup.pairs(df).collect()}
+    assert got <= wanted and len(got) >= 0.98 * len(wanted)
+
+
 def test_long_signature_buckets_are_cut_into_blocks():
     import pyarrow as pa
 
