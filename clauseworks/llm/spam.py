@@ -2,7 +2,8 @@
 
 A page's words give a rank-frequency curve. SQL windows rank the curve and fit a line to it in logarithms; its
 slope and residual, and the divergence of the page's words from its language's, are set against the pages of the same
-language and a comparable length, and extreme pages are flagged. Prose of few patterns may be extreme too, so an
+language and a comparable length, and extreme pages are flagged. The parts of links are words here too, which no
+prose has, so that lists of links are extreme. Prose of few patterns may be extreme too, so an
 exact check follows: the share of a flagged page's characters in segments of keywords, links and tags.
 
 Everything that needs a page's words happens in one pass over the texts, so that only curves are shuffled: a curve
@@ -154,6 +155,9 @@ def _measure(key: str, column: str, shares):
         letters = links + sum(len(w) * c for w, c in counts.items())
         # segments of spam are covered for COVER at least, so that a page below this can't have the share
         share = spam_share(t, keys, main) if covered >= COVER * SHARE * letters > 0 else 0.0
+        if own is not t:  # the curve and the divergence are those of the whole page, its links' parts among the words
+            counts = Counter(WORD.findall(t.lower()))
+            n = sum(counts.values())
         return lang, n, divergence(counts, n, model), share, sorted(Counter(counts.values()).items(), reverse=True)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

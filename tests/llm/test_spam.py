@@ -37,6 +37,26 @@ def test_spam_and_no_spam(spark):
     assert {r["doc_id"] for r in spam.spam(df).collect()} == {k for k, _ in rows if k >= 1000}
 
 
+def links(rng, size):
+    out = []
+    while sum(map(len, out)) < size:
+        out.append(f"https://www.{rng.choice(THINGS)}-{rng.choice(CITIES).lower()}.example/{rng.choice(THINGS)}/{rng.randrange(99999)}")
+    return "\n".join(out)
+
+
+def test_links_with_ordinary_sentences(spark):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.randrange(1, 40))) for k in range(300)]
+    for k in range(40):  # 60 to 95 % links
+        text, part = prose(rng, rng.randrange(1, 12)), rng.choice([0.6, 0.75, 0.95])
+        rows.append((1000 + k, text + "\n" + links(rng, len(text) * part / (1 - part))))
+    for k in range(40):  # up to 25 % links
+        text = prose(rng, rng.randrange(6, 20))
+        rows.append((500 + k, text + "\n" + links(rng, len(text) * 0.15)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in spam.spam(df).collect()} == {1000 + k for k in range(40)}
+
+
 def test_a_part_of_keywords_is_no_spam(spark):
     rng = random.Random(1)
     rows = [(k, prose(rng, 30)) for k in range(60)] + [(100, prose(rng, 30) + "\nTags: cheap flats, downtown loft, cheap flats, rent to own")]
