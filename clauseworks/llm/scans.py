@@ -166,10 +166,23 @@ def furniture(lines: list[str], corpus: Corpus) -> list[int]:
     return out
 
 
+def _misread_join(left: str, right: str, corpus: Corpus) -> str | None:
+    """The word, misread in one of its parts, that two tokens at a line's end and the next one's beginning are, if they are."""
+    a, b = core((TOKEN.findall(left) or [""])[-1]), core((TOKEN.findall(right) or [""])[0])
+    joined = a + b
+    if min(len(a), len(b)) < 2 or not 5 < len(joined) <= MISREAD_CAP or not left[-1].isalnum() or not re.search(r"[^\W\d_]", a) or not re.search(r"[^\W\d_]", b):
+        return None
+    if joined in corpus.words or a in corpus.words and b in corpus.words or corpus.meant(a) or corpus.meant(b):
+        return None
+    return joined if corpus.meant(joined) else None
+
+
 def _fragment_join(left: str, right: str, corpus: Corpus) -> str | None:
     """The word that two tokens at a line's end and the next one's beginning are the parts of, if they are."""
     a, b = left.lower(), right.lower()
     hyphen = a[-1:] in HYPHENS
+    if not hyphen and (joined := _misread_join(a, b, corpus)):
+        return joined
     a = a.rstrip(HYPHENS) if hyphen else a
     a, b = a.lstrip(EDGES + "'’"), (LETTERS.match(b) or re.match(r"", b)).group()
     if not a or not b or not a[-1].isalpha() or len(a) > MISREAD_CAP:
@@ -190,7 +203,9 @@ def _fragment_join(left: str, right: str, corpus: Corpus) -> str | None:
 
 
 def traces(text: str, corpus: Corpus) -> set[str]:
-    """The kinds of traces of scanning in a text: "heading", "broken", "misread"."""
+    """The kinds of traces of scanning in a text: "heading", "broken", "misread": lines that the decoder drops, and
+    joins and corrections on its cheapest way through the others. Where no token has such a reading, there is nothing
+    to choose and it isn't run."""
     found: set[str] = set()
     lines = _lines(text)
     if len(lines) > 1:
@@ -198,22 +213,32 @@ def traces(text: str, corpus: Corpus) -> set[str]:
         if gone:
             found.add("heading")
         rest = [x for k, line in enumerate(lines) if k not in gone and (x := line.strip(" \t\xa0"))]
-        for x, y in zip(rest, rest[1:]):
-            left, right = x.split()[-1:], y.split()[:1]
-            if left and right and _fragment_join(left[0], right[0], corpus):
-                found.add("broken")
-                break
     else:
-        gone, rest = set(), [text]
-    if _misread(rest, corpus):
-        found.add("misread")
+        rest = [text]
+    suspects = _suspects(rest, corpus)
+    if suspects or any((left := x.split()[-1:]) and (right := y.split()[:1]) and _fragment_join(left[0], right[0], corpus) for x, y in zip(rest, rest[1:])):
+        tokens, ends, doubted = [], [], []
+        for k, line in enumerate(rest):
+            parts, j = line.split(), 0
+            for part in parts:
+                n = len(TOKEN.findall(part))
+                doubted.append({w for i in range(j, j + n) if (w := suspects.get((k, i)))})
+                j += n
+            tokens += parts
+            ends += [False] * (len(parts) - 1) + [True] * bool(parts)
+        for at, size, _, wrong in _way(tokens, ends, corpus):
+            if size > 1:
+                found.add("broken")
+            elif wrong in doubted[at]:
+                found.add("misread")
     return found
 
 
-def _misread(lines: list[str], corpus: Corpus) -> bool:
-    """Whether a word was misread. Parts of words at line ends, and the last word of a text that breaks off, don't count."""
+def _suspects(lines: list[str], corpus: Corpus) -> dict[tuple[int, int], str]:
+    """Words that may be misread, by line and place in it. The last word of a text that breaks off doesn't count, nor
+    do unknown words of over four letters at the ends of lines, which are parts of words."""
     last = len(lines) - 1
-    words = corpus.words
+    words, out = corpus.words, {}
     for k, line in enumerate(lines):
         tokens = TOKEN.findall(line.lower())
         for j, t in enumerate(tokens):
@@ -223,44 +248,49 @@ def _misread(lines: list[str], corpus: Corpus) -> bool:
             w = core(t)
             if words.get(w, 0.0) > 1e-3 or len(w) < 2:
                 continue
-            edge = j == 0 and k > 0 or j == len(tokens) - 1 and k < last or k == last and j == len(tokens) - 1 and t[-1] not in ".!?"
-            if edge and w.isalpha() and len(lines) > 1 and w not in words or k == last and j == len(tokens) - 1 and t[-1] not in ".!?":
-                if w.isalpha() and not (edge and len(w) > 4 and k != last):
-                    continue
+            if w.isalpha() and k == last and j == len(tokens) - 1 and t[-1] not in ".!?":
+                continue
+            if w.isalpha() and len(w) < 5 and w not in words and len(lines) > 1 and t[-1] in HYPHENS:
+                continue
             if "@" in w and re.search(r"@[\w-]+\.\w", line.lower()) and re.search(r"\w@\w+(?:[.-]\w+)*\.\w{2,}", w):
                 continue
             if corpus.meant(w):
-                return True
-    return False
+                out[k, j] = w
+    return out
 
 
 def _decode(tokens: list[str], at_end: list[bool], corpus: Corpus) -> str:
-    """The cheapest reading of the tokens of a paragraph; ``at_end`` says which of them end a line.
+    """The cheapest reading of the tokens of a paragraph; ``at_end`` says which of them end a line."""
+    return " ".join(shown for _, _, shown, _ in _way(tokens, at_end, corpus))
+
+
+def _way(tokens: list[str], at_end: list[bool], corpus: Corpus) -> list[tuple[int, int, str, str | None]]:
+    """The edges of the cheapest way through the tokens: (token, tokens read, shown, word that was corrected).
 
     best[k] is the least cost of the first k tokens; an edge takes one token as it is or corrected, or two that are
     one word over a line's end, or one that is two words run together.
     """
     n = len(tokens)
-    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    best, back = [0.0] + [math.inf] * n, [(0, 0, "", None)] * (n + 1)
     for k in range(n):
         token = tokens[k]
-        for size, shown, cost in _readings(tokens, k, at_end[k], corpus):
+        for size, shown, cost, wrong in _readings(tokens, k, at_end[k], corpus):
             if best[k] + cost < best[k + size]:
-                best[k + size], back[k + size] = best[k] + cost, (k, shown)
+                best[k + size], back[k + size] = best[k] + cost, (k, size, shown, wrong)
         if best[k + 1] == math.inf:
-            best[k + 1], back[k + 1] = best[k] + COST["unknown"], (k, token)
+            best[k + 1], back[k + 1] = best[k] + COST["unknown"], (k, 1, token, None)
     out, k = [], n
     while k > 0:
-        k, shown = back[k]
-        out.append(shown)
-    return " ".join(out[::-1])
+        out.append(back[k])
+        k = back[k][0]
+    return out[::-1]
 
 
-def _readings(tokens: list[str], k: int, end: bool, corpus: Corpus) -> Iterator[tuple[int, str, float]]:
+def _readings(tokens: list[str], k: int, end: bool, corpus: Corpus) -> Iterator[tuple[int, str, float, str | None]]:
     token = tokens[k]
     low = core(token.lower())
     share = corpus.share(low)
-    yield 1, token, -math.log(share) if share > 0 else COST["unknown"] + COST["letter"] * min(len(low), 20)
+    yield 1, token, -math.log(share) if share > 0 else COST["unknown"] + COST["letter"] * min(len(low), 20), None
     if end and k + 1 < len(tokens):
         joined = _fragment_join(token, tokens[k + 1], corpus)
         if joined:
@@ -269,19 +299,19 @@ def _readings(tokens: list[str], k: int, end: bool, corpus: Corpus) -> Iterator[
             read = corpus.meant(joined)
             if read and joined not in corpus.words:
                 word = _replace(word, joined, read[0])
-            yield 2, word, corpus.cost(read[0] if read else joined) * 0.5 + COST["hyphen" if left != token else "join"]
+            yield 2, word, corpus.cost(read[0] if read else joined) * 0.5 + COST["hyphen" if left != token else "join"], None
     if share > 1e-3:
         return
     for w in {low, *(core(p) for p in TOKEN.findall(token.lower()))}:
         read = corpus.meant(w) if len(w) > 1 else None
         if read:
-            yield 1, _replace(token, w, read[0]), corpus.cost(read[0]) * 0.5
+            yield 1, _replace(token, w, read[0]), corpus.cost(read[0]) * 0.5, w
     if share == 0 and low.isalpha() and len(low) > 6:
         for j in range(2, len(low) - 1):
             a, b = low[:j], low[j:]
             if corpus.share(a) > 1e-5 and corpus.share(b) > 1e-5:
                 at = token.lower().find(low) + j
-                yield 1, f"{token[:at]} {token[at:]}", corpus.cost(a) + corpus.cost(b) + COST["split"]
+                yield 1, f"{token[:at]} {token[at:]}", corpus.cost(a) + corpus.cost(b) + COST["split"], None
 
 
 def _replace(token: str, wrong: str, right: str) -> str:

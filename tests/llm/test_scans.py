@@ -62,6 +62,20 @@ def test_traces_and_repair(spark):
     assert scans.repair(spoilt, known) == f"The landlord shall return the window. {text}"
 
 
+def test_traces_that_only_a_joint_reading_shows(spark):
+    rng, df = corpus(spark)
+    known = scans.corpus_of(df)
+    text = clause(rng, 3)
+    # a misreading in a part of a word that is broken without a hyphen
+    for left, right in (("blan", "kct"), ("landl", "0rd"), ("carct", "aker")):
+        broken = f"The tenant shall keep the {left}\n{right} in the pantry. {text}"
+        assert scans.traces(broken, known) == {"broken"}, (left, right)
+    # a short misread word at the end of a line
+    assert scans.traces(f"The tenant shall return thc\nmirror to the agent. {text}", known) == {"misread"}
+    # parts of broken words aren't misread words
+    assert scans.traces(f"The tenant shall return the mir\nror to the agent. {text}", known) == {"broken"}
+
+
 def test_numbers_on_a_line_of_their_own(spark):
     rng, df = corpus(spark)
     known = scans.corpus_of(df)
