@@ -98,13 +98,19 @@ def last_sentence(reason: str) -> str:
 
 def cut_citation(citations: list[str | None] | None, acts: frozenset[str] = frozenset({"rta"})) -> bool:
     """Whether the last citation breaks off: an open bracket, a part's name without its number, or the beginning of
-    the act's or a part's name."""
-    if not citations or citations[-1] is None:
+    the act's or a part's name, also behind a number. Null entries don't count."""
+    given = [c for c in citations or () if c is not None]
+    if not given:
         return False
-    text = plain(citations[-1])
+    text = plain(given[-1])
     if text.count("(") > text.count(")"):
         return True
-    if not text or any(c.isdigit() for c in text):
+    if any(c.isdigit() for c in text):
+        behind = re.search(r"\d[^\s\d]*\s(?:[\s,]|(?:of|the|de|la)\s)*([^\d]*)$", text)
+        text = behind.group(1).strip() if behind else ""
+        if len(text) < 3:
+            return False
+    if not text:
         return False
     words = re.findall(r"[^\W\d_]+", text)
     if not words or text.endswith(".") and words[-1] not in SECTION | SUBSECTION:

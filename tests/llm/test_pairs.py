@@ -75,3 +75,10 @@ def test_frame_cases(spark):
     assert got == [(1, "empty"), (5, "empty"), (5, "empty")]
     assert pairs.defects(results.limit(0), clauses).collect() == []
     assert len(pairs.defects(results, clauses.limit(0)).collect()) == 3
+
+
+def test_citations_that_break_off_behind_a_number():
+    for cut in ("RTA s. 24 subs", "s. 22 of the Residential Ten", "RTA, art. 6 par"):
+        assert pairs.cut_citation([cut]) and pairs.cut_citation([cut, None]), cut
+    for whole in ("RTA s. 24", "s. 22 of the Residential Tenancies Act", "RTA s. 24 subs. 3", "s. 22(a)", "art. 6 RTA", "Section 5 - Rent"):
+        assert not pairs.cut_citation([whole]), whole
