@@ -46,6 +46,9 @@ EMAIL = re.compile(
     rf"|[^\W_][\w+.-]*\s+(?:at|arobase)\s+[^\W_][\w-]*(?:\s+(?:dot|point)\s+[\w-]+)*\s+(?:dot|point)\s+[^\W\d_]{{2,}}(?![^\W_])",
     re.I,
 )
+# What each form of EMAIL has, besides a sign: at and dot in words, or at in brackets.
+AT_WORDS = frozenset(("at", "arobase", "arrobas"))
+AT_BRACKETS = re.compile(r"[\[({<]\s*(?:at|arobase|a)\s*[\])}>]")
 PHONE = re.compile(
     r"(?<![\w$€£#/.-])(?:\+?1[-. \xa0]?)?(?:\(\d{3}\)[-. \xa0]?|\d{3}[-.  \xa0]?)\d{3}[-. \xa0]?\d{4}(?:\s*(?:ext|x|poste|extension)\.?\s*\d{1,5})?(?![\w-]|[.,/]\d)"
     r"|(?<![\w$€£#/.-])\+\d{1,3}(?:[-. \xa0]?\(?\d{1,5}\)?){2,6}(?:\s*(?:ext|x|poste)\.?\s*\d{1,5})?(?![\w-]|[.,/]\d)"
@@ -110,7 +113,7 @@ def candidates(text: str, names: Names) -> Iterator[tuple[int, int, str, float]]
     """(start, end, kind, score) of the spans that may be segments."""
     low = text.lower()
     words = set(WORD.findall(low))
-    if "@" in text or "＠" in text or "at" in words and ("dot" in words or "(at)" in low or "[at]" in low) or "arobase" in words:
+    if "@" in text or "＠" in text or not AT_WORDS.isdisjoint(words) and ("dot" in words or "point" in words) or AT_BRACKETS.search(low):
         for m in EMAIL.finditer(text):
             yield m.start(), m.end(), "email", _score("form", "strong form") + WEIGHTS["per character"] * len(m.group())
     if NUMBER.search(text):

@@ -76,3 +76,9 @@ def test_frame_cases(spark):
     assert text == {1: None, 2: "", 3: long.replace("541-555-0106", "[PHONE]")}
     assert personal.find(df.limit(0), "id", "clause", names).collect() == []
     assert personal.known_names(None).first == frozenset() and personal.known_names(users.limit(0)).last == frozenset()
+
+
+def test_every_form_of_an_email_reaches_the_model():
+    nobody = personal.Names(frozenset(), frozenset())
+    for form in ("name at host point ca", "jean ( at ) mail.ca", "jean {at} mail.ca", "nom arrobas host point es", "jean (a) mail.ca", "nom arobase host point ca"):
+        assert [k for _, _, k in personal.segments(f"Write to {form} today.", nobody)] == ["email"], form
