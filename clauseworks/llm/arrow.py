@@ -7,23 +7,23 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+BYTES_AT_ONCE = 4_000_000
+TASKS = "spark.clauseworks.tasks"
+
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Values of a string column, nulls as empty texts."""
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-SMALL_BYTES = 16_000_000
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, over all cores if it is small: a small table is often one row group of one file, and so one task.
+    """``df`` in as many tasks as the session setting ``TASKS`` names, whatever its size; as it is where it's unset.
 
-    Larger inputs have tasks enough and aren't shuffled; the rows are the same either way.
+    A file of one row group is one task. Whoever has such files and more cores sets it (bench.py does); a table of many
+    row groups is cut by spark.sql.files.maxPartitionBytes and needs no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
+    tasks = df.sparkSession.conf.get(TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def per_batch(df: DataFrame, schema: str, make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch | None]], *args) -> DataFrame:
@@ -43,7 +43,19 @@ def per_batch(df: DataFrame, schema: str, make: Callable[..., Callable[[pa.Recor
     return spread(df).mapInArrow(run, schema)
 
 
-BYTES_AT_ONCE = 4_000_000
+def per_task(df: DataFrame, schema: str, make: Callable[..., tuple[Callable[[pa.RecordBatch], bool], Callable[[], Iterator[pa.RecordBatch]]]], *args) -> DataFrame:
+    """Run ``add, flush = make(*args)`` once in each task: ``add`` takes in each slice and says whether what it keeps has
+    reached its bound, ``flush`` gives it out and begins anew; it is also called at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, flush = make(*args)
+        for batch in batches:
+            for part in slices(batch):
+                if add(part):
+                    yield from flush()
+        yield from flush()
+
+    return spread(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,16 @@
 """Problem 1: text read from scanned pages, back into readable paragraphs.
 
-A noisy-channel decoder. Words and their shares are counted over all texts. A scanned text loses its running headings
-and page numbers, its lines are joined to one stream of characters, and the stream is decoded into words: a word may
-stand as it is, be split over two tokens, with or without a hyphen, be run together with its neighbour, or have
-characters that recognition confuses; the cheapest way through the stream is found by dynamic programming. Only tokens
-that aren't usual words have more than one way, so the program runs over those and their neighbours. A second
-dynamic program over the lines chooses the paragraph boundaries.
+A noisy-channel decoder. Words, pairs of words, numbers within lines and title-like lines are counted over all texts. A
+scanned text loses its running headings and page numbers; what is left is one stream of characters, which is decoded
+into words. The lattice over the stream has an edge wherever a word of the lexicon can have been written as the
+characters from one place to another: as they are, over a line's end with or without a hyphen, over a space (a word
+torn apart), without a space to the next word (words run together), with characters that recognition confuses, and all
+of these at once. Edges are found by walks along the lexicon's prefixes; the cheapest way, by word and word-pair costs
+and those of the channel, is found by dynamic programming. What the way corrects, joins or drops are the text's traces.
+A second dynamic program over the lines chooses the paragraph boundaries.
+
+Where every word is usual and no two of them can be one, the way through the stream as it is is the cheapest, so the
+program runs over the other words and their neighbours only.
 """
 
 from __future__ import annotations
@@ -15,31 +20,40 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseworks.llm.arrow import per_batch, texts
+from clauseworks.llm import counters
+from clauseworks.llm.arrow import per_batch, per_task, texts
+from clauseworks.llm.shingles import runs, word_hashes
 from clauseworks.session import cut
 
 WORD_SHARE = 2e-6  # words of a smaller share of all tokens aren't in the lexicon: at most 1 / WORD_SHARE are
 CONTEXT_SHARE = 2e-6
 HEAD_SHARE = 4e-5  # of all texts, for a title-like line to count as a running heading
-RATIO, RATIO_MARKED = 30.0, 3.0  # how much more usual a word must be than its misreading
-COST = {"confusion": 5.0, "join": 2.5, "hyphen": 0.5, "split": 6.0, "unknown": 14.0, "letter": 0.6}
+USUAL = 1e-3  # words of this share always stand as they are
+PAIR_BITS = 20
+SLACK = 20.0
+KEPT = 1_000_000  # distinct values that a task counts before it gives them out
+# The costs, in nats. An unknown word costs "unknown", and "letter" for each character from the tenth on. A confusion
+# costs 3.4 (a word must be 30 times as usual as its misreading), and 1.1 where a digit or mark is read.
+COST = {"unknown": 15.2, "letter": 3.0, "confusion": 3.4, "mark": 1.1, "again": 1.4, "short": 3.7, "shortish": 1.1, "split": 6.5, "line": 2.5, "hyphen": 0.5, "space": 7.0, "both known": 6.0, "soft hyphen": 8.0}
 
 # What recognition makes of characters (read: meant).
 CONFUSED = {
     "1": "l i", "0": "o", "5": "s", "9": "g", "6": "é b e", "8": "b", "@": "a", "$": "s", "|": "l i", "!": "l i", "3": "e", "2": "z", "4": "a", "7": "t",
     "rn": "m", "ri": "n", "ii": "u", "cl": "d", "vv": "w", "li": "h", "h": "li b", "b": "h", "c": "e", "e": "c", "l": "i t", "i": "l j", "t": "f l", "f": "t", "d": "cl", "m": "rn in", "n": "ri", "u": "ii", "w": "vv", "é": "e", "è": "e", "ê": "e",
 }
+MEANT = {read: tuple(meant.split()) for read, meant in CONFUSED.items()}
 # Marks that recognition puts into a word.
 STRAY = "|~`^¦"
 HYPHENS = "-‐‑­¬–~"
+SOFT = "‐­¬"  # that are hardly ever written but at a line's end
 TOKEN = re.compile(r"[^\s,;:()\[\]{}\"“”«»'’…/\\—–\xa0]+")
 EDGES = ".!?-‐‑­¬*•·_="
-LETTERS = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)*")
-LINE = re.compile(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
+LINE = re.compile(r"\r\n|[\r\n\x0b\x0c\x85  ]")
 PAGE = re.compile(
     r"[-–—\[(|\s]*(?:(?:page|pg|p)\b\.?\s*(?:\d{1,4}|[ivxlc]{1,7})(?:\s*(?:of|de|sur|/|\|)\s*\d{1,4})?|\d{1,4}(?:\s*(?:of|de|sur|/|\|)\s*\d{1,4})?)[-–—\])|\s]*", re.I
 )
@@ -48,8 +62,13 @@ ROMAN = re.compile(r"[-–—\[(]\s*[ivxlc]{1,7}\s*[-–—\])]", re.I)
 HEAD_WORDS = frozenset("lease agreement tenancy residential confidential draft copy standard form rev revision rental office initials package page pg bail formulaire confidentiel ébauche copie convention location version".split())
 PAGE_PART = re.compile(r"(?<![^\W_])(?:page|pg)\.?\s*(?:\d{1,4}|[ivxlc]{1,7})(?![^\W_])|(?<![^\W_])p\.\s*\d{1,4}|(?:rev\.?|form|no\.)\s*[\w-]*\d|_{3,}|-\s*\d{1,4}\s*-\s*$|\[\d{1,4}\]\s*$|\|\s*\d{1,4}\s*$", re.I)
 ENDED = re.compile(r"[.!?:;][\"”’»)\]]*\s*$")
+TITLE_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 LIST_MARK = re.compile(r"\s*(?:[-•*·–]\s|\(?[a-zA-Z0-9]{1,3}[.)]\s)")
-MISREAD_CAP = 25  # letters of a word that is decoded
+ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|e|er|re|ème|h|am|pm)")
+MAIL = re.compile(r"\w@\w+(?:[.-]\w+)*\.\w{2,}")
+GAP = re.compile(rf"(?P<hyphen>[{re.escape(HYPHENS)}]?)[ \t\xa0]*(?P<end>\n?)[ \t\xa0]*")
+#: the kinds of traces that make a text a scanned one; spaces in wrong places alone don't
+TRACES = ("heading", "broken", "misread")
 
 
 def core(token: str) -> str:
@@ -66,16 +85,36 @@ def heading_form(line: str) -> str:
 
 def title_like(line: str) -> bool:
     """Two words or more, most of them with a capital, and no end of a sentence."""
-    words = [w for w in re.findall(r"[^\W\d_][\w'’-]*", line) if len(w) > 1]
-    return len(words) > 1 and sum(w[0].isupper() for w in words) >= 0.6 * len(words) and not re.search(r"[.!?;,]\s*$", line) and len(line) < 90
+    if line.islower() or re.search(r"[.!?;,]\s*$", line):
+        return False
+    words = [w for w in TITLE_WORD.findall(line) if len(w) > 1]
+    return len(words) > 1 and sum(w[0].isupper() for w in words) >= 0.6 * len(words)
 
 
-class Corpus:
-    """What the decoder knows of all texts: shares of words, words around inline numbers, usual title-like lines."""
+def pair_slots(all_texts: list[str]) -> tuple[np.ndarray, int]:
+    """Two slots of each pair of neighbouring words, first all first ones, and the number of pairs."""
+    flat, counts = word_hashes(all_texts)
+    value = runs(flat, counts, 2)[1]
+    mask = np.uint64((1 << PAIR_BITS) - 1)
+    return np.concatenate([value & mask, (value >> np.uint64(PAIR_BITS) & mask) + mask + np.uint64(1)]).astype(np.int64), len(value)
+
 
-    def __init__(self, words: dict[str, float], numbers: frozenset[tuple[str, str]], heads: frozenset[str]):
-        self.words, self.numbers, self.heads = words, numbers, heads
-        self._meant: dict[str, tuple[str, int] | None] = {}
+class Corpus:
+    """What the decoder knows of all texts: shares of words and of pairs, words around inline numbers, usual title-like
+    lines. Readings are kept as long as the worker lives; they follow from the rest."""
+
+    def __init__(self, words: dict[str, float], numbers: frozenset[tuple[str, str]], heads: frozenset[str], pairs: np.ndarray | None = None, n_pairs: int = 0):
+        self.words, self.numbers, self.heads, self.pairs, self.n_pairs = words, numbers, heads, pairs, n_pairs
+        self.costs = {w: -math.log(s) for w, s in words.items()}
+        self.prefixes = {w[:k] for w in words for k in range(1, len(w) + 1)}
+        self._read: dict[str, tuple] = {}
+        self._pair: dict[tuple[str, str], float] = {}
+        self._fine: set[str] = set()
+        self._torn: frozenset[tuple[str, str]] | None = None
+        self._left = {a for a, _ in self.torn()}
+
+    def __reduce__(self):
+        return Corpus, (self.words, self.numbers, self.heads, self.pairs, self.n_pairs)
 
     def share(self, word: str) -> float:
         return self.words.get(word, 0.0)
@@ -88,56 +127,120 @@ class Corpus:
         return len(parts) > 1 and all(p in self.words for p in parts)
 
     def cost(self, word: str) -> float:
-        share = self.share(word)
-        return -math.log(share) if share > 0 else COST["unknown"] + COST["letter"] * len(word)
+        """-log of the word's share; that of an unknown word grows with its length."""
+        own = self.costs.get(word)
+        return own if own is not None else COST["unknown"] + COST["letter"] * max(0, len(word) - 9)
+
+    def pair_cost(self, before: str | None, word: str) -> float:
+        """-log of the word's share behind ``before``: half its share of all words, half that of the pairs."""
+        if before is None or self.pairs is None or word not in self.words or before not in self.words:
+            return self.cost(word)
+        if (before, word) not in self._pair:
+            if len(self._pair) > 200_000:
+                self._pair.clear()
+            slots, n = pair_slots([f"{before} {word}"])
+            # the last pair of a compound is that of its last part; what chance gives a counter doesn't count
+            count = min(self.pairs[slots[n - 1]], self.pairs[slots[-1]]) - (3 + 2 * self.n_pairs / len(self.pairs)) if n else 0.0
+            share = max(0.0, count) / max(1, self.n_pairs) / self.words[before]
+            self._pair[before, word] = -math.log(0.5 * self.words[word] + 0.5 * min(1.0, share))
+        return self._pair[before, word]
+
+    def torn(self) -> frozenset[tuple[str, str]]:
+        """Pairs of known words that are cheaper as one word, should a space tear it apart."""
+        if self._torn is None:
+            out = set()
+            for w, c in self.costs.items():
+                for k in range(1, len(w)):
+                    a, b = w[:k], w[k:]
+                    if a in self.costs and b in self.costs and c + COST["space"] + COST["both known"] < self.costs[a] + self.pair_cost(a, b):
+                        out.add((a, b))
+            self._torn = frozenset(out)
+        return self._torn
+
+    def readings(self, text: str) -> tuple[tuple[tuple[str, ...], float, int], ...]:
+        """(words, cost of the channel, confusions) of each way to read lower-case ``text``, of no spaces, that is cheaper
+        than the text as an unknown word or, if it's a usual one, than itself."""
+        if text not in self._read:
+            if len(self._read) > 200_000:
+                self._read.clear()
+            found = self._walk(text)
+            if len(text) > 64:
+                return found
+            self._read[text] = found
+        return self._read[text]
+
+    def _walk(self, text: str) -> tuple[tuple[tuple[str, ...], float, int], ...]:
+        own = self.costs.get(text)
+        letters = sum(map(str.isalpha, text))
+        if letters < 2 or own is not None and own < -math.log(USUAL) or not letters > len(text) / 2 or ORDINAL.fullmatch(text):
+            return ()
+        marked = letters < len(text) - text.count("-") - text.count("‐")
+        short = 0.0 if marked else COST["short"] if len(text) < 3 else COST["shortish"] if len(text) < 4 else 0.0
+        # states by place: (last word before, prefix of the word here) -> (cost, confusions, words before). What is so much
+        # dearer than the unknown word up to there doesn't catch up
+        states: list[dict[tuple[str | None, str], tuple[float, int, tuple[str, ...]]]] = [{} for _ in range(len(text) + 1)]
+        states[0][None, ""] = (0.0, 0, ())
+        most = 1 if own is not None and not marked else len(text)  # a known word has one confusion at most
+        prefixes, costs, whole = self.prefixes, self.costs, self.cost(text)
+        for k in range(len(text)):
+            here = states[k]
+            states[k] = {}
+            if not here:
+                continue
+            line = min(whole, COST["unknown"] + COST["letter"] * max(0, k - 9) + SLACK)
+            if own is None and 1 < k < len(text) - 1:  # words run together
+                for (last, prefix), (cost, n, words) in list(here.items()):
+                    if len(prefix) > 1 and prefix in costs and (c := cost + COST["split"] + self.pair_cost(last, prefix)) < line:
+                        _keep(here, (prefix, ""), (c, n, (*words, prefix)))
+            one, two = text[k], text[k : k + 2]
+            for (last, prefix), (cost, n, words) in here.items():
+                if (longer := prefix + one) in prefixes:
+                    _keep(states[k + 1], (last, longer), (cost, n, words))
+                if n >= most:
+                    continue
+                more = cost + (COST["again"] if n else short)
+                if one in STRAY and 0 < k < len(text) - 1 and more + COST["mark"] < line:
+                    _keep(states[k + 1], (last, prefix), (more + COST["mark"], n + 1, words))
+                for read in (one, two) if len(two) > 1 else (one,):
+                    for v in MEANT.get(read, ()):
+                        if (longer := prefix + v) in prefixes:
+                            value = more + COST["confusion" if one.isalpha() else "mark"]
+                            if value < line:
+                                _keep(states[k + len(read)], (last, longer), (value, n + 1, words))
+        out = []
+        for (last, prefix), (cost, n, words) in states[-1].items():
+            if prefix in costs and (n or words) and len(prefix) > 1 and all(p.isalpha() for p in prefix.split("-")):
+                total = cost + self.pair_cost(last, prefix)
+                if total < whole:  # the cost of the first word is left to the way, which knows the word before
+                    out.append(((*words, prefix), total - self.cost((*words, prefix)[0]), n))
+        return tuple(sorted(out, key=lambda x: x[1]))
+
+    def stand(self, tokens: list[str]) -> bool:
+        """Whether the tokens of a line stand as they are: known words without another reading, of which no two are one that
+        a space tore apart, and what is no word."""
+        own = set(tokens)
+        for t in own - self._fine:
+            body = t.strip(EDGES)
+            if body in self.words and not self.readings(body) or sum(map(str.isalpha, body)) < 2 or "." in body or ORDINAL.fullmatch(body):
+                if len(self._fine) > 200_000:
+                    self._fine.clear()
+                self._fine.add(t)
+            else:
+                return False
+        if self._left.isdisjoint(own):
+            return True
+        bodies = [t.strip(EDGES) for t in tokens]
+        return self.torn().isdisjoint(zip(bodies, bodies[1:]))
 
     def meant(self, word: str) -> tuple[str, int] | None:
         """(the word that was misread as lower-case ``word``, confusions), or None if it stands as it is."""
-        if word not in self._meant:
-            if len(self._meant) > 200_000:
-                self._meant.clear()
-            self._meant[word] = self._search(word)
-        return self._meant[word]
-
-    def _search(self, word: str) -> tuple[str, int] | None:
-        if not 2 <= len(word) <= MISREAD_CAP or self.share(word) > 1e-3:
-            return None
-        letters = sum(c.isalpha() for c in word)
-        if letters < 2 or not letters > len(word) / 2:
-            return None
-        marked = letters < len(word) - word.count("-") - word.count("‐")
-        if marked and re.fullmatch(r"\d+(?:st|nd|rd|th|e|er|re|ème|h|am|pm)", word):
-            return None
-        own = max(self.share(word), WORD_SHARE / 8)
-        # a word of two letters has so many neighbours that only the most usual of them can be meant
-        least = (RATIO_MARKED if marked else RATIO * (40 if len(word) < 3 else 3 if len(word) < 4 else 1)) * own
-        best: tuple[float, str, int] | None = None
-        found, seen = {word}, {word}
-        for depth in (1, 2):
-            nearer = set()
-            for w in found:
-                for v in self._channel(w):
-                    if v not in seen:
-                        seen.add(v)
-                        nearer.add(v)
-                        share = self.share(v)
-                        if share >= max(least * (1 if depth == 1 else 4), WORD_SHARE) and v.replace("-", "").isalpha() and len(v) > 1:
-                            cost = depth * COST["confusion"] - math.log(share)
-                            if best is None or cost < best[0]:
-                                best = (cost, v, depth)
-            if best is not None or len(nearer) > 4000 or not marked and depth == 1 and self.share(word) > 0:
-                break
-            found = nearer
-        return (best[1], best[2]) if best else None
-
-    @staticmethod
-    def _channel(word: str) -> Iterator[str]:
-        for k in range(len(word)):
-            if word[k] in STRAY and 0 < k < len(word) - 1:
-                yield word[:k] + word[k + 1 :]
-            for size in (1, 2):
-                for v in CONFUSED.get(word[k : k + size], "").split() if k + size <= len(word) else ():
-                    yield word[:k] + v + word[k + size :]
+        best = min((r for r in self.readings(word) if r[2] and len(r[0]) == 1), key=lambda r: r[1] + self.cost(r[0][0]), default=None)
+        return (best[0][0], best[2]) if best else None
+
+
+def _keep(states: dict, key: tuple, value: tuple[float, int]) -> None:
+    if key not in states or value < states[key]:
+        states[key] = value
 
 
 def furniture(lines: list[str], corpus: Corpus) -> list[int]:
@@ -146,7 +249,7 @@ def furniture(lines: list[str], corpus: Corpus) -> list[int]:
     out = []
     for at, k in enumerate(filled):
         line = lines[k].strip()
-        if at == 0 or len(line) > 100:
+        if at == 0:
             continue
         before, after = lines[filled[at - 1]].strip(), lines[filled[at + 1]].strip() if at + 1 < len(filled) else ""
         if PAGE.fullmatch(line) or ROMAN.fullmatch(line):
@@ -166,165 +269,209 @@ def furniture(lines: list[str], corpus: Corpus) -> list[int]:
     return out
 
 
-def _misread_join(left: str, right: str, corpus: Corpus) -> str | None:
-    """The word, misread in one of its parts, that two tokens at a line's end and the next one's beginning are, if they are."""
-    a, b = core((TOKEN.findall(left) or [""])[-1]), core((TOKEN.findall(right) or [""])[0])
-    joined = a + b
-    if min(len(a), len(b)) < 2 or not 5 < len(joined) <= MISREAD_CAP or not left[-1].isalnum() or not re.search(r"[^\W\d_]", a) or not re.search(r"[^\W\d_]", b):
-        return None
-    if joined in corpus.words or a in corpus.words and b in corpus.words or corpus.meant(a) or corpus.meant(b):
-        return None
-    return joined if corpus.meant(joined) else None
-
-
-def _fragment_join(left: str, right: str, corpus: Corpus) -> str | None:
-    """The word that two tokens at a line's end and the next one's beginning are the parts of, if they are."""
-    a, b = left.lower(), right.lower()
-    hyphen = a[-1:] in HYPHENS
-    if not hyphen and (joined := _misread_join(a, b, corpus)):
-        return joined
-    a = a.rstrip(HYPHENS) if hyphen else a
-    a, b = a.lstrip(EDGES + "'’"), (LETTERS.match(b) or re.match(r"", b)).group()
-    if not a or not b or not a[-1].isalpha() or len(a) > MISREAD_CAP:
-        return None
-    a = LETTERS.findall(a)[-1] if LETTERS.findall(a) else a
-    joined = a + b
-    if hyphen:
-        if left[-1] == "-" and joined not in corpus.words and f"{a}-{b}" in corpus.words:
-            return None  # a compound at its own hyphen
-        if left[-1] in "–~" and joined not in corpus.words:
-            return None
-        if joined in corpus.words or left[-1] not in "-" or corpus.meant(joined) or not (corpus.known(a) and corpus.known(b)):
-            return joined
-        return None
-    if joined in corpus.words and (a not in corpus.words or b not in corpus.words or corpus.cost(joined) + COST["join"] + 6 < corpus.cost(a) + corpus.cost(b) and min(len(a), len(b)) < 3 and corpus.share(a if len(a) < len(b) else b) < 1e-5):
-        return joined
-    return None
+class Stream:
+    """The de-lined text, a line feed between its lines, and its words: where they begin and end, in lower case."""
+
+    def __init__(self, lines: list[str]):
+        self.text = "\n".join(lines)
+        low = self.text.lower()
+        if len(low) != len(self.text):  # a few letters have another length in lower case
+            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in self.text)
+        self.words: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for m in TOKEN.finditer(low):
+            word, (at, end) = m.group(), m.span()
+            if not word[0].isalnum() or not word[-1].isalnum():
+                body = word.strip(EDGES)
+                if not body:
+                    continue
+                at += word.index(body)
+                word, end = body, at + len(body)
+            self.words.append(word)
+            self.start.append(at)
+            self.end.append(end)
+        self.low = low
+
+    def gap(self, k: int) -> tuple[str, bool] | None:
+        """(hyphen, whether a line ends) between word k and the next, if nothing else is there."""
+        m = GAP.fullmatch(self.low, self.end[k], self.start[k + 1])
+        return (m.group("hyphen"), bool(m.group("end"))) if m and m.end() > m.start() else None
+
+
+def _doubtful(s: Stream, corpus: Corpus) -> list[int]:
+    """The words that the decoder has a choice for: those with other readings, and those at whose end they may be joined
+    with the next."""
+    words, out = corpus.words, []
+    n = len(s.words)
+    last = n - 1 if n and not re.search(r"[.!?]", s.text[s.end[-1] :]) else -1  # a text that breaks off ends in a part of a word
+    torn = corpus.torn()
+    for k, w in enumerate(s.words):
+        share = words.get(w, 0.0)
+        if k + 1 < n:
+            v = s.words[k + 1]
+            line = s.low.find("\n", s.end[k], s.start[k + 1]) >= 0
+            if line and (share == 0.0 or v not in words or w + v in words or s.low[s.end[k]] in HYPHENS):
+                if _letters(w) and _letters(v) and s.gap(k):
+                    out.append(k)
+                    continue
+            elif not line and ((share == 0.0 or v not in words) and (w + v in words or share == 0.0 and v not in words and corpus.readings(w + v)) or (w, v) in torn):
+                if _letters(w) and _letters(v) and s.gap(k):
+                    out.append(k)
+                    continue
+        if share < USUAL and corpus.readings(w) and not ("@" in w and MAIL.search(s.low, max(0, s.start[k] - 1), min(len(s.low), s.end[k] + 40))):
+            out.append(k)
+    return out
 
 
-def traces(text: str, corpus: Corpus) -> set[str]:
-    """The kinds of traces of scanning in a text: "heading", "broken", "misread": lines that the decoder drops, and
-    joins and corrections on its cheapest way through the others. Where no token has such a reading, there is nothing
-    to choose and it isn't run."""
-    found: set[str] = set()
-    lines = _lines(text)
-    if len(lines) > 1:
-        gone = set(furniture(lines, corpus))
-        if gone:
-            found.add("heading")
-        rest = [x for k, line in enumerate(lines) if k not in gone and (x := line.strip(" \t\xa0"))]
-    else:
-        rest = [text]
-    suspects = _suspects(rest, corpus)
-    if suspects or any((left := x.split()[-1:]) and (right := y.split()[:1]) and _fragment_join(left[0], right[0], corpus) for x, y in zip(rest, rest[1:])):
-        tokens, ends, doubted = [], [], []
-        for k, line in enumerate(rest):
-            parts, j = line.split(), 0
-            for part in parts:
-                n = len(TOKEN.findall(part))
-                doubted.append({w for i in range(j, j + n) if (w := suspects.get((k, i)))})
-                j += n
-            tokens += parts
-            ends += [False] * (len(parts) - 1) + [True] * bool(parts)
-        for at, size, _, wrong in _way(tokens, ends, corpus):
-            if size > 1:
-                found.add("broken")
-            elif wrong in doubted[at]:
-                found.add("misread")
-    return found
-
-
-def _suspects(lines: list[str], corpus: Corpus) -> dict[tuple[int, int], str]:
-    """Words that may be misread, by line and place in it. The last word of a text that breaks off doesn't count, nor
-    do unknown words of over four letters at the ends of lines, which are parts of words."""
-    last = len(lines) - 1
-    words, out = corpus.words, {}
-    for k, line in enumerate(lines):
-        tokens = TOKEN.findall(line.lower())
-        for j, t in enumerate(tokens):
-            if t in words:
-                if words[t] > 1e-3:
-                    continue
-            w = core(t)
-            if words.get(w, 0.0) > 1e-3 or len(w) < 2:
-                continue
-            if w.isalpha() and k == last and j == len(tokens) - 1 and t[-1] not in ".!?":
-                continue
-            if w.isalpha() and len(w) < 5 and w not in words and len(lines) > 1 and t[-1] in HYPHENS:
+def _letters(word: str) -> bool:
+    return sum(map(str.isalpha, word)) > 0
+
+
+def _edges(s: Stream, k: int, stop: int, last: int, corpus: Corpus) -> Iterator[tuple[int, tuple[str, ...], float, str, str | None]]:
+    """(words of the stream taken, words read, cost beside the words', shown, kind) of the lattice's edges from word k."""
+    yield 1, (s.words[k],), 0.0, s.text[s.start[k] : s.end[k]], None
+    joined, raw, cost, known, broken = s.words[k], s.text[s.start[k] : s.end[k]], 0.0, s.words[k] in corpus.words, None
+    mail = "@" in joined and MAIL.search(s.low, max(0, s.start[k] - 1), min(len(s.low), s.end[k] + 40))
+    if not mail:
+        for words, channel, n in corpus.readings(joined):
+            if k == last and n:
                 continue
-            if "@" in w and re.search(r"@[\w-]+\.\w", line.lower()) and re.search(r"\w@\w+(?:[.-]\w+)*\.\w{2,}", w):
+            yield 1, words, channel, _shown(raw, words, n), "misread" if n else "run together"
+    for j in range(k, stop - 1):
+        gap = s.gap(j)
+        if gap is None or not _letters(s.words[j]) or not _letters(s.words[j + 1]) or mail:
+            return
+        hyphen, line = gap
+        if hyphen and not line:
+            return
+        if line:
+            if hyphen in ("-", "‐", "‑") and hyphen:
+                whole = f"{s.words[j]}-{s.words[j + 1]}"
+                if j == k and (whole in corpus.words or s.words[j] in corpus.words and s.words[j + 1] in corpus.words):  # a compound at its own hyphen
+                    yield 2, (s.words[j], s.words[j + 1]) if whole not in corpus.words else (whole,), 0.0, f"{raw}{hyphen}{s.text[s.start[j + 1] : s.end[j + 1]]}", None
+            known = known and s.words[j + 1] in corpus.words
+            cost += COST["hyphen"] if hyphen else COST["line"] + COST["both known"] * known
+        else:
+            known = known and s.words[j + 1] in corpus.words
+            cost += COST["space"] + COST["both known"] * known
+        broken = "broken" if line or broken == "broken" else "merged"
+        joined += s.words[j + 1]
+        raw += s.text[s.start[j + 1] : s.end[j + 1]]
+        own = corpus.costs.get(joined)
+        if own is not None or hyphen and (hyphen in SOFT or hyphen == "-" and not known):
+            yield j + 2 - k, (joined,), cost, raw, broken
+        if own is None and j + 1 != last:
+            for words, channel, n in corpus.readings(joined):
+                if len(words) == 1:
+                    yield j + 2 - k, words, cost + channel, _shown(raw, words, n), broken
+        if cost > COST["unknown"] + COST["letter"] * len(joined):
+            return
+
+
+def way(s: Stream, corpus: Corpus) -> list[tuple[int, int, str, str]]:
+    """(first word, words taken, shown, kind) of the edges of the cheapest way that aren't the words as they are.
+
+    The program runs over each stretch of doubtful words with their neighbours. best has, for the place behind each word, the
+    cheapest way to it for each word that was read last, as the next word's cost depends on that.
+    """
+    doubt = _doubtful(s, corpus)
+    if not doubt:
+        return []
+    n = len(s.words)
+    last = n - 1 if not re.search(r"[.!?]", s.text[s.end[-1] :]) else -1
+    out, at = [], 0
+    while at < len(doubt):
+        first = begin = doubt[at]
+        stop = begin + 2
+        while at + 1 < len(doubt) and doubt[at + 1] <= stop:
+            at += 1
+            stop = doubt[at] + 2
+        at += 1
+        stop = min(n, stop + 1)
+        begin = max(0, begin - 1)
+        chance = set(doubt)
+        before = s.words[begin - 1] if begin else None
+        best: list[dict[str | None, tuple[float, int, str | None, tuple | None]]] = [{} for _ in range(stop - begin + 1)]
+        best[0][before] = (0.0, 0, None, None)
+        for k in range(begin, stop):
+            if not best[k - begin]:
                 continue
-            if corpus.meant(w):
-                out[k, j] = w
-    return out
+            edges = list(_edges(s, k, stop, last, corpus)) if k in chance or k + 1 in chance or k == first else [(1, (s.words[k],), 0.0, "", None)]
+            soft = COST["soft hyphen"] if s.low[s.end[k] : s.end[k] + 1] in SOFT and s.end[k] < len(s.low) else 0.0
+            for prev, (cost, *_rest) in best[k - begin].items():
+                for size, words, channel, shown, kind in edges:
+                    if k + size > stop:
+                        continue
+                    total = cost + channel + corpus.pair_cost(prev, words[0]) + (soft if size == 1 else 0.0)
+                    if kind is None and len(words) > 1:
+                        total += corpus.pair_cost(words[0], words[1])
+                    there = best[k + size - begin]
+                    if words[-1] not in there or total < there[words[-1]][0]:
+                        there[words[-1]] = (total, k, prev, (k, size, shown, kind) if kind or size > 1 else None)
+        k = stop
+        word = min(best[k - begin], key=lambda w: best[k - begin][w][0])
+        while k > begin:
+            _, k2, prev, edge = best[k - begin][word]
+            if edge:
+                out.append(edge)
+            k, word = k2, prev
+    return sorted(out)
+
+
+def _shown(raw: str, words: tuple[str, ...], n: int) -> str:
+    """The words read, in the case in which they were written."""
+    if not n:
+        out, at = [], 0
+        for w in words:
+            out.append(raw[at : at + len(w)])
+            at += len(w)
+        return " ".join(out)
+    letters = [c for c in raw if c.isalpha()]
+    text = " ".join(words)
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return text.upper()
+    return text[0].upper() + text[1:] if raw[0].isupper() else text
+
+
+def _open(lines: list[str], corpus: Corpus) -> bool:
+    """Whether a line of known words may go on in a word of the next line."""
+    for x, y in zip(lines, lines[1:]):
+        left, right = x.split()[-1], y.split()[0]
+        if left[-1] in HYPHENS or (a := left[-1:].isalpha() and TOKEN.findall(left.lower())) and (b := TOKEN.findall(right.lower())) and a[-1] + core(b[0]) in corpus.words:
+            return True
+    return False
 
 
-def _decode(tokens: list[str], at_end: list[bool], corpus: Corpus) -> str:
-    """The cheapest reading of the tokens of a paragraph; ``at_end`` says which of them end a line."""
-    return " ".join(shown for _, _, shown, _ in _way(tokens, at_end, corpus))
+def _choices(lines: list[str], corpus: Corpus) -> list[tuple[int, int, str, str]]:
+    """The corrections and joins in the lines of a text; where nothing can be read in another way the program isn't run."""
+    if not (all(corpus.stand(TOKEN.findall(x.lower())) for x in lines) and not _open(lines, corpus)):
+        return way(Stream(lines), corpus)
+    return []
 
 
-def _way(tokens: list[str], at_end: list[bool], corpus: Corpus) -> list[tuple[int, int, str, str | None]]:
-    """The edges of the cheapest way through the tokens: (token, tokens read, shown, word that was corrected).
+def _delined(text: str, corpus: Corpus) -> tuple[list[str], set[int]]:
+    """The lines of a text and which of them are furniture."""
+    lines = _lines(text)
+    return lines, set(furniture(lines, corpus)) if len(lines) > 1 else set()
 
-    best[k] is the least cost of the first k tokens; an edge takes one token as it is or corrected, or two that are
-    one word over a line's end, or one that is two words run together.
-    """
-    n = len(tokens)
-    best, back = [0.0] + [math.inf] * n, [(0, 0, "", None)] * (n + 1)
-    for k in range(n):
-        token = tokens[k]
-        for size, shown, cost, wrong in _readings(tokens, k, at_end[k], corpus):
-            if best[k] + cost < best[k + size]:
-                best[k + size], back[k + size] = best[k] + cost, (k, size, shown, wrong)
-        if best[k + 1] == math.inf:
-            best[k + 1], back[k + 1] = best[k] + COST["unknown"], (k, 1, token, None)
-    out, k = [], n
-    while k > 0:
-        out.append(back[k])
-        k = back[k][0]
-    return out[::-1]
+
+def traces(text: str, corpus: Corpus) -> set[str]:
+    """The kinds of traces in a text: "heading" for lines that are dropped, "broken", "misread", "merged" and "run
+    together" for what the cheapest way through the rest does. Only those of ``TRACES`` make it a scanned one."""
+    lines, gone = _delined(text, corpus)
+    rest = [x for k, line in enumerate(lines) if k not in gone and (x := line.strip(" \t\xa0"))]
+    return {"heading"} & {"heading" if gone else ""} | {kind for *_, kind in _choices(rest, corpus) if kind}
 
 
-def _readings(tokens: list[str], k: int, end: bool, corpus: Corpus) -> Iterator[tuple[int, str, float, str | None]]:
-    token = tokens[k]
-    low = core(token.lower())
-    share = corpus.share(low)
-    yield 1, token, -math.log(share) if share > 0 else COST["unknown"] + COST["letter"] * min(len(low), 20), None
-    if end and k + 1 < len(tokens):
-        joined = _fragment_join(token, tokens[k + 1], corpus)
-        if joined:
-            left = token.rstrip(HYPHENS)
-            word = left + tokens[k + 1]
-            read = corpus.meant(joined)
-            if read and joined not in corpus.words:
-                word = _replace(word, joined, read[0])
-            yield 2, word, corpus.cost(read[0] if read else joined) * 0.5 + COST["hyphen" if left != token else "join"], None
-    if share > 1e-3:
-        return
-    for w in {low, *(core(p) for p in TOKEN.findall(token.lower()))}:
-        read = corpus.meant(w) if len(w) > 1 else None
-        if read:
-            yield 1, _replace(token, w, read[0]), corpus.cost(read[0]) * 0.5, w
-    if share == 0 and low.isalpha() and len(low) > 6:
-        for j in range(2, len(low) - 1):
-            a, b = low[:j], low[j:]
-            if corpus.share(a) > 1e-5 and corpus.share(b) > 1e-5:
-                at = token.lower().find(low) + j
-                yield 1, f"{token[:at]} {token[at:]}", corpus.cost(a) + corpus.cost(b) + COST["split"], None
-
-
-def _replace(token: str, wrong: str, right: str) -> str:
-    at = token.lower().find(wrong)
-    if at < 0:
-        return token
-    old = token[at : at + len(wrong)]
-    letters = [c for c in old if c.isalpha()]
-    if letters and all(c.isupper() for c in letters) and len(letters) > 1:
-        right = right.upper()
-    elif letters and old[0].isupper():
-        right = right[0].upper() + right[1:]
-    return token[:at] + right + token[at + len(wrong) :]
+def _read(lines: list[str], corpus: Corpus) -> str:
+    """The lines as one stream in its cheapest reading, spaces as they are."""
+    s = Stream(lines)
+    out, at = [], 0
+    for k, size, shown, _ in way(s, corpus):
+        out += [s.text[at : s.start[k]], shown]
+        at = s.end[k + size - 1]
+    return "".join([*out, s.text[at:]])
 
 
 def paragraphs(lines: list[str]) -> list[list[str]]:
@@ -361,11 +508,12 @@ def paragraphs(lines: list[str]) -> list[list[str]]:
 
 
 def repair(text: str, corpus: Corpus) -> str:
-    """A scanned text as paragraphs with an empty line between them; a text without a trace of scanning as it is."""
-    if not traces(text, corpus):
-        return text
-    lines = _lines(text)
-    gone = set(furniture(lines, corpus))
+    """A scanned text as paragraphs with an empty line between them. A text without a trace of scanning stays as it is,
+    but for words with spaces in wrong places."""
+    found = traces(text, corpus)
+    if found.isdisjoint(TRACES):
+        return "".join(part if k % 2 else _read([part], corpus) for k, part in enumerate(re.split(f"({LINE.pattern})", text))) if found else text
+    lines, gone = _delined(text, corpus)
     # what stands around a heading goes on across it
     kept, last_gone = [], False
     for k, line in enumerate(lines):
@@ -376,81 +524,81 @@ def repair(text: str, corpus: Corpus) -> str:
         elif line.strip() or not last_gone:
             kept.append(line)
             last_gone = False
-    out = []
-    for paragraph in paragraphs(kept):
-        tokens, ends = [], []
-        for line in paragraph:
-            parts = line.split()
-            tokens += parts
-            ends += [False] * (len(parts) - 1) + [True] * bool(parts)
-        out.append(_decode(tokens, ends, corpus))
-    return "\n\n".join(out)
+    return "\n\n".join(" ".join(_read([x.strip(" \t\xa0") for x in paragraph], corpus).split()) for paragraph in paragraphs(kept))
 
 
 def _count(column: str):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words: Counter[str] = Counter()
-        numbers: Counter[str] = Counter()
-        heads: Counter[str] = Counter()
-        n = 0
+    """Words, words around inline numbers and title-like lines of a task's texts, with the numbers of texts and tokens."""
+    words: Counter[str] = Counter()
+    numbers: Counter[str] = Counter()
+    heads: Counter[str] = Counter()
+    total = Counter()
+
+    def add(batch: pa.RecordBatch) -> bool:
         for t in texts(batch.column(column)):
             tokens = TOKEN.findall(t.lower())
             words.update(tokens)
-            n += bool(tokens)
+            total["texts"] += bool(tokens)
             for k, x in enumerate(tokens):
                 if x.isdigit() and 0 < k < len(tokens) - 1:
                     numbers[f"{core(tokens[k - 1])} {core(tokens[k + 1])}"] += 1
             if "\n" in t or "\r" in t:
-                heads.update({heading_form(x) for x in _lines(t)[1:] if 4 < len(x) < 100 and title_like(x.strip())})
+                heads.update({heading_form(x) for x in _lines(t)[1:] if len(x) > 4 and title_like(x.strip())})
+        return len(words) + len(numbers) + len(heads) > KEPT
+
+    def flush() -> Iterator[pa.RecordBatch]:
         cores: Counter[str] = Counter()
         for w, c in words.items():
+            total["tokens"] += c
             w = core(w)
-            if 1 <= len(w) <= 40 and any(x.isalpha() for x in w) and not ("@" in w and "." in w):
+            if w and any(x.isalpha() for x in w) and not ("@" in w and "." in w):
                 cores[w] += c
-        rows = [("word", w, c) for w, c in cores.items()] + [("number", w, c) for w, c in numbers.items()] + [("head", w, c) for w, c in heads.items()]
-        rows += [("texts", "", n), ("tokens", "", sum(words.values()))]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], ["what", "value", "n"])
+        rows = [(what, v, c) for what, counts in (("word", cores), ("number", numbers), ("head", heads)) for v, c in counts.items()]
+        rows += [(what, "", total[what]) for what in ("texts", "tokens")]
+        for counts in (words, numbers, heads, total):
+            counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], ["what", "value", "n"])
 
-    return run
+    return add, flush
 
 
 def corpus_of(df: DataFrame, column: str = "clause") -> Corpus:
     """Counts over all texts. What comes to the driver has a share of all tokens or texts, so its number is bounded at
-    any size of input: 1 / WORD_SHARE words, 1 / CONTEXT_SHARE contexts, and a few headings for each text at HEAD_SHARE."""
-    counts = cut(per_batch(df.select(column), "what string, value string, n bigint", _count, column).groupBy("what", "value").agg(F.sum("n").alias("n")))
+    any size of input: 1 / WORD_SHARE words, 1 / CONTEXT_SHARE contexts, a few headings for each text at HEAD_SHARE, and
+    2 ** (PAIR_BITS + 1) counters of pairs, each pair in two of them."""
+    counts = cut(per_task(df.select(column), "what string, value string, n bigint", _count, column).groupBy("what", "value").agg(F.sum("n").alias("n")))
     total = {r["what"]: r["n"] for r in counts.filter("what in ('texts', 'tokens')").collect()}
     tokens, n = max(1, total.get("tokens", 0)), max(1, total.get("texts", 0))
     least = F.when(F.col("what") == "word", max(2.0, WORD_SHARE * tokens)).when(F.col("what") == "number", max(3.0, CONTEXT_SHARE * tokens)).otherwise(max(3.0, HEAD_SHARE * n))
     words, numbers, heads = {}, set(), set()
-    for r in counts.filter(~F.col("what").isin("texts", "tokens") & (F.col("n") >= least)).collect():
+    for r in counts.filter(~F.col("what").isin("texts", "tokens") & (F.col("n") >= least)).toLocalIterator():
         if r["what"] == "word":
             words[r["value"]] = r["n"] / tokens
         elif r["what"] == "number":
             numbers.add(tuple(r["value"].split(" ", 1)))
         else:
             heads.add(r["value"])
+    n_pairs, pairs = counters.table(df, column, pair_slots, PAIR_BITS + 1)
     # a spelling with marks or digits among its letters isn't a word, however often it was misread so
-    return Corpus({w: s for w, s in words.items() if w.replace("-", "").replace("‐", "").isalpha()}, frozenset(numbers), frozenset(heads))
+    return Corpus({w: s for w, s in words.items() if w.replace("-", "").replace("‐", "").isalpha()}, frozenset(numbers), frozenset(heads), np.minimum(pairs, 2**32 - 1).astype(np.uint32), n_pairs)
 
 
 def _apply(key: str, column: str, shared, what: str):
-    words, numbers, heads = shared.value
-    corpus = Corpus(words, numbers, heads)
+    corpus = shared.value
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = batch.column(column).to_pylist()
         if what == "traces":
             found = [traces(v, corpus) if v else set() for v in values]
-            keep = pa.array([k for k, f in enumerate(found) if f], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(key).take(keep), pa.array([sorted(f) for f in found if f], pa.list_(pa.string()))], [key, "traces"])
+            keep = pa.array([k for k, f in enumerate(found) if not f.isdisjoint(TRACES)], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(key).take(keep), pa.array([sorted(f) for f in found if not f.isdisjoint(TRACES)], pa.list_(pa.string()))], [key, "traces"])
         return pa.RecordBatch.from_arrays([batch.column(key), pa.array([repair(v, corpus) if v else v for v in values], pa.string())], [key, "text"])
 
     return run
 
 
 def _run(df: DataFrame, key: str, column: str, what: str, schema: str) -> DataFrame:
-    corpus = corpus_of(df, column)
-    shared = df.sparkSession.sparkContext.broadcast((corpus.words, corpus.numbers, corpus.heads))
+    shared = df.sparkSession.sparkContext.broadcast(corpus_of(df, column))
     kind = df.schema[key].dataType.simpleString()
     return per_batch(df.select(key, column), f"`{key}` {kind}, {schema}", _apply, key, column, shared, what)
 

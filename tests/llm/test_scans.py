@@ -76,6 +76,78 @@ def test_traces_that_only_a_joint_reading_shows(spark):
     assert scans.traces(f"The tenant shall return the mir\nror to the agent. {text}", known) == {"broken"}
 
 
+def test_words_torn_apart_and_run_together(spark):
+    rng, df = corpus(spark)
+    known = scans.corpus_of(df)
+    text = clause(rng, 3)
+    for spoilt, kind in ((f"The tenantshall return the mirror. {text}", "run together"), (f"The te nant shall return the mirror. {text}", "merged"), (f"The ten ant shall return the mirror. {text}", "merged")):
+        assert scans.traces(spoilt, known) == {kind}, spoilt
+        assert scans.repair(spoilt, known) == f"The tenant shall return the mirror. {text}"
+    assert scans.repair("returntothelandlord", known) == "return to the landlord"
+    # spaces in wrong places are mended where they stand and don't make a text a scanned one
+    two = f"The tenantshall return the mirror.\n\n  {text}"
+    assert scans.repair(two, known) == two.replace("tenantshall", "tenant shall")
+    assert scans.scanned(spark.createDataFrame([(1, two)], "clause_id bigint, clause string").unionByName(df)).filter("clause_id = 1").isEmpty()
+    # a misreading within a torn word, and words run together of which one is misread
+    assert scans.repair(f"The land l0rd shall return the mirror. {text}", known).startswith("The landlord shall return")
+    assert scans.repair(f"The tenantsha1l return the mirror. {text}", known).startswith("The tenant shall return")
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def spoil(rng, text):
+    """``text`` in lines, with words broken over them, characters misread and headings between."""
+    lines = [""]
+    for w in text.split():
+        if len(lines[-1]) + len(w) > 58:
+            k = rng.randrange(2, len(w) - 1) if len(w) > 5 and rng.random() < 0.4 else 0
+            lines[-1] += (" " + w[:k] + rng.choice(["-", "", "¬"])) * bool(k)
+            w = w[k:]
+            lines.append("")
+        lines[-1] += " " * bool(lines[-1]) + w
+    out = []
+    for line in lines:
+        for k in range(len(line)):
+            read = [r for r, m in scans.MEANT.items() if line.startswith(m[0], k)]
+            if line[k : k + 1].isalpha() and read and rng.random() < 0.012:
+                r = rng.choice(read)
+                line = line[:k] + r + line[k + len(scans.MEANT[r][0]) :]
+        out.append(line)
+    out.insert(rng.randrange(1, len(out)), rng.choice(["Page 4", "- 12 -", "Standard Lease (rev. 3)"]))
+    return "\n".join(out)
+
+
+def test_planted_noise_is_undone(spark):
+    rng, df = corpus(spark)
+    known = scans.corpus_of(df)
+    before = after = size = 0
+    for _ in range(40):
+        text = clause(rng, 4)
+        noisy = spoil(rng, text)
+        before += distance(text, noisy.replace("\n", " "))
+        after += distance(text, scans.repair(noisy, known))
+        size += len(text)
+        assert scans.repair(text, known) == text and scans.traces(text, known) == set()
+    assert before / size > 0.03 and after / size < 0.003, (before / size, after / size)
+
+
+def test_a_corpus_is_sent_whole(spark):
+    import pickle
+
+    rng, df = corpus(spark)
+    known = scans.corpus_of(df)
+    again = pickle.loads(pickle.dumps(known))
+    text = spoil(rng, clause(rng, 4))
+    assert scans.repair(text, again) == scans.repair(text, known) and again.pair_cost("the", "tenant") == known.pair_cost("the", "tenant")
+
+
 def test_numbers_on_a_line_of_their_own(spark):
     rng, df = corpus(spark)
     known = scans.corpus_of(df)
