@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from clauseworks.llm import counters
 from clauseworks.llm.arrow import per_batch, per_task, texts
-from clauseworks.llm.shingles import runs, word_hashes
+from clauseworks.llm.shingles import pair_value, runs, word_hashes
 from clauseworks.session import cut
 
 WORD_SHARE = 2e-6  # words of a smaller share of all tokens aren't in the lexicon: at most 1 / WORD_SHARE are
@@ -106,7 +106,14 @@ class Corpus:
     def __init__(self, words: dict[str, float], numbers: frozenset[tuple[str, str]], heads: frozenset[str], pairs: np.ndarray | None = None, n_pairs: int = 0):
         self.words, self.numbers, self.heads, self.pairs, self.n_pairs = words, numbers, heads, pairs, n_pairs
         self.costs = {w: -math.log(s) for w, s in words.items()}
-        self.prefixes = {w[:k] for w in words for k in range(1, len(w) + 1)}
+        # the least cost of the words that begin so
+        self.prefixes: dict[str, float] = {}
+        for w, c in self.costs.items():
+            for k in range(1, len(w) + 1):
+                if c < self.prefixes.get(w[:k], math.inf):
+                    self.prefixes[w[:k]] = c
+        self.cheapest = min(self.costs.values(), default=0.0)
+        self._hashes: dict[str, tuple[int, int]] = {}
         self._read: dict[str, tuple] = {}
         self._pair: dict[tuple[str, str], float] = {}
         self._fine: set[str] = set()
@@ -131,6 +138,10 @@ class Corpus:
         own = self.costs.get(word)
         return own if own is not None else COST["unknown"] + COST["letter"] * max(0, len(word) - 9)
 
+    def alone(self, word: str) -> float:
+        """The cost of the cheapest reading of a word by itself."""
+        return min((c + self.cost(words[0]) for words, c, _ in self.readings(word)), default=self.cost(word)) if word not in self.words else self.costs[word]
+
     def pair_cost(self, before: str | None, word: str) -> float:
         """-log of the word's share behind ``before``: half its share of all words, half that of the pairs."""
         if before is None or self.pairs is None or word not in self.words or before not in self.words:
@@ -138,13 +149,21 @@ class Corpus:
         if (before, word) not in self._pair:
             if len(self._pair) > 200_000:
                 self._pair.clear()
-            slots, n = pair_slots([f"{before} {word}"])
-            # the last pair of a compound is that of its last part; what chance gives a counter doesn't count
-            count = min(self.pairs[slots[n - 1]], self.pairs[slots[-1]]) - (3 + 2 * self.n_pairs / len(self.pairs)) if n else 0.0
+            value = pair_value(self._hash(before)[1], self._hash(word)[0])
+            mask = (1 << PAIR_BITS) - 1
+            # what chance gives a counter doesn't count
+            count = min(int(self.pairs[value & mask]), int(self.pairs[(value >> PAIR_BITS & mask) + mask + 1])) - (3 + 2 * self.n_pairs / len(self.pairs))
             share = max(0.0, count) / max(1, self.n_pairs) / self.words[before]
             self._pair[before, word] = -math.log(0.5 * self.words[word] + 0.5 * min(1.0, share))
         return self._pair[before, word]
 
+    def _hash(self, word: str) -> tuple[int, int]:
+        """The hashes of a known word's first and last run of letters."""
+        if word not in self._hashes:
+            flat = word_hashes([word])[0]
+            self._hashes[word] = (int(flat[0]), int(flat[-1])) if len(flat) else (0, 0)
+        return self._hashes[word]
+
     def torn(self) -> frozenset[tuple[str, str]]:
         """Pairs of known words that are cheaper as one word, should a space tear it apart."""
         if self._torn is None:
@@ -163,13 +182,14 @@ class Corpus:
         if text not in self._read:
             if len(self._read) > 200_000:
                 self._read.clear()
-            found = self._walk(text)
+            found = self.walk(text)
             if len(text) > 64:
                 return found
             self._read[text] = found
         return self._read[text]
 
-    def _walk(self, text: str) -> tuple[tuple[tuple[str, ...], float, int], ...]:
+    def walk(self, text: str, split: bool = True, most_cost: float = math.inf) -> tuple[tuple[tuple[str, ...], float, int], ...]:
+        """The readings of ``text``, of several words or (without ``split``) of one, that cost less than ``most_cost``."""
         own = self.costs.get(text)
         letters = sum(map(str.isalpha, text))
         if letters < 2 or own is not None and own < -math.log(USUAL) or not letters > len(text) / 2 or ORDINAL.fullmatch(text):
@@ -181,20 +201,22 @@ class Corpus:
         states: list[dict[tuple[str | None, str], tuple[float, int, tuple[str, ...]]]] = [{} for _ in range(len(text) + 1)]
         states[0][None, ""] = (0.0, 0, ())
         most = 1 if own is not None and not marked else len(text)  # a known word has one confusion at most
-        prefixes, costs, whole = self.prefixes, self.costs, self.cost(text)
+        prefixes, costs, whole = self.prefixes, self.costs, min(most_cost, self.cost(text))
         for k in range(len(text)):
             here = states[k]
             states[k] = {}
             if not here:
                 continue
             line = min(whole, COST["unknown"] + COST["letter"] * max(0, k - 9) + SLACK)
-            if own is None and 1 < k < len(text) - 1:  # words run together
+            if split and own is None and 1 < k < len(text) - 1:  # words run together
                 for (last, prefix), (cost, n, words) in list(here.items()):
                     if len(prefix) > 1 and prefix in costs and (c := cost + COST["split"] + self.pair_cost(last, prefix)) < line:
                         _keep(here, (prefix, ""), (c, n, (*words, prefix)))
             one, two = text[k], text[k : k + 2]
             for (last, prefix), (cost, n, words) in here.items():
-                if (longer := prefix + one) in prefixes:
+                # a first word costs what the cheapest word of its prefix does, at least
+                least = 0.0 if words else 1.0
+                if (c := prefixes.get(longer := prefix + one)) is not None and cost + least * c < line:
                     _keep(states[k + 1], (last, longer), (cost, n, words))
                 if n >= most:
                     continue
@@ -203,9 +225,9 @@ class Corpus:
                     _keep(states[k + 1], (last, prefix), (more + COST["mark"], n + 1, words))
                 for read in (one, two) if len(two) > 1 else (one,):
                     for v in MEANT.get(read, ()):
-                        if (longer := prefix + v) in prefixes:
+                        if (c := prefixes.get(longer := prefix + v)) is not None:
                             value = more + COST["confusion" if one.isalpha() else "mark"]
-                            if value < line:
+                            if value + least * c < line:
                                 _keep(states[k + len(read)], (last, longer), (value, n + 1, words))
         out = []
         for (last, prefix), (cost, n, words) in states[-1].items():
@@ -315,7 +337,7 @@ def _doubtful(s: Stream, corpus: Corpus) -> list[int]:
                 if _letters(w) and _letters(v) and s.gap(k):
                     out.append(k)
                     continue
-            elif not line and ((share == 0.0 or v not in words) and (w + v in words or share == 0.0 and v not in words and corpus.readings(w + v)) or (w, v) in torn):
+            elif not line and ((share == 0.0 or v not in words) and (w + v in words or share == 0.0 and v not in words and corpus.walk(w + v, False, corpus.alone(w) + corpus.alone(v) - COST["space"])) or (w, v) in torn):
                 if _letters(w) and _letters(v) and s.gap(k):
                     out.append(k)
                     continue
@@ -332,6 +354,7 @@ def _edges(s: Stream, k: int, stop: int, last: int, corpus: Corpus) -> Iterator[
     """(words of the stream taken, words read, cost beside the words', shown, kind) of the lattice's edges from word k."""
     yield 1, (s.words[k],), 0.0, s.text[s.start[k] : s.end[k]], None
     joined, raw, cost, known, broken = s.words[k], s.text[s.start[k] : s.end[k]], 0.0, s.words[k] in corpus.words, None
+    apart = corpus.alone(joined)
     mail = "@" in joined and MAIL.search(s.low, max(0, s.start[k] - 1), min(len(s.low), s.end[k] + 40))
     if not mail:
         for words, channel, n in corpus.readings(joined):
@@ -361,12 +384,13 @@ def _edges(s: Stream, k: int, stop: int, last: int, corpus: Corpus) -> Iterator[
         own = corpus.costs.get(joined)
         if own is not None or hyphen and (hyphen in SOFT or hyphen == "-" and not known):
             yield j + 2 - k, (joined,), cost, raw, broken
-        if own is None and j + 1 != last:
-            for words, channel, n in corpus.readings(joined):
-                if len(words) == 1:
-                    yield j + 2 - k, words, cost + channel, _shown(raw, words, n), broken
-        if cost > COST["unknown"] + COST["letter"] * len(joined):
+        apart += corpus.alone(s.words[j + 1])
+        # when each word by itself costs no more than a join, a correction and the most usual word, no reading is cheaper
+        if cost + COST["mark"] + corpus.cheapest >= apart:
             return
+        if own is None and j + 1 != last and not known:
+            for words, channel, n in corpus.walk(joined, False, apart - cost):
+                yield j + 2 - k, words, cost + channel, _shown(raw, words, n), broken
 
 
 def way(s: Stream, corpus: Corpus) -> list[tuple[int, int, str, str]]:

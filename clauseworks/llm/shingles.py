@@ -87,6 +87,17 @@ def runs(flat: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, n
     return text[:n][inside], mixed(value[inside])
 
 
+def pair_value(first: int, second: int) -> int:
+    """The hash that ``runs`` gives to two successive words, by their hashes."""
+    full = (1 << 64) - 1
+    value = first ^ (first >> 29)
+    value = (value * STEP + second) & full
+    value ^= value >> 29
+    value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & full
+    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & full
+    return value ^ (value >> 31)
+
+
 def by_text(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The order by text and the upper 44 bits of the value, for up to 2**20 texts: one sort of one key."""
     return np.argsort((text.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
