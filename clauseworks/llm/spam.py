@@ -1,10 +1,10 @@
 """Problem 9: pages of repeated keywords, links or tags instead of sentences.
 
 A page's words give a rank-frequency curve. SQL windows rank the curve and fit a line to it in logarithms; its
-slope and residual, and the divergence of the page's words from its language's, are set against the pages of the same
-language and a comparable length, and extreme pages are flagged. The parts of links are words here too, which no
-prose has, so that lists of links are extreme. Prose of few patterns may be extreme too, so an
-exact check follows: the share of a flagged page's characters in segments of keywords, links and tags.
+slope and residual, and the divergence of the page's words from its language's, are set against the prose of the same
+language and a comparable length, and pages far beyond it are flagged. The parts of links are words here too, which no
+prose has, so that lists of links are extreme. Inventories, contents and accounts are as extreme, so a check
+confirms what is flagged: segments of keywords, links and tags must be more than half of the page's characters.
 
 Everything that needs a page's words happens in one pass over the texts, so that only curves are shuffled: a curve
 has a row for each distinct frequency, not for each word.
@@ -14,27 +14,30 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from functools import lru_cache
+from collections import Counter, OrderedDict
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseworks.llm.arrow import per_batch, texts
+from clauseworks.llm.arrow import per_batch, per_task, texts
 from clauseworks.llm.languages import FUNCTION_WORDS, language
 
 WORD = re.compile(r"[^\W_]+")
 LINK = re.compile(r"(?:<a\s[^>]*>)|(?:\b(?:https?|ftp)://|\bwww\.)[^\s<>\"'()\[\]]+|</a>", re.I)
 TAG = re.compile(r"(?<![^\s,;|(])[#@][^\W_][\w-]*")
+BRACKETS = re.compile(r"\[(?=[^\[\]]*[^\W\d_])[^\[\]]+\](?!\()")  # tags in brackets; [12] is a number, and [a](b) a link
 LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 PARTS = re.compile(r"(?<=[.!?;,])\s+|\s+[|*•·–—/]+\s+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+")
 LINE = 120  # a line up to this length is cut at the ends of sentences only
 MODEL_SHARE = 1e-5  # words with a smaller share of their language count as this
 OVER, PAGE_SHARE, TIMES = 8.0, 0.004, 2  # how much more often, how large a part of the page, and how often at least
-COVER, SHARE = 0.5, 0.42  # of a segment; of a page, a little under half as single words of its lists go unseen
-EXTREME = 1.5  # half interquartile ranges
+COVER, SHARE = 0.5, 0.5  # of a segment, of a page
+EXTREME = 5.0  # half interquartile ranges
+KEPT, COPIES = 500_000, 2048  # words that a task counts before it gives them out; pages whose measures a task keeps
 # One-letter words, which several languages have.
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split()) | frozenset("a i s t d l o e y à é n".split())
 
@@ -52,9 +55,9 @@ def segments(text: str):
 def _counts(column: str):
     """Word counts by language of the prose of a task's texts: of lines with many function words. Lists of keywords
     have few, so they don't make their words usual."""
+    by: dict[str, Counter[str]] = {}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by: dict[str, Counter[str]] = {}
+    def add(batch: pa.RecordBatch) -> bool:
         for t in texts(batch.column(column)):
             prose = Counter()
             for line in LINES.split(_without_links(t).lower()):
@@ -64,16 +67,20 @@ def _counts(column: str):
             lang = language(prose)
             if lang:
                 by.setdefault(lang, Counter()).update(prose)
-        rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items() if len(w) <= 40]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+        return sum(map(len, by.values())) > KEPT
 
-    return run
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
+        by.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+
+    return add, flush
 
 
 def word_shares(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float]]:
     """The share of each word in all sentences of its language, of the words that have ``MODEL_SHARE``: at most
     1 / MODEL_SHARE words for each of the few languages, whatever the input. "und" has the shares in all languages."""
-    counts = per_batch(docs.select(text), "lang string, word string, n bigint", _counts, text).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = per_task(docs.select(text), "lang string, word string, n bigint", _counts, text).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= MODEL_SHARE)
     out: dict[str, dict[str, float]] = {}
@@ -97,13 +104,17 @@ def is_spam(segment: str, keys: frozenset[str], main: frozenset[str] = frozenset
     """Whether links, tags and keywords make up most of a segment that is neither a sentence nor a record.
 
     A sentence has function words for a third of its words, or for a quarter if it says nothing of what the page
-    says at every turn, and says no keyword twice; a record has numbers.
+    says at every turn, says no keyword twice, and something besides what the page says at every turn; a record has
+    numbers.
     """
     links = sum(len(m) for m in LINK.findall(segment))
     rest = LINK.sub(" ", segment) if links else segment
     if "#" in rest or "@" in rest:
         links += sum(len(m) for m in TAG.findall(rest))
         rest = TAG.sub(" ", rest)
+    if "[" in rest and len(tags := BRACKETS.findall(rest)) > 1:
+        links += sum(map(len, tags))
+        rest = BRACKETS.sub(" ", rest)
     words = [w.lower() for w in WORD.findall(rest)]
     letters = links + sum(map(len, words))
     if links >= COVER * max(letters, 1):
@@ -114,7 +125,7 @@ def is_spam(segment: str, keys: frozenset[str], main: frozenset[str] = frozenset
     if any(w.isdigit() for w in words):
         return False
     usual = sum(w in FUNCTION for w in words)
-    if len(set(said)) < len(said):
+    if len(set(said)) < len(said) or len(words) > 2 and len(said) + usual == len(words) and not main.isdisjoint(said):
         return True
     if len(words) < 5:  # a phrase: "rent to own"
         return usual * 3 <= len(words)
@@ -140,9 +151,17 @@ def divergence(counts: Counter[str], n: int, shares: dict[str, float]) -> float:
 
 def _measure(key: str, column: str, shares):
     shares = shares.value
+    kept: OrderedDict[bytes, tuple] = OrderedDict()  # by hash, so that long texts take no room here
 
-    @lru_cache(maxsize=2048)
     def one(t: str):
+        name = blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if name not in kept:
+            if len(kept) >= COPIES:
+                kept.popitem(last=False)
+            kept[name] = measured(t)
+        return kept[name]
+
+    def measured(t: str):
         own = _without_links(t)
         counts = Counter(WORD.findall(own.lower()))
         n = sum(counts.values())
@@ -151,6 +170,7 @@ def _measure(key: str, column: str, shares):
         keys, main = keywords(counts, n, model)
         links = len("".join(t.split())) - len("".join(own.split())) if own is not t else 0
         tags = sum(map(len, TAG.findall(own))) if "#" in own or "@" in own else 0
+        tags += sum(map(len, BRACKETS.findall(t))) if "[" in t else 0
         covered = links + tags + sum(len(w) * counts[w] for w in keys)
         letters = links + sum(len(w) * c for w, c in counts.items())
         # segments of spam are covered for COVER at least, so that a page below this can't have the share
@@ -218,9 +238,14 @@ def flags(measured: DataFrame, extreme: float = EXTREME) -> DataFrame:
     return joined.withColumn("flagged", F.coalesce(out, F.lit(True))).drop("band", *(f"{c}_{x}" for c in names for x in "qe"))
 
 
+def chosen(measured: DataFrame, share: float = SHARE) -> DataFrame:
+    """The pages of ``measured`` that their curve or divergence flags and their share of spam confirms."""
+    return flags(measured).filter(F.col("flagged") & (F.col("spam_share") > share))
+
+
 def spam(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(key, lang, spam_share, slope, residual, divergence) of the pages that are spam; every copy has its row.
 
     Null, empty and blank texts aren't spam. An empty table gives an empty table.
     """
-    return flags(measures(docs, key, text)).filter(F.col("flagged") & (F.col("spam_share") > share)).select(key, "lang", "spam_share", "slope", "residual", "divergence")
+    return chosen(measures(docs, key, text), share).select(key, "lang", "spam_share", "slope", "residual", "divergence")

@@ -75,3 +75,29 @@ def test_frame_cases(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert [r["doc_id"] for r in spam.spam(df).collect()] == [4, 4]
     assert spam.spam(df.limit(0)).collect() == []
+
+
+def test_tags_in_brackets_are_tags_and_numbers_in_brackets_are_not(spark):
+    rng = random.Random(5)
+    tags = " ".join(f"[{rng.choice(['cheap flats', 'short stay', 'loft'])}] [sku-{rng.randrange(9999)} {rng.choice(THINGS)}]" for _ in range(40))
+    decision = "\n".join(f"[{k}] {prose(rng, 1)}" for k in range(30))
+    rows = [(k, prose(rng, rng.randrange(4, 30))) for k in range(100)] + [(500, tags), (501, prose(rng, 2) + "\n" + tags), (600, decision)]
+    assert {r["doc_id"] for r in spam.spam(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {500, 501}
+
+
+def test_the_curve_decides_and_the_share_confirms(spark):
+    """Without the curve, or without the share, other pages would come out."""
+    rng = random.Random(4)
+    good, bad = pages(rng)
+    rows = [(k, t) for k, t in enumerate(good)] + [(1000 + k, t) for k, t in enumerate(bad)]
+    measured = spam.flags(spam.measures(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    by_share = {r["doc_id"] for r in measured if r["spam_share"] > spam.SHARE}
+    by_curve = {r["doc_id"] for r in measured if r["flagged"]}
+    assert by_share & by_curve == {1000 + k for k in range(len(bad))}
+    assert by_curve - by_share and sum(k < 1000 for k in by_curve) <= 0.15 * len(good)  # the curve alone parts nearly all
+    prose = [(k, "en", 100, 2.0 + 0.01 * (k % 9), 0.0, -0.6 + 0.01 * (k % 7), 0.1 + 0.01 * (k % 5)) for k in range(60)]
+    cases = [(100, "en", 100, 2.05, 0.9, -0.57, 0.12), (101, "en", 100, 4.0, 0.9, -0.57, 0.12), (102, "en", 100, 2.05, 0.9, -1.5, 0.12), (103, "en", 100, 4.0, 0.4, -1.5, 0.9)]
+    frame = spark.createDataFrame(prose + cases, "doc_id bigint, lang string, n_words int, divergence double, spam_share double, slope double, residual double")
+    flagged = {r["doc_id"]: r["flagged"] for r in spam.flags(frame).collect()}
+    assert [flagged[k] for k in (100, 101, 102, 103)] == [False, True, True, True]  # the first has the share of spam, and an ordinary curve
+    assert {r["doc_id"] for r in spam.chosen(frame).collect()} == {101, 102}
