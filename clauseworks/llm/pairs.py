@@ -1,7 +1,7 @@
 """Problem 6: answers that are empty, cut off, refusals, copies of their clause or in another language.
 
-A clause and its answer are aligned by the containment of the answer's three-word shingles in the clause, and near
-the threshold by their longest common subsequence, which flags copies. Refusals are aligned with refusal templates. The
+A clause and its answer are aligned by the containment of the answer's three-word shingles in the clause and, where
+it isn't small, by their longest common subsequence, which flags copies. Each sentence is aligned with refusal templates. The
 language of either side comes from its function words. Whether an answer breaks off is measured against the
 complete sentences of all answers: how sentences that begin alike end, and how long they are at least.
 """
@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseworks.llm.arrow import per_batch, spread, texts
+from clauseworks.llm.arrow import per_batch, per_task, texts
 from clauseworks.llm.citations import SECTION, SUBSECTION, plain
 from clauseworks.llm.languages import WORD, language
 from clauseworks.llm.neardup import sets
@@ -28,23 +28,37 @@ PLACEHOLDERS = set("""
 n/a|na|n.a|none|null|nil|nan|undefined|tbd|tba|todo|to do|no answer|no response|no reason|no reason given|not available|not applicable|not provided|not given|empty|blank|pending|unknown|
 aucun|aucune|néant|sans objet|s.o|s/o|à venir|à compléter|vide|pas de réponse|sans réponse|ninguno|ninguna|sin respuesta|no aplica|keine|keine angabe|entfällt|nenhum|nenhuma|sem resposta|xxx
 """.replace("\n", "").split("|"))
-# Templates of refusals; * stands for up to six words.
+# Words that templates name together.
+CLASSES = {
+    "ACT": "assess evaluate judge review comment answer advise help provide give offer say do that's opine analyse analyze decide express interpret make offering assist".split(),
+    "ABLE": "able allowed permitted going willing prepared qualified comfortable authorised authorized position designed free".split(),
+    "NO-WAY": "decline refuse pass abstain".split(),
+    "WORK": "role scope remit competence mandate purview".split(),
+    "RULES": "instructions guidelines rules programming training policy".split(),
+    "VIEW": "assessment opinion answer view comment judgment evaluation".split(),
+}
+# Templates of refusals, token by token; * stands for up to six words, a name in capitals for one of its class.
 REFUSALS = """
-i can't * assess|i cannot * assess|i can not * assess|i am unable to|i'm unable to|i am not able to|i'm not able to|i am not in a position to|i'm not in a position to|i am not allowed to|i'm not allowed to|i am not permitted to
-i can't * help|i cannot * help|i can't * provide|i cannot * provide|i can't * give|i cannot * give|i can't * judge|i cannot * judge|i can't * review|i cannot * review|i can't * evaluate|i cannot * evaluate|i can't * comment|i cannot * comment|i can't * answer|i cannot * answer|i can't * offer|i cannot * offer|i can't * do that|i cannot * do that|i can't * say|i cannot * advise|i can't * advise
-i won't * be|i will not * be|i won't * answer|i will not * answer|i won't * give|i will not * give|i won't * offer|i will not * offer|i won't * judge|i will not * judge|i won't * assess|i will not * assess|i won't * comment|i will not * comment|something i will * answer
-i must decline|i have to decline|i must refuse|i have to refuse|i must pass|i have to pass|i decline to|i refuse to|i would rather not|i'd rather not|i prefer not to|i would prefer not|i'd prefer not
-i do not provide|i don't provide|i do not give|i don't give|i do not offer|i don't offer|i do not comment|i don't comment|i do not judge|i don't judge|i do not answer|i don't answer
-what i can help with|what i am able to|what i'm able to|what i can do|what i may|outside my role|outside of my|beyond my|outside my scope|outside my remit|not my role|not my place
-no assessment can be|no assessment will be|no opinion can be|no opinion will be|no comment on|no comment from me|no answer can be|no view can be|cannot be provided by me|can't be provided by me
-request declined|request denied|request refused|this request is declined|my instructions|my guidelines|my rules|my programming|my training
+i cannot * ACT|i am unable to|i am not * ABLE|i will not * ACT|i will not be|something i will * answer|i am going to * NO-WAY
+i must NO-WAY|i will NO-WAY|i have to NO-WAY|i need to NO-WAY|i decline to|i refuse to|i would rather not|i prefer not to|i would prefer not|i would have to NO-WAY
+i do not provide|i do not give|i do not offer|i do not comment|i do not judge|i do not answer|i do not assess|i do not review|i do not evaluate
+what i can help with|what i am able to|what i can do|what i may|outside my WORK|outside of my|beyond my|not my WORK|not my place
+no VIEW can be|no VIEW will be|no comment on|no VIEW from me|cannot be provided by me
+request declined|request denied|request refused|this request is declined|my RULES
 as an automated assistant|as an assistant|as an ai|as a language model|as an ai language model
-not to me|rather than to me|let us talk about something|let's talk about something|can we talk about something|ask someone else
+not to me|rather than to me|let us talk about something|can we talk about something|ask someone else
 je suis désolé|je suis désolée|je dois refuser|je dois décliner|je ne peux pas|je ne peux * évaluer|je ne suis pas en mesure|je ne suis pas autorisé|je refuse de|je préfère ne pas|je préfère m'abstenir|je ne saurais|je ne donne pas|je ne fournis pas|il m'est impossible|il ne m'est pas possible|en tant qu'assistant|en tant que modèle|mes consignes|mes instructions|pas de mon ressort|pas mon rôle|hors de mon|demande refusée
 lo siento|no puedo * evaluar|no puedo * ayudar|no puedo * opinar|no me es posible|debo rechazar|como asistente|es tut mir leid|leider kann ich|ich kann * nicht|ich darf nicht|als assistent|als ki|sinto muito|não posso * avaliar|não posso * ajudar|não me é possível|devo recusar|como assistente
 """.strip().replace("\n", "|").split("|")
-COPY, COPY_LOW, COPY_LCS = 0.7, 0.5, 0.85
+GAP = 6
+# Short forms and what they stand for; verbs by which a sentence reports what its subject says.
+LONG_FORMS = {"i'm": "i am", "i'd": "i would", "i'll": "i will", "i've": "i have", "can't": "cannot", "won't": "will not", "don't": "do not", "couldn't": "cannot", "wouldn't": "would not", "let's": "let us", "we're": "we are"}
+REPORTS = frozenset("say says said state states stated read reads claim claims write writes provide provides declare declares dit disent indique stipule énonce précise dispose dice indica establece sagt besagt diz".split())
+SPEAKERS = frozenset("i we my our me je j nous mes mon yo ich eu".split())
+PASSIVE = frozenset("be been being that which who".split())
+COPY, COPY_LOW, COPY_LCS, COPY_MOVED = 0.7, 0.2, 0.85, 0.5
 FRAME_SHARE, FINAL_SHARE, LEAST = 2e-4, 2e-3, 3
+KEPT = 500_000  # distinct frames that a task counts before it gives them out
 # What has a point and doesn't end a sentence, besides initials.
 ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Mme", "Mlle", "St", "Ste", "No", "Inc", "Ltd"]
 SENTENCE = re.compile(r"(?<=[.!?])(?<![\s.(][A-Z]\.)" + "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS) + r"[\"”»')\]]*\s+(?=[\"“«(\[]*[A-ZÀ-ÖØ-Þ])")
@@ -54,12 +68,47 @@ TOKEN = re.compile(r"[^\W_]+(?:['’.@+_-][^\W_]+)*")
 KINDS = ("empty", "refusal", "copy", "other_language", "truncated")
 
 
-def _pattern(template: str) -> str:
-    parts = [re.escape(p.strip()).replace(r"\ ", r"\s+") for p in template.split("*")]
-    return r"\s+(?:\S+\s+){0,6}?".join(parts)
-
-
-REFUSAL = re.compile(r"(?<![^\W_])(?:" + "|".join(_pattern(t) for t in sorted(REFUSALS, key=len, reverse=True)) + r")(?![^\W_])")
+SAID = re.compile(r"[^\W_]+(?:['-][^\W_]+)*|[.!?](?=\s|$)|[;:]")
+
+
+def _templates() -> dict[str, list[list[tuple[frozenset[str], int]]]]:
+    """The templates by their first token: for each token the words that it may be, and how many may stand before it."""
+    out: dict[str, list[list[tuple[frozenset[str], int]]]] = {}
+    for template in REFUSALS:
+        steps, gap = [], 0
+        for token in template.split():
+            if token == "*":
+                gap = GAP
+            else:
+                steps.append((frozenset(CLASSES.get(token, [token])), gap))
+                gap = 0
+        for first in steps[0][0]:
+            out.setdefault(first, []).append(steps[1:])
+    return out
+
+
+TEMPLATES = _templates()
+
+
+def aligned(words: list[str], at: int) -> int | None:
+    """Where an alignment of a refusal template with ``words`` from place ``at`` on ends: the template's tokens in order,
+    with other words only where it has a gap, none of which makes the verb passive or opens another clause."""
+    for steps in TEMPLATES.get(words[at], ()):
+        places = [at]
+        for meant, gap in steps:
+            reached = []
+            for k in places:
+                for j in range(k + 1, min(len(words), k + 2 + gap)):
+                    if words[j] in meant:
+                        reached.append(j)
+                    if words[j] in PASSIVE or not words[j][0].isalnum():
+                        break
+            places = reached
+            if not places:
+                break
+        else:
+            return min(places) + 1
+    return None
 
 
 def is_empty(reason: str) -> bool:
@@ -69,9 +118,24 @@ def is_empty(reason: str) -> bool:
 
 
 def is_refusal(reason: str) -> bool:
-    """One of the first two sentences holds a refusal template, outside of quotes."""
+    """A refusal template is aligned with the main statement of a sentence: neither in a quote nor behind a verb that
+    reports what somebody else says."""
     text = re.sub(r"«[^»]*»|\"[^\"]*\"|“[^”]*”", " ", reason.lower().replace("’", "'"))
-    return bool(REFUSAL.search(" ".join(re.split(r"(?<=[.!?])\s+", text.strip())[:2])))
+    if TEMPLATES.keys().isdisjoint(words := SAID.findall(text)) and LONG_FORMS.keys().isdisjoint(words):
+        return False
+    words = [w for short in words for w in LONG_FORMS.get(short, short).split()]
+    words = [w for k, w in enumerate(words) if not (w == "not" and k and words[k - 1] == "cannot")]
+    words = " ".join(words).replace("can not", "cannot").split()
+    start = 0
+    for k, w in enumerate(words):
+        if w in (".", "!", "?", ";"):
+            start = k + 1
+        elif w in TEMPLATES and aligned(words, k):
+            before = words[start:k]
+            reported = next((j for j, v in enumerate(before) if v in REPORTS), None)
+            if reported is None or not SPEAKERS.isdisjoint(before[:reported]):
+                return True
+    return False
 
 
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -150,18 +214,23 @@ def cut_reason(reason: str, frames: dict[str, tuple[int, frozenset[str]]], final
 
 
 def _frames(column: str):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: Counter[tuple[str, str, int]] = Counter()
+    counts: Counter[tuple[str, str, int]] = Counter()
+
+    def add(batch: pa.RecordBatch) -> bool:
         for reason in texts(batch.column(column)):
             text = reason.strip()
             parts = SENTENCE.split(text)
             if not TERMINAL.search(text):
                 parts = parts[:-1]
             counts.update(f for p in parts if (f := frame(p)))
+        return len(counts) > KEPT
+
+    def flush() -> Iterator[pa.RecordBatch]:
         rows = [(*f, n) for f, n in counts.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())], ["start", "last", "words", "n"])
+        counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())], ["start", "last", "words", "n"])
 
-    return run
+    return add, flush
 
 
 def sentence_frames(results: DataFrame, reason: str = "reason") -> tuple[dict[str, tuple[int, frozenset[str]]], frozenset[str]]:
@@ -171,7 +240,7 @@ def sentence_frames(results: DataFrame, reason: str = "reason") -> tuple[dict[st
     Beginnings need a share of all sentences, last words a share of their beginning's, so their number is bounded
     whatever the input: at most 1 / FRAME_SHARE beginnings with 1 / FINAL_SHARE last words each.
     """
-    counted = per_batch(results.select(reason), "start string, last string, words int, n bigint", _frames, reason)
+    counted = per_task(results.select(reason), "start string, last string, words int, n bigint", _frames, reason)
     counted = cut(counted.groupBy("start", "last", "words").agg(F.sum("n").alias("n")))  # read several times below
     each = counted.groupBy("start", "last").agg(F.sum("n").alias("n"))
     lengths = counted.groupBy("start", "words").agg(F.sum("n").alias("n"))
@@ -185,7 +254,9 @@ def sentence_frames(results: DataFrame, reason: str = "reason") -> tuple[dict[st
     return frames, frozenset(r[0] for r in finals)
 
 
-def _judge(key: str, frames: dict, finals: frozenset):
+def _judge(key: str, shared):
+    frames, finals = shared.value
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         reasons, clauses = texts(batch.column("reason")), texts(batch.column("clause"))
         citations = batch.column("citations").to_pylist()
@@ -205,17 +276,17 @@ def defect(reason: str, clause: str, citations: list | None, contained: float |
     """The one defect of an answer: the first of ``KINDS`` that it has."""
     if is_empty(reason):
         return "empty"
-    if is_refusal(reason) and (contained is None or contained < COPY):
+    if (contained is None or contained < COPY) and is_refusal(reason):
         return "refusal"
     words = None
-    if contained is None or COPY_LOW <= contained < COPY:
+    if contained is None or contained >= COPY_LOW:
         words, own = WORD.findall(reason.lower()), WORD.findall(clause.lower())
-        if contained is None and words and own and (words == own or len(words) > 2 and " ".join(words) in " ".join(own)):
-            return "copy"
-        if contained is not None and lcs(words, own) >= COPY_LCS * len(words):
+        if contained is None:
+            if words and own and (words == own or len(words) > 2 and " ".join(words) in " ".join(own)):
+                return "copy"
+        # most of the words in the clause's order; fewer where whole runs of them are the clause's, in another order
+        elif lcs(words, own) >= (COPY_MOVED if contained >= COPY else COPY_LCS) * len(words):
             return "copy"
-    elif contained >= COPY:
-        return "copy"
     spoken = language(words if words is not None else WORD.findall(reason.lower()))
     if spoken is not None:
         asked = language(WORD.findall(clause.lower()))
@@ -231,7 +302,7 @@ def defects(results: DataFrame, clauses: DataFrame, key: str = "result_id") -> D
     missing, null, blank or too short to tell its language can't be a copy or in another language, but has the other
     defects. A null reason is empty.
     """
-    frames, finals = sentence_frames(results)
-    pairs = spread(results.select(key, "clause_id", "reason", "citations")).join(clauses.select("clause_id", "clause"), "clause_id", "left")
+    shared = results.sparkSession.sparkContext.broadcast(sentence_frames(results))
+    pairs = results.select(key, "clause_id", "reason", "citations").join(clauses.select("clause_id", "clause"), "clause_id", "left")
     kind = results.schema[key].dataType.simpleString()
-    return per_batch(pairs.select(key, "reason", "citations", "clause"), f"`{key}` {kind}, defect string", _judge, key, frames, finals)
+    return per_batch(pairs.select(key, "reason", "citations", "clause"), f"`{key}` {kind}, defect string", _judge, key, shared)

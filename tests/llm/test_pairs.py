@@ -43,6 +43,38 @@ def test_a_quote_is_no_copy_and_words_of_refusal_are_no_refusal(spark):
     assert not pairs.is_refusal("I read the spare key rule as a duty on the tenant alone.")
 
 
+def test_refusals_are_the_main_statement_of_any_sentence():
+    for text in (
+        "The clause sets the rent. It names a date. I cannot assess this clause.",
+        "Evaluating this provision is something I am not going to do.",
+        "Under s. 22 subs. 3, I can not, as things stand, judge the passage.",
+        "My guidelines state that I can't comment on leases.",
+        "I'm not prepared to give a view on the spare key.",
+        "The rule names a key. Je ne suis pas en mesure d'évaluer cette clause.",
+    ):
+        assert pairs.is_refusal(text), text
+    for text in (
+        "The clause says I cannot be asked to assess damages, which is unfair.",
+        "The clause says I cannot assess damages, which is unfair.",
+        'The clause reads "I cannot assess damages" and is void.',
+        "I read it twice. The tenant cannot assess the damages.",
+        "I find that the landlord will not answer for the hose.",
+        "I agree. Cannot be assessed by the tenant.",
+    ):
+        assert not pairs.is_refusal(text), text
+
+
+def test_the_alignment_decides_on_copies(spark):
+    known, finals = frames(spark)
+    words = CLAUSE.split()
+    some = " ".join("now" if k % 8 == 4 else w for k, w in enumerate(words))  # a word in eight is another
+    other = " ".join(words[20:] + words[:20])
+    shuffled = " ".join(sorted(words))
+    assert pairs.defect(some, CLAUSE, None, 0.6, known, finals) == "copy" and pairs.defect(other, CLAUSE, None, 0.9, known, finals) == "copy"
+    assert pairs.defect(some, CLAUSE, None, 0.3, known, finals) == "copy"
+    assert pairs.defect(shuffled + ".", CLAUSE, None, 0.3, known, finals) != "copy"
+
+
 def test_citations_that_break_off():
     for text in ("RTA s. (", "RTA se", "section", "R", "Resid", "RTA s. 50(1"):
         assert pairs.cut_citation([text]), text
