@@ -27,14 +27,19 @@ def _counter(column: str, slots_of: Callable[[list[str]], tuple[np.ndarray, int]
         return False
 
     def flush() -> Iterator[pa.RecordBatch]:
-        table = total.reshape(-1, PART)
-        parts = np.flatnonzero(table.any(axis=1))
-        rows = [np.array([rest[0]]).tobytes(), *(_packed(table[p]) for p in parts)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *parts.tolist()], pa.int32()), pa.array(rows, pa.binary())], ["part", "counts"])
+        yield given_out(total, rest[0])
 
     return add, flush
 
 
+def given_out(total: np.ndarray, n: int) -> pa.RecordBatch:
+    """(part, counts) of a task's counters: the parts that aren't all zero, and the number beside them as part -1."""
+    table = total.reshape(-1, PART)
+    parts = np.flatnonzero(table.any(axis=1))
+    rows = [np.array([n]).tobytes(), *(_packed(table[p]) for p in parts)]
+    return pa.RecordBatch.from_arrays([pa.array([-1, *parts.tolist()], pa.int32()), pa.array(rows, pa.binary())], ["part", "counts"])
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Four bytes for each counter where that is enough: the length tells which."""
     return counts.astype(np.uint32).tobytes() if counts.max() < 1 << 32 else counts.tobytes()
@@ -56,18 +61,22 @@ def _sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 _sum.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
 
 
-def summed(df: DataFrame, column: str, slots_of: Callable[[list[str]], tuple[np.ndarray, int]], bits: int) -> DataFrame:
-    """(part, total): the counts of ``slots_of``'s slots over all texts, ``PART`` of them in a row; part -1 has the sum
-    of the numbers that it gives beside them."""
-    return per_task(df.select(column), "part int, counts binary", _counter, column, slots_of, bits).groupBy("part").applyInArrow(_sum, "part int, total binary")
+def summed(counted: DataFrame) -> DataFrame:
+    """(part, total) of what tasks gave out: ``PART`` counts in a row; part -1 has the sum of the numbers beside them."""
+    return counted.groupBy("part").applyInArrow(_sum, "part int, total binary")
 
 
-def table(df: DataFrame, column: str, slots_of: Callable[[list[str]], tuple[np.ndarray, int]], bits: int) -> tuple[int, np.ndarray]:
-    """The sum of the numbers and the table of counts, of ``2 ** bits`` counters, on the driver."""
+def collected(totals: DataFrame, bits: int) -> tuple[int, np.ndarray]:
+    """The sum of the numbers and the table of ``2 ** bits`` counts on the driver, eight bytes for each."""
     counts, n = np.zeros(1 << bits, np.int64), 0
-    for r in summed(df, column, slots_of, bits).toLocalIterator():
+    for r in totals.toLocalIterator():
         if r["part"] < 0:
             n = int(np.frombuffer(r["total"], np.int64)[0])
         else:
             counts[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["total"], np.int64)
     return n, counts
+
+
+def table(df: DataFrame, column: str, slots_of: Callable[[list[str]], tuple[np.ndarray, int]], bits: int) -> tuple[int, np.ndarray]:
+    """``collected`` counts of ``slots_of``'s slots over all texts."""
+    return collected(summed(per_task(df.select(column), "part int, counts binary", _counter, column, slots_of, bits)), bits)

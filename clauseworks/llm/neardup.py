@@ -23,24 +23,27 @@ Exact copies (the same set of runs) are one class from the start and are compare
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from clauseworks.llm.arrow import per_batch, texts
+from clauseworks.llm import counters
+from clauseworks.llm.arrow import per_batch, slices, spread, texts
 from clauseworks.llm.shingles import by_text, mixed, runs, word_hashes
-from clauseworks.session import cut, release
+from clauseworks.session import cut
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 20  # share of all texts, and their number at least; log2 of the table's size
+COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 18  # share of all texts, and their number at least; log2 of the table's size
 LOW = 0.36  # part of a text's runs that aren't common, up to which parts of three or more common ones count too
 EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8, 12, 6
 EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
-PER_BUCKET, BLOCK = 100_000, 256
+PER_BUCKET, BLOCK, BUCKETS_A_TASK = 100_000, 256, 4
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
@@ -78,55 +81,6 @@ def classes(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[start], total.view(np.int64)
 
 
-def _count(column: str, size: int, min_words: int):
-    """Counts by slot of all texts of a task, in slices, with the number of texts in slice -1."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, value, _ = sets(texts(batch.column(column)), size, min_words)
-        slots, counts = np.unique(_slot(value), return_counts=True)
-        part = slots >> 12
-        start = _starts(part)
-        ends = [*start[1:], len(slots)]
-        rows = [(-1, b"", np.array([len(_starts(text))], np.int32).tobytes())]
-        rows += [(int(part[a]), (slots[a:b] & 4095).astype(np.uint16).tobytes(), np.minimum(counts[a:b], 2**31 - 1).astype(np.int32).tobytes()) for a, b in zip(start, ends)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "slots", "counts"])
-
-    return run
-
-
-def _sum_part(key, batches):
-    """The sum of one part's counts; a part has at most 4096 slots."""
-    total = np.zeros(4096, np.int64)
-    for batch in batches:
-        for slots, counts in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist()):
-            where = np.frombuffer(slots, np.uint16) if slots else np.zeros(1, np.uint16)
-            total[where] += np.frombuffer(counts, np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
-
-
-def common_slots(df: DataFrame, column: str, size: int, min_words: int, common: float) -> tuple[int, bytes]:
-    """The number of texts and, as bits, the slots of runs that more than ``common`` of them have.
-
-    A slot also counts the rare runs that fall into it; they are a small fraction of ``common`` at any number of
-    texts. Only the bits come to the driver, 128 kB whatever the input.
-    """
-    counted = per_batch(df.select(column), "part int, slots binary, counts binary", _count, column, size, min_words)
-    summed = counted.groupBy("part").applyInArrow(_sum_iter, "part int, total binary")
-    bits, n = np.zeros(1 << COUNTERS, bool), 0
-    rows = summed.collect()
-    for r in rows:
-        if r["part"] < 0:
-            n = int(np.frombuffer(r["total"], np.int64)[0])
-    for r in rows:
-        if r["part"] >= 0:
-            bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["total"], np.int64) > max(common * n, COMMON_LEAST)
-    return n, np.packbits(bits).tobytes()
-
-
-def _sum_iter(key, table):
-    return pa.Table.from_batches(_sum_part(key, table.to_batches()))
-
-
 @lru_cache(maxsize=2)
 def _bits(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
@@ -278,28 +232,52 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _meet(key, table):
-    """Classes that share a signature within a bucket: (left, right) blocks whose members are to be paired.
-
-    A signature of many classes comes out as pairs of blocks of at most ``BLOCK``, so that no later task has it whole.
-    """
-    what = np.concatenate([np.cumsum(_from_planes(x, 4)) for x in table.column("signatures").to_pylist()])
-    of = np.concatenate([_from_planes(x, CLASS_BYTES) for x in table.column("classes").to_pylist()]).view(np.int64)
+def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of each signature of a bucket that several have, ``BLOCK`` in a row: (bucket, signature, block, blocks,
+    classes). What comes out grows with the classes, not with their pairs, however many share a signature."""
+    whats, ofs = [], []
+    for batch in batches:
+        for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
+            whats.append(np.cumsum(_from_planes(x, 4)))
+            ofs.append(_from_planes(y, CLASS_BYTES))
+    what, of = np.concatenate(whats), np.concatenate(ofs).view(np.int64)
     order = np.lexsort((of, what))
     what, of = what[order], of[order]
     start = _starts(what, of)
     what, of = what[start], of[start]
     start = _starts(what)
     ends = np.append(start[1:], len(what))
-    left, right = [], []
+    kind = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    rows: list[list] = [[], [], [], []]
+
+    def given() -> pa.RecordBatch:
+        bucket = pa.array([key[0].as_py()] * len(rows[0]), pa.int32())
+        return pa.RecordBatch.from_arrays([bucket, *(pa.array(c, t) for c, t in zip(rows, kind))], MET)
+
     for a, b in zip(start[ends - start > 1], ends[ends - start > 1]):
-        parts = [of[k : min(k + BLOCK, b)] for k in range(a, b, BLOCK)]
-        for i, x in enumerate(parts):
-            for y in parts[i:]:
-                left.append(x)
-                right.append(y)
-    kind = pa.list_(pa.int64())
-    return pa.table({"left": pa.array(left, kind), "right": pa.array(right, kind)})
+        blocks = -(-int(b - a) // BLOCK)
+        for k in range(blocks):
+            for column, x in zip(rows, (int(what[a]), k, blocks, of[a + k * BLOCK : min(a + (k + 1) * BLOCK, b)])):
+                column.append(x)
+        if len(rows[0]) > 10_000:
+            yield given()
+            rows = [[], [], [], []]
+    yield given()
+
+
+MET = ["bucket", "signature", "block", "blocks", "classes"]
+# what Spark reads to choose the form that takes and gives one batch after the other
+_bucket_met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+
+
+def block_pairs(met: DataFrame) -> DataFrame:
+    """(left, right): the pairs of blocks of each signature. A signature of one block meets itself where it is; the
+    blocks of a hot one are dealt over all tasks, joined by signature and block, so that no task has it whole."""
+    cold = met.filter("blocks = 1").select(F.col("classes").alias("left"), F.col("classes").alias("right"))
+    hot = met.filter("blocks > 1")
+    left = hot.select("bucket", "signature", F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    right = hot.select("bucket", "signature", "block", F.col("classes").alias("right"))
+    return cold.unionByName(left.join(right, ["bucket", "signature", "block"]).select("left", "right"))
 
 
 def sketch_level(number: np.ndarray) -> np.ndarray:
@@ -307,34 +285,52 @@ def sketch_level(number: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(number, 1))).astype(np.int64) - int(np.log2(SKETCH)) + 1)
 
 
-def _sketches(key: str, column: str, size: int, min_words: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        text, value, _ = sets(texts(batch.column(column)), size, min_words)
-        owner, kind = classes(text, value)
-        if not len(owner):
-            return None
-        start = _starts(text)
-        number = np.diff(np.append(start, len(text)))
-        level = sketch_level(number)
-        row = np.searchsorted(owner, text)
-        own, half = np.empty(len(owner), object), np.empty(len(owner), object)
-        for k in np.unique(level):
-            bits = SKETCH << int(k)
-            at, here = np.flatnonzero(level == k), level[row] == k
-            place = np.searchsorted(at, row[here]) * bits + (mixed(value[here], 7) % np.uint64(bits)).astype(np.int64)
-            odd = (np.bincount(place, minlength=len(at) * bits).reshape(-1, bits) & 1).astype(np.uint8)
-            # bit h % (bits / 2) of the sketch one level lower is the parity of bits h and h + bits / 2 of this one
-            lower = odd[:, : bits // 2] ^ odd[:, bits // 2 :]
-            own[at] = list(np.packbits(odd, axis=1).view(">i8").astype(np.int64))
-            # on the lowest level it is never needed
-            half[at] = list(np.packbits(lower, axis=1).view(">i8").astype(np.int64)) if k else [None] * len(at)
-        words = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(list(own), words), pa.array(list(half), words)],
-            [key, "class", "runs", "level", "sketch", "half"],
-        )
+def _sketched(batch: pa.RecordBatch, key: str, text: np.ndarray, value: np.ndarray) -> pa.RecordBatch | None:
+    """(key, class, runs, level, sketch) of the texts that have a set."""
+    owner, kind = classes(text, value)
+    if not len(owner):
+        return None
+    start = _starts(text)
+    number = np.diff(np.append(start, len(text)))
+    level = sketch_level(number)
+    row = np.searchsorted(owner, text)
+    own = np.empty(len(owner), object)
+    for k in np.unique(level):
+        bits = SKETCH << int(k)
+        at, here = np.flatnonzero(level == k), level[row] == k
+        place = np.searchsorted(at, row[here]) * bits + (mixed(value[here], 7) % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(at) * bits).reshape(-1, bits) & 1).astype(np.uint8)
+        own[at] = list(np.packbits(odd, axis=1).view(">i8").astype(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(list(own), pa.list_(pa.int64()))],
+        [key, "class", "runs", "level", "sketch"],
+    )
 
-    return run
+
+def members(df: DataFrame, key: str, column: str, size: int = SIZE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(members, counts): (key, class, runs, level, sketch) of every text that has ``min_words`` words, and, from the same
+    pass over the texts, the counts of their runs by slot as ``counters`` sums them."""
+    kind = df.schema[key].dataType
+    typed = df.select(key, column).schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << COUNTERS, np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                text, value, _ = sets(texts(part.column(column)), size, min_words)
+                total += np.bincount(_slot(value), minlength=len(total))
+                out = _sketched(part, key, text, value)
+                if out is not None:
+                    n += out.num_rows
+                    none = [pa.nulls(out.num_rows, t) for t in (pa.int32(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *none], [*out.schema.names, "part", "counts"])
+        counted = counters.given_out(total, n)
+        none = [pa.nulls(counted.num_rows, t) for t in (own, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, *counted.columns], [key, "class", "runs", "level", "sketch", "part", "counts"])
+
+    own = to_arrow_type(kind)
+    both = cut(spread(df.select(key, column)).mapInArrow(run, f"`{key}` {typed}, class bigint, runs int, level int, sketch array<bigint>, part int, counts binary"))
+    return both.filter("part is null").drop("part", "counts"), both.filter("part is not null").select("part", "counts")
 
 
 def _similarity(size: int, min_words: int):
@@ -359,39 +355,37 @@ def _similarity(size: int, min_words: int):
     return run
 
 
-def members(df: DataFrame, key: str, column: str, size: int = SIZE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, class, runs, level, sketch, half) of every text that has ``min_words`` words."""
-    kind = df.schema[key].dataType.simpleString()
-    return per_batch(df.select(key, column), f"`{key}` {kind}, class bigint, runs int, level int, sketch array<bigint>, half array<bigint>", _sketches, key, column, size, min_words)
-
-
 def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THRESHOLD, size: int = SIZE, min_words: int = MIN_WORDS, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of each text, and (class_a, class_b, similarity) of different sets from
     ``threshold`` on, class_a < class_b."""
     df = df.select(key, column).filter(F.col(column).isNotNull() & F.col(key).isNotNull())
-    n, packed = common_slots(df, column, size, min_words, common)
-    who = cut(members(df, key, column, size, min_words))
+    who, counted = members(df, key, column, size, min_words)
+    n, totals = counters.collected(counters.summed(counted), COUNTERS)
+    packed = np.packbits(totals > max(common * n, COMMON_LEAST)).tobytes()
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, n * 55 / PER_BUCKET)))))
     signed = per_batch(df.select(column), "bucket int, signatures binary, classes binary", _signatures, column, size, min_words, packed, buckets)
-    met = signed.groupBy("bucket").applyInArrow(_meet, "left array<bigint>, right array<bigint>")
-    pairs = cut(
-        met.select(F.explode("left").alias("short_a"), "right")
+    # a task has a few buckets, at any number of texts
+    met = cut(signed.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_bucket_met, "bucket int, signature bigint, block int, blocks int, classes array<bigint>"))
+    pairs = (
+        block_pairs(met)
+        .select(F.explode("left").alias("short_a"), "right")
         .select("short_a", F.explode(F.filter("right", lambda x: x > F.col("short_a"))).alias("short_b"))
         .distinct()
     )
-    del signed, met
-    release(df.sparkSession)
-    parts = ["runs", "level", "sketch", "half"]
+    parts = ["runs", "level", "sketch"]
     rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in parts))
     short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
     side = lambda x: rep.select(short.alias(f"short_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", *parts)))
     both = F.col("runs_a") + F.col("runs_b")
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    # sketches of neighbouring levels are compared on the lower one; sets further apart in size aren't similar
+    # sketches of neighbouring levels are compared on the lower one, of which bit h is the parity of bits h and h + half
+    # of the higher; sets further apart in size aren't similar
+    words = lambda c: (F.size(c) / 2).cast("int")
+    lower = lambda c: F.zip_with(F.slice(c, F.lit(1), words(c)), F.slice(c, words(c) + 1, words(c)), lambda p, q: p.bitwiseXOR(q))
     far = (
         F.when(F.col("level_a") == F.col("level_b"), apart("sketch_a", "sketch_b"))
-        .when(F.col("level_a") == F.col("level_b") + 1, apart("half_a", "sketch_b"))
-        .when(F.col("level_b") == F.col("level_a") + 1, apart("sketch_a", "half_b"))
+        .when(F.col("level_a") == F.col("level_b") + 1, apart(lower("sketch_a"), "sketch_b"))
+        .when(F.col("level_b") == F.col("level_a") + 1, apart("sketch_a", lower("sketch_b")))
         .otherwise(F.lit(0))
     )
     close = cut(
@@ -403,8 +397,6 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
         .filter(F.col("rep_a") != F.col("rep_b"))
         .select("rep_a", "rep_b")
     )
-    del pairs
-    release(df.sparkSession)
     df = some_keys(df, key, close.select(F.col("rep_a").alias("k")).unionByName(close.select(F.col("rep_b").alias("k"))))
     text = lambda x: df.select(F.col(key).alias(f"rep_{x}"), F.col(column).alias(f"text_{x}"))
     # a key may have several rows here; any row of the class will do, so the pairs are made distinct again

@@ -67,15 +67,15 @@ def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     words = " ".join(rng.choice(VOCABULARY, 300))
     other = words.replace("word1", "word2")
-    rows = neardup._sketches("k", "t", 3, 3)
     import pyarrow as pa
 
-    out = rows(pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([words, other])], ["k", "t"]))
+    text, value, _ = neardup.sets([words, other], 3, 3)
+    out = neardup._sketched(pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([words, other])], ["k", "t"]), "k", text, value)
     a, b = (np.array(x.as_py(), np.int64).view(np.uint64) for x in out.column("sketch"))
     hamming = sum(int(x).bit_count() for x in a ^ b)
     ta, tb = (set(neardup.sets([t])[1].tolist()) for t in (words, other))
     assert 0 < hamming <= len(ta ^ tb)
-    half = [np.array(x.as_py(), np.int64).view(np.uint64) for x in out.column("half")]
+    half = [x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (a, b)]
     assert sum(int(x).bit_count() for x in half[0] ^ half[1]) <= hamming
 
 
@@ -113,15 +113,18 @@ def test_additions_to_a_hot_text_are_found(spark, words):
     assert got <= wanted and len(got) >= 0.98 * len(wanted)
 
 
-def test_long_signature_buckets_are_cut_into_blocks():
+def test_hot_signatures_are_cut_into_blocks(spark):
     import pyarrow as pa
 
-    classes = np.arange(1, 700, dtype=np.uint64)
-    table = pa.table({"signatures": [neardup._planes(np.zeros(699, np.uint64), 4)], "classes": [neardup._planes(classes, neardup.CLASS_BYTES)]})
-    out = neardup._meet(None, table)
-    pairs = {(a, b) for x, y in zip(out["left"].to_pylist(), out["right"].to_pylist()) for a in x for b in y if a < b}
-    assert len(pairs) == 699 * 698 // 2
-    assert max(len(x) for x in out["left"].to_pylist()) <= neardup.BLOCK
+    n = 5 * neardup.BLOCK + 17
+    classes = np.arange(1, n + 1, dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([neardup._planes(np.array([0] * n + [9, 0], np.uint64), 4)]), pa.array([neardup._planes(np.concatenate([classes, np.array([3, 4], np.uint64)]), neardup.CLASS_BYTES)])], ["signatures", "classes"])
+    out = pa.Table.from_batches(list(neardup._bucket_met((pa.scalar(7, pa.int32()),), [batch])))
+    # what a task gives out grows with the classes, not with their pairs
+    assert sum(map(len, out["classes"].to_pylist())) == n + 2 and max(map(len, out["classes"].to_pylist())) <= neardup.BLOCK
+    met = spark.createDataFrame(out.to_pylist(), "bucket int, signature bigint, block int, blocks int, classes array<bigint>")
+    pairs = {(a, b) for r in neardup.block_pairs(met).collect() for a in r["left"] for b in r["right"] if a < b}
+    assert len(pairs) == n * (n - 1) // 2
 
 
 def test_frame_cases(spark):
