@@ -41,22 +41,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps.
-
-    It does so when the driver's JVM collects the frames that nothing refers to any more, which without a hint may be
-    long after the step: call this behind ``cut``, once the frames before it are dropped.
-    """
-    import gc
-    import time
-
-    for _ in range(3):  # the first finds the frames that Python let go, the next what only they referred to
-        gc.collect()
-        time.sleep(0.4)  # Python's finalizers and Spark's cleaner have threads of their own
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.4)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Table ``name`` of a data directory, pruned to ``columns`` when given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
