@@ -1,9 +1,10 @@
 """Problem 5: freely typed citations to the entries of a reference list.
 
 The distinct values are normalised once each: a reference by number becomes the one spelling of that number, any
-other value its content words. Candidates come from an inverted index of character n-grams, scored by weighted
-cosine; a candidate is accepted above a threshold and a margin. An exact check follows: numbers must be equal, and
-words must be misspellings of the entry's words, each of one.
+other value its content words. Equal forms are the same reference. For the others, candidates come from an inverted
+index of character n-grams, scored by weighted cosine; the best one above a threshold is chosen, with those within a
+margin of it. An exact check follows: words must be misspellings of the entry's words, each of one; numbers are equal or
+another reference.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseworks.llm.arrow import per_batch, texts
+from clauseworks.session import cut
 
 # Long names of the acts that the list's codes abbreviate.
 ACT_NAMES = {"rta": "residential tenancies act"}
@@ -29,8 +31,9 @@ SECTION = {"s", "ss", "sec", "secs", "sect", "section", "sections", "art", "arts
 SUBSECTION = {"subs", "subsec", "subsection", "subsections", "sub", "par", "para", "paragraph", "paragraphe", "al", "alinea"}
 REGULATION = {"reg", "regs", "regulation", "regulations", "regl", "reglement"}
 FILLERS = {"of", "the", "de", "la", "le", "du", "des", "no", "and", "et", "re", "see", "under", "voir", "provision", "provisions", "on", "in", "to", "for", "over", "about", "tied", "sur", "aux", "au"}
-THRESHOLD, MARGIN, GRAM, MOST_EDITS = 0.3, 0.02, 2, 3
-MAX_ENTRIES = 100_000
+THRESHOLD, MARGIN, GRAM, MOST_EDITS = 0.4, 0.02, 3, 3
+MAX_ENTRIES, BROADCAST_BYTES = 100_000, 64_000_000
+HOT_SHARE = 1e-4  # of all entries, from which on a value's meaning is sent to all tasks
 TOKEN = re.compile(r"\d+|[^\W\d_]+|§|[()]")
 # digits that were typed or read as letters, within a number or as the whole of a bracket
 LOOKALIKE = re.compile(r"(?<![^\W_])(?=[\dlo]*\d)[\dlo]+(?![^\W_])|(?<=\()[l](?=\))")
@@ -212,25 +215,31 @@ def _normalise(acts: frozenset[str], column: str):
 
 
 def _grams(form: str):
-    padded = F.concat(F.lit("  "), F.col(form), F.lit(" "))
+    padded = F.concat(F.lit(" " * (GRAM - 1)), F.col(form), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda k: F.substring(padded, k, GRAM)))
 
 
 def _check(batch_columns: tuple[str, ...]):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kind, form, entry = (batch.column(c).to_pylist() for c in ("kind", "form", "entry_form"))
-        edits = [(0 if f == e else None) if k == "number" else meant(f, e) for k, f, e in zip(kind, form, entry)]
+        form, entry = (batch.column(c).to_pylist() for c in ("form", "entry_form"))
+        edits = [meant(f, e) for f, e in zip(form, entry)]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch_columns), pa.array(edits, pa.int32())], [*batch_columns, "edits"])
 
     return run
 
 
+def bounded(df: DataFrame, rows: int, bytes_each: int) -> DataFrame:
+    """``df`` to be broadcast if its ``rows`` of ``bytes_each`` are at most ``BROADCAST_BYTES``; else the join is Spark's choice."""
+    return F.broadcast(df) if rows * bytes_each <= BROADCAST_BYTES else df
+
+
 def resolve(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """(value, section_id, score) of each distinct ``value``; -1 where it means none of ``entries``.
 
-    ``entries`` has section_id, code and heading and at most ``MAX_ENTRIES`` rows. A value is accepted if its best
-    candidate's cosine is at least ``threshold``, no other has the same words with as few edits, and the best in
-    edits leads by ``margin`` in cosine where the edits tie.
+    ``entries`` has section_id, code and heading and at most ``MAX_ENTRIES`` rows. A value of an entry's very form means
+    it, with the score 1. Any other value of words means the entry with the highest cosine, from ``threshold`` on, if
+    its words are misspellings of that entry's; of entries within ``margin`` of the highest the one with the fewest
+    edits, then the highest cosine, then the lowest id.
     """
     spark = values.sparkSession
     rows = entries.select("section_id", "code", "heading").limit(MAX_ENTRIES + 1).collect()
@@ -238,42 +247,42 @@ def resolve(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD,
         raise ValueError(f"more than {MAX_ENTRIES} entries")
     acts = frozenset(ACT_NAMES) | {m.group().lower() for r in rows if r["code"] and (m := re.match(r"[^\W\d_]{2,}", r["code"]))}
     forms = [(r["section_id"], *normalise(text, acts)) for r in rows for text in (r["code"], r["heading"]) if text and r["section_id"] is not None]
-    listed = spark.createDataFrame([f for f in forms if f[1] != "none"], "section_id int, entry_kind string, entry_form string")
+    forms = [f for f in forms if f[1] != "none"]
+    n = max(1, len(forms))
+    letters = sum(len(f[2]) for f in forms)
+    listed = spark.createDataFrame(forms, "section_id int, kind string, entry_form string")
+    # every form once, in as many tasks as a shuffle has, as a form's grams and candidates are many times its size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forms_of = per_batch(values.select("value"), "value string, kind string, form string", _normalise, acts, "value")
-    weight = (
-        listed.withColumn("gram", F.explode(_grams("entry_form")))
-        .groupBy("entry_kind", "gram")
-        .agg(F.log(F.lit(1.0 + max(1, len(forms))) / F.count("*")).alias("w"))
-    )
-    index = listed.withColumn("gram", F.explode(_grams("entry_form"))).join(weight, ["entry_kind", "gram"])
-    norms = index.groupBy("section_id", "entry_kind", "entry_form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
     known = forms_of.filter("kind <> 'none'").select("kind", "form").distinct()
-    grams = known.withColumn("gram", F.explode(_grams("form"))).join(F.broadcast(weight.withColumnRenamed("entry_kind", "kind")), ["kind", "gram"], "left")
-    rare = F.coalesce("w", F.lit(math.log(1.0 + max(1, len(forms)))))
-    sizes = grams.groupBy("kind", "form").agg(F.sqrt(F.sum(rare * rare)).alias("norm"))
+    same = bounded(listed.groupBy("kind", F.col("entry_form").alias("form")).agg(F.min("section_id").alias("section_id")), n, 100 + letters // n)
+    exact = known.join(same, ["kind", "form"]).withColumn("score", F.lit(1.0))
+    words = known.filter("kind = 'words'").join(same, ["kind", "form"], "left_anti").select("form").repartition(tasks, "form")
+    own = listed.filter("kind = 'words'").drop("kind").withColumn("gram", F.explode(_grams("entry_form")))
+    weight = own.groupBy("gram").agg(F.log(F.lit(1.0 + n) / F.count("*")).alias("w"))
+    index = own.join(weight, "gram")
+    norms = index.groupBy("section_id", "entry_form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("entry_norm"))
+    rare = F.coalesce("w", F.lit(math.log(1.0 + n)))
+    grams = words.withColumn("gram", F.explode(_grams("form"))).join(bounded(weight, letters + 2 * n, 60), "gram", "left")
+    weighed = grams.groupBy("form").agg(F.sqrt(F.sum(rare * rare)).alias("norm"), F.collect_list(F.when(F.col("w").isNotNull(), F.struct("gram", "w"))).alias("grams"))
+    best = Window.partitionBy("form")
     scored = (
-        grams.filter("w is not null")
-        .select("kind", "form", "gram")
-        .join(F.broadcast(index.withColumnRenamed("entry_kind", "kind")), ["kind", "gram"])  # at most MAX_ENTRIES entries
-        .groupBy("kind", "form", "section_id", "entry_form")
+        weighed.select("form", "norm", F.explode("grams").alias("g"))
+        .select("form", "norm", "g.gram", "g.w")
+        .join(bounded(index.drop("w"), letters + 2 * n, 100 + letters // n), "gram")
+        .groupBy("form", "norm", "section_id", "entry_form")
         .agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-        .join(F.broadcast(norms.withColumnRenamed("entry_kind", "kind")), ["kind", "section_id", "entry_form"])
-        .join(sizes, ["kind", "form"])
+        .join(bounded(norms, n, 100 + letters // n), ["section_id", "entry_form"])
         .withColumn("score", F.col("dot") / (F.col("norm") * F.col("entry_norm")))
         .filter(F.col("score") >= threshold)
-        .select("kind", "form", "section_id", "entry_form", "score")
-    )
-    checked = per_batch(scored, "kind string, form string, section_id int, entry_form string, score double, edits int", _check, tuple(scored.columns)).filter("edits is not null")
-    w = Window.partitionBy("kind", "form").orderBy("edits", F.desc("score"), "section_id")
-    best = (
-        checked.withColumn("rank", F.row_number().over(w))
-        .withColumn("next_edits", F.lead("edits").over(w))
-        .withColumn("next_score", F.lead("score").over(w))
-        .filter("rank = 1")
-        .filter(F.col("next_edits").isNull() | (F.col("next_edits") > F.col("edits")) | (F.col("score") - F.col("next_score") >= margin))
-        .select("kind", "form", "section_id", "score")
+        .withColumn("top", F.max("score").over(best))
+        .filter(F.col("score") >= F.col("top") - margin)
+        .select("form", "section_id", "entry_form", "score")
     )
-    return forms_of.join(best, ["kind", "form"], "left").select("value", F.coalesce("section_id", F.lit(-1)).alias("section_id"), "score")
+    checked = per_batch(scored, "form string, section_id int, entry_form string, score double, edits int", _check, tuple(scored.columns)).filter("edits is not null")
+    w = best.orderBy("edits", F.desc("score"), "section_id")
+    chosen = checked.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(F.lit("words").alias("kind"), "form", "section_id", "score")
+    return forms_of.join(exact.unionByName(chosen), ["kind", "form"], "left").select("value", F.coalesce("section_id", F.lit(-1)).alias("section_id"), "score")
 
 
 def map_citations(results: DataFrame, entries: DataFrame, key: str = "result_id", array: str = "citations", **parameters) -> DataFrame:
@@ -286,5 +295,12 @@ def map_citations(results: DataFrame, entries: DataFrame, key: str = "result_id"
     every = results.select(key, F.posexplode(array).alias("pos", "value")).filter(filled)
     codes = F.broadcast(entries.select(F.col("code").alias("value")).distinct())  # resolve checks its size
     free = every.join(codes, "value", "left_anti")
-    # a value may fill a third of all rows: it is resolved once, and the broadcast or split join is left to AQE
-    return free.join(resolve(free.select("value").distinct(), entries, **parameters), "value").select(key, "pos", "value", "section_id", "score")
+    counted = free.groupBy("value").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    resolved = cut(resolve(counted.select("value"), entries, **parameters).join(counted, "value").crossJoin(F.broadcast(total)))  # one row
+    # what many rows say is sent to all tasks, by a hash: at most 1 / HOT_SHARE values; the others are joined by value
+    hot = resolved.filter(F.col("n") >= HOT_SHARE * F.col("total")).select(F.md5("value").alias("hash"), F.col("section_id").alias("hot_section"), F.col("score").alias("hot_score"), F.lit(True).alias("hot"))
+    each = free.withColumn("hash", F.md5("value")).join(F.broadcast(hot), "hash", "left")
+    often = each.filter("hot").select(key, "pos", "value", F.col("hot_section").alias("section_id"), F.col("hot_score").alias("score"))
+    seldom = each.filter("hot is null").select(key, "pos", "value").join(resolved.filter(F.col("n") < HOT_SHARE * F.col("total")).select("value", "section_id", "score"), "value")
+    return often.unionByName(seldom)
