@@ -41,12 +41,18 @@ def given_out(total: np.ndarray, n: int) -> pa.RecordBatch:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Four bytes for each counter where that is enough: the length tells which."""
-    return counts.astype(np.uint32).tobytes() if counts.max() < 1 << 32 else counts.tobytes()
+    """As few bytes for each counter as the largest needs; the length tells how many."""
+    most = int(counts.max())
+    return counts.astype(next(t for t in WIDTHS if most <= np.iinfo(t).max)).tobytes()
+
+
+WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32).astype(np.int64) if len(raw) == 4 * PART else np.frombuffer(raw, np.int64)
+    if len(raw) < PART:  # the number beside the counters
+        return np.frombuffer(raw, np.int64)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // PART]).astype(np.int64)
 
 
 def _sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,12 +38,13 @@ from clauseworks.llm.shingles import by_text, mixed, runs, word_hashes
 from clauseworks.session import cut
 
 SIZE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 18  # share of all texts, and their number at least; log2 of the table's size
+COMMON, COMMON_LEAST, COUNTERS = 0.005, 20, 20  # share of all texts, and their number at least; log2 of the table's size
 LOW = 0.36  # part of a text's runs that aren't common, up to which parts of three or more common ones count too
 EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8, 12, 6
 EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK, BUCKETS_A_TASK = 100_000, 256, 4
+SIZE_STEPS = 16  # of a set's size to a power of two, as a signature carries it
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
@@ -203,17 +204,18 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
         if not len(who):
             return None
         of = kind[np.searchsorted(owner, who)]
+        steps = np.round(SIZE_STEPS * np.log2(np.maximum(np.bincount(text, minlength=batch.num_rows), 1)))[who].astype(np.uint64)
         bucket = (what % np.uint64(buckets)).astype(np.int32)
         what = what >> np.uint64(32)
         order = np.lexsort((what, bucket))
-        what, of, bucket = what[order], of[order], bucket[order]
+        what, of, bucket, steps = what[order], of[order], bucket[order], np.minimum(steps[order], 255)
         start = _starts(bucket)
         ends = [*start[1:], len(bucket)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[start], pa.int32()),
                 pa.array([_planes(np.diff(what[a:b], prepend=np.uint64(0)), 4) for a, b in zip(start, ends)], pa.binary()),
-                pa.array([_planes(of[a:b].view(np.uint64) >> np.uint64(64 - 8 * CLASS_BYTES), CLASS_BYTES) for a, b in zip(start, ends)], pa.binary()),
+                pa.array([_planes((of[a:b].view(np.uint64) >> np.uint64(64 - 8 * CLASS_BYTES)) << np.uint64(8) | steps[a:b], CLASS_BYTES + 1) for a, b in zip(start, ends)], pa.binary()),
             ],
             ["bucket", "signatures", "classes"],
         )
@@ -232,52 +234,90 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes of each signature of a bucket that several have, ``BLOCK`` in a row: (bucket, signature, block, blocks,
-    classes). What comes out grows with the classes, not with their pairs, however many share a signature."""
-    whats, ofs = [], []
-    for batch in batches:
-        for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
-            whats.append(np.cumsum(_from_planes(x, 4)))
-            ofs.append(_from_planes(y, CLASS_BYTES))
-    what, of = np.concatenate(whats), np.concatenate(ofs).view(np.int64)
-    order = np.lexsort((of, what))
-    what, of = what[order], of[order]
-    start = _starts(what, of)
-    what, of = what[start], of[start]
-    start = _starts(what)
-    ends = np.append(start[1:], len(what))
-    kind = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    rows: list[list] = [[], [], [], []]
-
-    def given() -> pa.RecordBatch:
-        bucket = pa.array([key[0].as_py()] * len(rows[0]), pa.int32())
-        return pa.RecordBatch.from_arrays([bucket, *(pa.array(c, t) for c, t in zip(rows, kind))], MET)
-
-    for a, b in zip(start[ends - start > 1], ends[ends - start > 1]):
-        blocks = -(-int(b - a) // BLOCK)
-        for k in range(blocks):
-            for column, x in zip(rows, (int(what[a]), k, blocks, of[a + k * BLOCK : min(a + (k + 1) * BLOCK, b)])):
-                column.append(x)
-        if len(rows[0]) > 10_000:
-            yield given()
-            rows = [[], [], [], []]
-    yield given()
-
-
-MET = ["bucket", "signature", "block", "blocks", "classes"]
-# what Spark reads to choose the form that takes and gives one batch after the other
-_bucket_met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-
-
-def block_pairs(met: DataFrame) -> DataFrame:
-    """(left, right): the pairs of blocks of each signature. A signature of one block meets itself where it is; the
-    blocks of a hot one are dealt over all tasks, joined by signature and block, so that no task has it whole."""
-    cold = met.filter("blocks = 1").select(F.col("classes").alias("left"), F.col("classes").alias("right"))
+def _bucket_met(threshold: float):
+    """Of each bucket's signatures that several classes have: (bucket, left, right, signature, block, blocks, classes).
+
+    A signature of up to ``BLOCK`` classes gives the pairs of those whose sizes allow ``threshold``, many signatures'
+    in one row, packed. A hot one gives its classes, ``BLOCK`` in a row: what comes out grows with the classes, not with
+    their pairs."""
+
+    def met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whats, ofs = [], []
+        for batch in batches:
+            for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
+                whats.append(np.cumsum(_from_planes(x, 4)))
+                ofs.append(_from_planes(y, CLASS_BYTES + 1))
+        what, of = np.concatenate(whats), np.concatenate(ofs)
+        order = np.lexsort((of, what))
+        what, of = what[order], of[order]
+        start = _starts(what, of)
+        what, of = what[start], of[start]
+        start = _starts(what)
+        size = np.diff(np.append(start, len(what)))
+        bucket = key[0].as_py()
+        for m in np.unique(size[(size > 1) & (size <= BLOCK)]):
+            first = start[size == m]
+            i, j = np.triu_indices(int(m), 1)
+            at_once = max(1, 200_000 // len(i))
+            for k in range(0, len(first), at_once):
+                yield _met_rows([(bucket, *_packed_pairs(of[first[k : k + at_once, None] + i].ravel(), of[first[k : k + at_once, None] + j].ravel(), threshold), None, None, None, None)])
+        for a, m in zip(start[size > BLOCK], size[size > BLOCK]):
+            blocks = -(-int(m) // BLOCK)
+            for k in range(0, blocks, 1000):
+                own = [(bucket, None, None, int(what[a]), x, blocks, of[a + x * BLOCK : min(a + (x + 1) * BLOCK, a + m)].view(np.int64)) for x in range(k, min(k + 1000, blocks))]
+                yield _met_rows(own)
+
+    # what Spark reads to choose the form that takes and gives one batch after the other
+    met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return met
+
+
+MET = "bucket int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
+
+
+def _met_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MET.split(", ")])
+
+
+def _packed_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[bytes, bytes]:
+    """The pairs, lower class first, whose sizes differ by no more than ``threshold`` allows."""
+    near = np.abs((a & np.uint64(255)).astype(np.int64) - (b & np.uint64(255)).astype(np.int64)) <= SIZE_STEPS * np.log2(1 / threshold) + 1
+    a, b = a[near] >> np.uint64(8), b[near] >> np.uint64(8)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    other = a != b
+    return _planes(a[other], CLASS_BYTES), _planes(b[other], CLASS_BYTES)
+
+
+def _unpacked_pairs(threshold: float):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = ([_from_planes(x, CLASS_BYTES) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["short_a", "short_b"])
+
+    return run
+
+
+def _crossed_blocks(threshold: float):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
+            for side, packed in zip(out, _packed_pairs(np.repeat(x, len(y)), np.tile(y, len(x)), threshold)):
+                side.append(_from_planes(packed, CLASS_BYTES))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], ["short_a", "short_b"])
+
+    return run
+
+
+def met_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """(short_a, short_b) of the classes that met. The blocks of a hot signature are dealt over all tasks, joined by
+    signature and block, so that no task has it whole."""
+    cold = per_batch(met.filter("blocks is null").select("left", "right"), "short_a bigint, short_b bigint", _unpacked_pairs, threshold)
     hot = met.filter("blocks > 1")
     left = hot.select("bucket", "signature", F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = hot.select("bucket", "signature", "block", F.col("classes").alias("right"))
-    return cold.unionByName(left.join(right, ["bucket", "signature", "block"]).select("left", "right"))
+    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right"), "short_a bigint, short_b bigint", _crossed_blocks, threshold)
+    return cold.unionByName(crossed).distinct()
 
 
 def sketch_level(number: np.ndarray) -> np.ndarray:
@@ -286,7 +326,7 @@ def sketch_level(number: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batch: pa.RecordBatch, key: str, text: np.ndarray, value: np.ndarray) -> pa.RecordBatch | None:
-    """(key, class, runs, level, sketch) of the texts that have a set."""
+    """(key, class, runs, sketch) of the texts that have a set."""
     owner, kind = classes(text, value)
     if not len(owner):
         return None
@@ -302,13 +342,13 @@ def _sketched(batch: pa.RecordBatch, key: str, text: np.ndarray, value: np.ndarr
         odd = (np.bincount(place, minlength=len(at) * bits).reshape(-1, bits) & 1).astype(np.uint8)
         own[at] = list(np.packbits(odd, axis=1).view(">i8").astype(np.int64))
     return pa.RecordBatch.from_arrays(
-        [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(list(own), pa.list_(pa.int64()))],
-        [key, "class", "runs", "level", "sketch"],
+        [batch.column(key).take(pa.array(owner)), pa.array(kind), pa.array(number.astype(np.int32)), pa.array(list(own), pa.list_(pa.int64()))],
+        [key, "class", "runs", "sketch"],
     )
 
 
 def members(df: DataFrame, key: str, column: str, size: int = SIZE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(members, counts): (key, class, runs, level, sketch) of every text that has ``min_words`` words, and, from the same
+    """(members, counts): (key, class, runs, sketch) of every text that has ``min_words`` words, and, from the same
     pass over the texts, the counts of their runs by slot as ``counters`` sums them."""
     kind = df.schema[key].dataType
     typed = df.select(key, column).schema[key].dataType.simpleString()
@@ -325,11 +365,11 @@ def members(df: DataFrame, key: str, column: str, size: int = SIZE, min_words: i
                     none = [pa.nulls(out.num_rows, t) for t in (pa.int32(), pa.binary())]
                     yield pa.RecordBatch.from_arrays([*out.columns, *none], [*out.schema.names, "part", "counts"])
         counted = counters.given_out(total, n)
-        none = [pa.nulls(counted.num_rows, t) for t in (own, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*none, *counted.columns], [key, "class", "runs", "level", "sketch", "part", "counts"])
+        none = [pa.nulls(counted.num_rows, t) for t in (own, pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, *counted.columns], [key, "class", "runs", "sketch", "part", "counts"])
 
     own = to_arrow_type(kind)
-    both = cut(spread(df.select(key, column)).mapInArrow(run, f"`{key}` {typed}, class bigint, runs int, level int, sketch array<bigint>, part int, counts binary"))
+    both = cut(spread(df.select(key, column)).mapInArrow(run, f"`{key}` {typed}, class bigint, runs int, sketch array<bigint>, part int, counts binary"))
     return both.filter("part is null").drop("part", "counts"), both.filter("part is not null").select("part", "counts")
 
 
@@ -365,17 +405,11 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, n * 55 / PER_BUCKET)))))
     signed = per_batch(df.select(column), "bucket int, signatures binary, classes binary", _signatures, column, size, min_words, packed, buckets)
     # a task has a few buckets, at any number of texts
-    met = cut(signed.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_bucket_met, "bucket int, signature bigint, block int, blocks int, classes array<bigint>"))
-    pairs = (
-        block_pairs(met)
-        .select(F.explode("left").alias("short_a"), "right")
-        .select("short_a", F.explode(F.filter("right", lambda x: x > F.col("short_a"))).alias("short_b"))
-        .distinct()
-    )
-    parts = ["runs", "level", "sketch"]
-    rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in parts))
+    met = cut(signed.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_bucket_met(threshold), MET))
+    pairs = met_pairs(met, threshold)
+    rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("runs", "sketch")))
     short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
-    side = lambda x: rep.select(short.alias(f"short_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", *parts)))
+    side = lambda x: rep.select(short.alias(f"short_{x}"), F.col("runs").alias(f"runs_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = F.col("runs_a") + F.col("runs_b")
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
     # sketches of neighbouring levels are compared on the lower one, of which bit h is the parity of bits h and h + half
@@ -383,17 +417,23 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     words = lambda c: (F.size(c) / 2).cast("int")
     lower = lambda c: F.zip_with(F.slice(c, F.lit(1), words(c)), F.slice(c, words(c) + 1, words(c)), lambda p, q: p.bitwiseXOR(q))
     far = (
-        F.when(F.col("level_a") == F.col("level_b"), apart("sketch_a", "sketch_b"))
-        .when(F.col("level_a") == F.col("level_b") + 1, apart(lower("sketch_a"), "sketch_b"))
-        .when(F.col("level_b") == F.col("level_a") + 1, apart("sketch_a", lower("sketch_b")))
+        F.when(F.size("sketch_a") == F.size("sketch_b"), apart("sketch_a", "sketch_b"))
+        .when(F.size("sketch_a") == F.size("sketch_b") * 2, apart(lower("sketch_a"), "sketch_b"))
+        .when(F.size("sketch_b") == F.size("sketch_a") * 2, apart("sketch_a", lower("sketch_b")))
         .otherwise(F.lit(0))
     )
+    # two sets whose classes are alike in the bytes that signatures carry have one name here, and two rows
+    named = lambda x: rep.select(short.alias(f"short_{x}"), F.col("rep").alias(f"rep_{x}"))
     close = cut(
         pairs.join(side("a"), "short_a")
         .join(side("b"), "short_b")
         .filter(F.least("runs_a", "runs_b") >= threshold * F.greatest("runs_a", "runs_b"))
         # the sets differ in at most (1 - t) / (1 + t) of their runs, and the sketches in no more bits
         .filter(far <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
+        .select("short_a", "short_b")
+        .distinct()
+        .join(named("a"), "short_a")
+        .join(named("b"), "short_b")
         .filter(F.col("rep_a") != F.col("rep_b"))
         .select("rep_a", "rep_b")
     )

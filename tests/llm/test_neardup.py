@@ -117,14 +117,24 @@ def test_hot_signatures_are_cut_into_blocks(spark):
     import pyarrow as pa
 
     n = 5 * neardup.BLOCK + 17
-    classes = np.arange(1, n + 1, dtype=np.uint64)
-    batch = pa.RecordBatch.from_arrays([pa.array([neardup._planes(np.array([0] * n + [9, 0], np.uint64), 4)]), pa.array([neardup._planes(np.concatenate([classes, np.array([3, 4], np.uint64)]), neardup.CLASS_BYTES)])], ["signatures", "classes"])
-    out = pa.Table.from_batches(list(neardup._bucket_met((pa.scalar(7, pa.int32()),), [batch])))
+    planes = lambda x: neardup._planes(np.array(x, np.uint64) << np.uint64(8) | np.uint64(100), neardup.CLASS_BYTES + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([neardup._planes(np.array([0] * n + [9, 0], np.uint64), 4)]), pa.array([planes([*range(1, n + 1), 3, 5000])])], ["signatures", "classes"])
+    out = pa.Table.from_batches(list(neardup._bucket_met(0.5)((pa.scalar(7, pa.int32()),), [batch])))
     # what a task gives out grows with the classes, not with their pairs
-    assert sum(map(len, out["classes"].to_pylist())) == n + 2 and max(map(len, out["classes"].to_pylist())) <= neardup.BLOCK
-    met = spark.createDataFrame(out.to_pylist(), "bucket int, signature bigint, block int, blocks int, classes array<bigint>")
-    pairs = {(a, b) for r in neardup.block_pairs(met).collect() for a in r["left"] for b in r["right"] if a < b}
-    assert len(pairs) == n * (n - 1) // 2
+    hot = [x for x in out["classes"].to_pylist() if x]
+    assert sum(map(len, hot)) == n and max(map(len, hot)) <= neardup.BLOCK
+    met = spark.createDataFrame(out.to_pylist(), neardup.MET)
+    pairs = [(r["short_a"], r["short_b"]) for r in neardup.met_pairs(met, 0.5).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for b in range(2, n + 1) for a in range(1, b)} | {(3, 5000)}
+
+
+def test_sizes_that_differ_too_much_do_not_meet():
+    sizes = np.arange(1, 3000)
+    step = np.round(neardup.SIZE_STEPS * np.log2(sizes)).astype(np.uint64)
+    a, b = np.meshgrid(np.arange(len(sizes)), np.arange(len(sizes)))
+    allowed = np.minimum(sizes[a], sizes[b]) >= 0.5 * np.maximum(sizes[a], sizes[b])
+    near = np.abs(step[a].astype(np.int64) - step[b].astype(np.int64)) <= neardup.SIZE_STEPS + 1
+    assert (near | ~allowed).all() and near.mean() < 1.15 * allowed.mean()
 
 
 def test_frame_cases(spark):
