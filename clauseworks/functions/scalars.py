@@ -41,7 +41,7 @@ def query_parameter(url: Column, name: str) -> Column:
 
 def epoch_millis(ts: Column) -> Column:
     """Milliseconds since 1970 of a timestamp without zone, read as UTC."""
-    return F.unix_millis(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
 def object_key(ts: Column, file_name: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +27,3 @@ def missing_values(df: DataFrame, *columns: str) -> DataFrame:
     counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns))).alias("x")).select("x.*").filter("n > 0")
 
-
-def all_filled(*columns: str):
-    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))

@@ -15,6 +15,11 @@ def by_key(df: DataFrame, **key) -> DataFrame:
     return df.filter(reduce(Column.__and__, (F.col(c) == F.lit(v) for c, v in key.items())))
 
 
+def by_keys(df: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """The rows whose columns ``key``, one or several, are among ``keys``. A null matches nothing."""
+    return df.join(keys.select(*key).distinct(), list(key), "left_semi")
+
+
 def owned_by(df: DataFrame, owner: str, column: str = "user_id", order: str = "uploaded_at", tie: str = "id") -> DataFrame:
     """One owner's rows, newest first, ties by ``tie``, null times last."""
     return df.filter(F.col(column) == F.lit(owner)).orderBy(F.desc_nulls_last(order), tie)
@@ -28,6 +33,7 @@ def newest_for_each(df: DataFrame, by: str, order: str, tie: str, k: int = 1) ->
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """Rows delivered several times, all columns alike, once."""
-    return df.distinct()
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows delivered several times, all columns alike, once. ``columns`` are what is needed of them, a unique column among
+    them: only these are read and compared."""
+    return (df.select(*columns) if columns else df).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.functions.scalars import first_filled, stable_id
@@ -15,7 +15,7 @@ def with_defaults(rows: DataFrame, name: str, now: str, natural_key: list[str])
     given = {f.name for f in rows.schema.fields}
     out = []
     for f in SCHEMAS[name].fields:
-        if f.name == "id":
+        if f.name == "id":  # a given id stays
             value = stable_id(*map(F.col, natural_key))
         elif f.name in times:
             value = F.lit(now).cast("timestamp_ntz")
@@ -29,18 +29,6 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
-def create_with_account(incoming: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """New users and their accounts of ``incoming`` (email, name, image, provider_id, account_id, ...), one call each."""
-    users = with_defaults(incoming.select("email", "name", "image", F.lit(True).alias("email_verified")), "users", now, ["email"])
-    accounts = with_defaults(incoming.withColumn("user_id", stable_id(F.col("email"))), "accounts", now, ["provider_id", "account_id"])
-    return users, accounts
-
-
-def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last of the rows with one key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-
-
 def update(table: DataFrame, changes: DataFrame, key: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
     """``table`` with ``changes``' other columns put in where the keys meet; ``changes`` has a key once.
 
@@ -71,7 +59,8 @@ def fill_profile(users: DataFrame, profiles: DataFrame, key: str = "email") -> D
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``table`` and those of ``rows`` whose key it doesn't have, one for each key; rows that are there stay as they are."""
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in rows.columns if c != key)))).filter("_r = 1").drop("_r")
+    # the least of a key's rows, combined before the shuffle
+    first = rows.groupBy(key).agg(F.min(F.struct(*(c for c in rows.columns if c != key))).alias("_first")).select(key, "_first.*") if len(rows.columns) > 1 else rows.distinct()
     return table.unionByName(first.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
@@ -101,3 +90,24 @@ def cascade(tables: dict[str, DataFrame], name: str, keys: DataFrame) -> dict[st
 def stored_without_row(objects: DataFrame, agreements: DataFrame) -> DataFrame:
     """Stored objects (s3_key) that no agreement names any more."""
     return objects.join(agreements.select("s3_key"), "s3_key", "left_anti")
+
+
+def create_agreements(users: DataFrame, agreements: DataFrame, requests: DataFrame, owner: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, agreements, responses) after requests (request, file_name, s3_key) of one ``owner`` (one row of id, email,
+    name): 400 without a file name or key, 409 for a key that is there already or that an earlier request took, else 201.
+
+    The owner is inserted if it isn't there. The 409 is ours: the key is unique, and nothing says what a second use of it gives.
+    """
+    good = requests.filter(F.coalesce(F.length("file_name"), F.lit(0)) > 0).filter(F.coalesce(F.length("s3_key"), F.lit(0)) > 0)
+    taken = agreements.filter("s3_key is not null").select("s3_key", F.lit(True).alias("_taken")).distinct()
+    first = good.groupBy("s3_key").agg(F.min("request").alias("_first"))
+    checked = good.select("request").withColumn("_good", F.lit(True))
+    answered = (
+        requests.join(checked, "request", "left").join(taken, "s3_key", "left").join(first, "s3_key", "left")
+        .withColumn("code", F.when(F.col("_good").isNull(), 400).when(F.col("_taken").isNotNull() | (F.col("request") > F.col("_first")), 409).otherwise(201))
+        .drop("_good", "_taken", "_first")
+    )
+    own = owner.select(F.col("id").alias("user_id"))
+    rows = with_defaults(answered.filter("code = 201").crossJoin(F.broadcast(own)).select("user_id", "file_name", "s3_key"), "agreements", now, ["s3_key"])  # one row
+    inserted = insert_absent(users, with_defaults(owner, "users", now, ["id"]).select(*users.columns), "id")
+    return inserted, agreements.unionByName(rows.select(*agreements.columns)), answered.select("request", "file_name", "s3_key", "code")

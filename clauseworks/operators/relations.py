@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,15 +39,15 @@ def link_decision(incoming: DataFrame, accounts: DataFrame, users: DataFrame) ->
     """
     known = accounts.select("provider_id", "account_id", F.col("user_id").alias("account_user"))
     mail = users.filter("email is not null").select("email", F.col("id").alias("mail_user"))
-    unknown = F.col("account_user").isNull()
-    by_account = Window.partitionBy("provider_id", "account_id").orderBy("arrival")
-    joined = incoming.join(known, ["provider_id", "account_id"], "left").join(mail, "email", "left")
-    ranked = joined.withColumn("again", F.row_number().over(by_account) > 1)
-    by_mail = Window.partitionBy("email", unknown & ~F.col("again")).orderBy("arrival")
-    later = F.row_number().over(by_mail) > 1
+    key = ["provider_id", "account_id"]
+    # the first of each key is an aggregate, combined before the shuffle; rows without a key are first themselves
+    first = incoming.na.drop(subset=key).groupBy(*key).agg(F.min("arrival").alias("account_first"))
+    joined = incoming.join(known, key, "left").join(mail, "email", "left").join(first, key, "left")
+    joined = joined.withColumn("returning", F.col("account_user").isNotNull() | F.coalesce(F.col("arrival") > F.col("account_first"), F.lit(False)))
+    taken = joined.filter(~F.col("returning") & F.col("email").isNotNull()).groupBy("email").agg(F.min("arrival").alias("mail_first"))
     return (
-        ranked.withColumn("later", later)
-        .withColumn("branch", F.when(~unknown | F.col("again"), "returning").when(F.col("mail_user").isNotNull() | F.col("later") & F.col("email").isNotNull(), "link").otherwise("new"))
+        joined.join(taken, "email", "left")
+        .withColumn("branch", F.when(F.col("returning"), "returning").when(F.col("mail_user").isNotNull() | (F.col("arrival") > F.col("mail_first")), "link").otherwise("new"))
         .withColumn("user_id", F.coalesce("account_user", "mail_user"))
-        .drop("account_user", "mail_user", "again", "later")
+        .drop("account_user", "mail_user", "account_first", "mail_first", "returning")
     )

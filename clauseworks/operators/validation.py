@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clauseworks.functions.scalars import utf16_length
 from clauseworks.schemas import MAX_UPLOAD_BYTES, MIN_PASSWORD
 
+# The type of file that can be uploaded.
+UPLOAD_TYPE = "application/pdf"
 # A local part without spaces or @ and a domain of labels with a point; our choice, as the format has no one definition.
 EMAIL = r"^[A-Za-z0-9._%+'-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}$"
 
@@ -48,6 +50,16 @@ def outcome(*cases: tuple[Column, int], otherwise: int) -> Column:
     return F.coalesce(*(F.when(F.coalesce(case, F.lit(False)), F.lit(code)) for case, code in cases), F.lit(otherwise))
 
 
+def filled_issue(columns: dict[str, str]) -> Column:
+    """The message of the first of ``columns`` (name: message) that is null or empty, null if none is."""
+    return first_issue(*((is_filled(F.col(c)), message) for c, message in columns.items()))
+
+
+def upload_issue(content_type: Column, size: Column, most: int = MAX_UPLOAD_BYTES) -> Column:
+    """What is wrong with a file to upload: its type, else its size; null if nothing is. The type is compared as it is."""
+    return first_issue((content_type == F.lit(UPLOAD_TYPE), "Only PDF files are supported"), (fits(size, most), "File size cannot be greater than 20MB"))
+
+
 def signup_issue(email: str = "email", password: str = "password", name: str = "name") -> Column:
     return first_issue(
         (is_email(F.col(email)), "Invalid email"),
@@ -60,17 +72,15 @@ def signup(requests: DataFrame, users: DataFrame) -> DataFrame:
     """``requests`` (email, password, name) with ``issue`` and ``code``: 400 for an issue, 409 for a known e-mail, else 201.
 
     Requests with one e-mail are taken in the order of ``request``: the second of two good ones finds the first."""
-    from pyspark.sql import Window
-
     known = users.select(F.col("email").alias("known")).filter("known is not null").distinct()
     checked = requests.withColumn("issue", signup_issue())
-    # only good requests take an e-mail, so only they are ranked
-    first = F.row_number().over(Window.partitionBy("email", F.col("issue").isNull()).orderBy("request"))
+    # only good requests take an e-mail; the first of each is an aggregate, combined before the shuffle
+    first = checked.filter("issue is null").groupBy(F.col("email").alias("wanted")).agg(F.min("request").alias("first"))
     return (
-        checked.withColumn("rank", first)
-        .join(known, F.col("email") == F.col("known"), "left")
-        .withColumn("code", outcome((F.col("issue").isNotNull(), 400), (F.col("known").isNotNull() | (F.col("rank") > 1), 409), otherwise=201))
-        .drop("known", "rank")
+        checked.join(known, F.col("email") == F.col("known"), "left")
+        .join(first, F.col("email") == F.col("wanted"), "left")
+        .withColumn("code", outcome((F.col("issue").isNotNull(), 400), (F.col("known").isNotNull() | (F.col("request") > F.col("first")), 409), otherwise=201))
+        .drop("known", "wanted", "first")
     )
 
 

@@ -1,4 +1,4 @@
-"""Deliveries as a stream: late rows and repeats."""
+"""Deliveries as a stream: late rows and repeats. An extension: the rest of the engine works on tables."""
 
 from __future__ import annotations
 
@@ -16,8 +16,3 @@ def first_delivery(stream: DataFrame, key: list[str], received: str, late: str =
     """Each key once, as long as its repeats come within ``late``; the state is dropped after that."""
     return stream.withColumn(received, F.col(received).cast("timestamp")).withWatermark(received, late).dropDuplicatesWithinWatermark(key)
 
-
-def hourly_counts(stream: DataFrame, received: str, by: str, late: str = "7 days") -> DataFrame:
-    """(hour, by, n) of the rows received, as each hour closes."""
-    timed = stream.withColumn(received, F.col(received).cast("timestamp")).withWatermark(received, late)
-    return timed.groupBy(F.window(received, "1 hour"), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), by, "n")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clauseworks.functions import scalars as S
 from clauseworks.operators import clauses as C
-from clauseworks.operators import integrity, lookup, mutate, relations, retrieve, rollup, validation
+from clauseworks.operators import identity, integrity, lookup, mutate, relations, retrieve, rollup, validation
 
 T = dt.datetime(2026, 1, 2, 3, 4, 5, 678000)
 NOW = "2026-01-02 03:04:05.678"
@@ -79,14 +79,78 @@ def test_mutations(spark, users):
     assert {tuple(r) for r in mutate.insert_absent(once, once, "id").collect()} == {tuple(r) for r in once.collect()}
 
 
-def test_create_with_account(spark):
-    rows = [("p@example.com", "P", None, "google", "g9", "token")]
-    incoming = spark.createDataFrame(rows, "email string, name string, image string, provider_id string, account_id string, access_token string")
-    new, accounts = mutate.create_with_account(incoming, NOW)
-    u, a = new.collect()[0], accounts.collect()[0]
-    assert a["user_id"] == u["id"] and u["email_verified"] is True and u["created_at"] == T and a["refresh_token"] is None
-    agreement = mutate.with_defaults(spark.createDataFrame([("u1", "f.pdf", "k")], "user_id string, file_name string, s3_key string"), "agreements", NOW, ["s3_key"]).collect()[0]
-    assert (agreement["status"], agreement["is_generated"], agreement["s3_url"]) == ("PENDING", False, None)
+def test_sign_ins_one_after_the_other(spark):
+    users = spark.createDataFrame([("u1", "known@x.org", "", None, False), ("u2", "other@x.org", "Other", "o.png", False)], "id string, email string, name string, image string, email_verified boolean")
+    accounts = spark.createDataFrame([("k1", "u2", "g1", "google", "t0", "r0", T)], "id string, user_id string, account_id string, provider_id string, access_token string, refresh_token string, access_token_expires_at timestamp_ntz")
+    rows = [
+        (1, "google", "g1", "x@x.org", "X", "x.png", "t1", "r1", 60), (2, "google", "g1", "x@x.org", "X", "x.png", "t2", None, 10),  # returning twice: the refresh token stays
+        (3, "google", "g2", "known@x.org", "", None, "t3", None, 10), (4, "other", "h2", "known@x.org", "Known", "k.png", "t4", "r4", 10),  # linked: empty fields are filled, first filled wins
+        (5, "google", "g3", "new@x.org", None, None, "t5", "r5", 10), (6, "other", "h3", "new@x.org", "New", "n.png", "t6", None, 10), (7, "google", "g3", "else@x.org", "Else", None, "t7", None, 10),
+        (8, "google", "g4", None, "Nobody", None, "t8", None, 10), (9, None, None, "z@x.org", "Z", None, "t9", None, 10),
+    ]
+    incoming = spark.createDataFrame(rows, "arrival int, provider_id string, account_id string, email string, name string, image string, access_token string, refresh_token string, expires_in int")
+    new_users, new_accounts = identity.sign_in(users, accounts, incoming, NOW)
+    u = {r["email"]: r for r in new_users.collect()}
+    a = {(r["provider_id"], r["account_id"]): r for r in new_accounts.collect()}
+    assert set(u) == {"known@x.org", "other@x.org", "new@x.org"} and len(a) == 5
+    assert (u["known@x.org"]["name"], u["known@x.org"]["image"], u["known@x.org"]["email_verified"]) == ("Known", "k.png", True)
+    assert (u["other@x.org"]["name"], u["other@x.org"]["email_verified"]) == ("Other", False)
+    assert (u["new@x.org"]["name"], u["new@x.org"]["image"], u["new@x.org"]["email_verified"]) == ("New", "n.png", True)
+    assert (a["google", "g1"]["access_token"], a["google", "g1"]["refresh_token"], a["google", "g1"]["access_token_expires_at"]) == ("t2", "r1", T + dt.timedelta(seconds=10))
+    assert a["google", "g2"]["user_id"] == a["other", "h2"]["user_id"] == "u1" and a["google", "g3"]["user_id"] == a["other", "h3"]["user_id"] == u["new@x.org"]["id"]
+    assert (a["google", "g3"]["access_token"], a["google", "g3"]["refresh_token"]) == ("t7", "r5")
+    assert len({r["id"] for r in new_users.collect()}) == 3
+    same = identity.sign_in(users, accounts, incoming.limit(0), NOW)
+    assert same[0].count() == 2 and same[1].count() == 1
+
+
+def test_creations(spark, users):
+    agreements = mutate.with_defaults(spark.createDataFrame([("u1", "f.pdf", "k")], "user_id string, file_name string, s3_key string"), "agreements", NOW, ["s3_key"])
+    first = agreements.collect()[0]
+    assert (first["status"], first["is_generated"], first["s3_url"], first["uploaded_at"]) == ("PENDING", False, None, T)
+    rows = [(1, "a.pdf", "n"), (2, "b.pdf", "n"), (3, "c.pdf", "k"), (4, "", "m"), (5, "d.pdf", None), (6, None, None), (7, "e.pdf", "")]
+    requests = spark.createDataFrame(rows, "request int, file_name string, s3_key string")
+    owner = spark.createDataFrame([("dev", "dev@x.org", "Dev")], "id string, email string, name string")
+    for state in (users, mutate.create_agreements(users, agreements, requests, owner, NOW)[0]):  # a second run changes no user
+        new_users, new_agreements, answers = mutate.create_agreements(state, agreements, requests, owner, NOW)
+        assert codes(answers) == {1: 201, 2: 409, 3: 409, 4: 400, 5: 400, 6: 400, 7: 400}
+        assert new_users.count() == 5 and {r["file_name"] for r in new_agreements.collect()} == {"f.pdf", "a.pdf"}
+    assert {r["user_id"] for r in new_agreements.filter("file_name = 'a.pdf'").collect()} == {"dev"}
+    one = spark.createDataFrame([("a",), ("b",)], "s3_key string")
+    assert sorted(r[0] for r in mutate.insert_absent(one, spark.createDataFrame([("b",), ("c",), ("c",)], "s3_key string"), "s3_key").collect()) == ["a", "b", "c"]
+
+
+def test_reasons_and_upload_checks(spark):
+    rows = [("x", "c", True, True, True), (None, "", True, True, True), (None, "c", None, True, True), (None, "c", True, False, False), ("", "c", True, True, None), ("", "c", True, True, True)]
+    df = spark.createDataFrame(rows, "error string, code string, a boolean, b boolean, c boolean")
+    got = [r[0] for r in df.select(identity.callback_reason(*map(F.col, ("error", "code", "a", "b", "c")))).collect()]
+    assert got == ["oauth_cancelled", "oauth_cancelled", "oauth_not_configured", "oauth_token_failed", "oauth_profile_failed", None]
+    files = spark.createDataFrame([("application/pdf", 20971520), ("application/pdf", 20971521), ("text/plain", 99999999), (None, 1), ("application/pdf", None)], "t string, n long")
+    assert [(r[0] or "")[:4] for r in files.select(validation.upload_issue(F.col("t"), F.col("n"))).collect()] == ["", "File", "Only", "Only", "File"]
+
+
+def test_analyze_with_another_scorer(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("status string, reason string, citations array<string>")
+    def model(prompts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"status": ["compliant" if "rent" in p else "unheard of" for p in prompts], "reason": list(prompts), "citations": [["s. 1"]] * len(prompts)})
+
+    docs = spark.createDataFrame([(1, "The rent.\n\nThe dog."), (2, None), (3, "")], "doc_id int, text string")
+    context = lambda parts: parts.withColumn("legal_context", F.array(F.lit("s. 1"), F.lit("s. 2")))
+    got = {(r["doc_id"], r["clause_index"]): r for r in C.analyze(docs, "doc_id", "text", context, lambda prompt, clause, snippets: model(prompt)).collect()}
+    assert set(got) == {(1, 0), (1, 2)}
+    assert got[1, 0]["compliance"] == "COMPLIANT" and got[1, 0]["explanation"] == "## Lease clause\nThe rent.\n\n## Relevant legal context\ns. 1\n\ns. 2" and got[1, 0]["rta_citations"] == ["s. 1"]
+    assert got[1, 2]["compliance"] is None and got[1, 2]["clause_text"] == "The dog."
+    assert {r["compliance"] for r in C.analyze(docs, "doc_id", "text").collect()} == {"NEEDS_REVIEW"}
+
+
+def test_json_is_read_once(spark):
+    raw = spark.createDataFrame([(1, '{"status":"compliant","reason":"r","citations":[]}'), (2, "{")], "k int, json string")
+    out = C.stored(C.judgments(raw, "k", "json"))
+    assert [r["k"] for r in out.collect()] == [1]
+    assert str(out._jdf.queryExecution().optimizedPlan()).count("from_json") <= 1
 
 
 def test_cascade_leaves_no_orphan(spark):
@@ -144,7 +208,7 @@ def test_top_k_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(300)] + [(300, None), (301, [0.0] * 8), (302, [1.0] * 8), (303, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
-    monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(retrieve, "BLOCK", 40)
     got = {}
     for r in retrieve.top_k(df, df.filter("vec_id % 30 = 2"), 3).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["match_id"]))
