@@ -3,12 +3,14 @@
 Parity-sketch join. A text is the set of its runs of three words. Hash bits cut the space of all runs into parts;
 the parity (XOR of the hashes) of a text's runs within a part is one block of its sketch, and two texts whose sets
 differ in d runs differ in at most d blocks. By the pigeonhole principle the pairs sought share blocks, so equal blocks
-are joined. Three things make that selective:
+are joined. Four things make that selective:
 
 * The number of parts follows the size of a text, in bands of powers of two; a text has blocks for two numbers of
   parts, so that texts of neighbouring bands meet. At a similarity of 0.5 two texts may differ in two thirds of
   their runs, and no number of parts leaves a block equal for certain; ``plan`` has so many independent partitions
   that 5 or more blocks are equal in the mean.
+* Two equal blocks of rare runs make a candidate, as unlike texts share one by chance; where the mean is 5, one pair
+  in 25 at the threshold itself has fewer, and hardly any above it.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
   of the blocks; a group of copies that is itself a large part of all texts meets on blocks of common runs. If the
   similarity of two texts is at least t, so is that of their rare runs or that of their common ones. So every text
@@ -44,7 +46,7 @@ EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8
 EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK, BUCKETS_A_TASK = 100_000, 256, 4
-SIZE_STEPS = 16  # of a set's size to a power of two, as a signature carries it
+EVIDENCE = 2  # equal blocks of rare runs that make a pair; of blocks with common ones, which are fewer, one is enough
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
@@ -113,15 +115,15 @@ def plan(only_three: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return seeds, pairs
 
 
-def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of every block that counts: of the sets without their common runs, of the parts of common
-    runs alone, and of the whole sets of texts that are mostly common."""
+def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, with common runs) of every block that counts: of the sets without their common runs, of the
+    parts of common runs alone, and of the whole sets of texts that are mostly common."""
     who, what = blocks(text[~common], value[~common], place[~common], n_texts)
     n, rare = np.bincount(text, minlength=n_texts), np.bincount(text[~common], minlength=n_texts)
     low = (rare <= LOW * n)[text]
     who2, what2 = blocks(text[low], value[low], place[low], n_texts, whole=True)
     who3, what3 = common_blocks(text, value, place, common, n_texts)
-    return np.concatenate([who, who2, who3]), np.concatenate([what, what2, what3])
+    return np.concatenate([who, who2, who3]), np.concatenate([what, what2, what3]), np.repeat([False, True], [len(who) + len(who2), len(who3)])
 
 
 def common_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,22 +202,21 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
         one = np.zeros(batch.num_rows, bool)
         one[owner[np.unique(kind, return_index=True)[1]]] = True
         text, value, place = (x[one[text]] for x in (text, value, place))
-        who, what = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
+        who, what, with_common = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
         if not len(who):
             return None
         of = kind[np.searchsorted(owner, who)]
-        steps = np.round(SIZE_STEPS * np.log2(np.maximum(np.bincount(text, minlength=batch.num_rows), 1)))[who].astype(np.uint64)
         bucket = (what % np.uint64(buckets)).astype(np.int32)
-        what = what >> np.uint64(32)
+        what = what >> np.uint64(32) & ~np.uint64(1) | with_common.astype(np.uint64)
         order = np.lexsort((what, bucket))
-        what, of, bucket, steps = what[order], of[order], bucket[order], np.minimum(steps[order], 255)
+        what, of, bucket = what[order], of[order], bucket[order]
         start = _starts(bucket)
         ends = [*start[1:], len(bucket)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[start], pa.int32()),
                 pa.array([_planes(np.diff(what[a:b], prepend=np.uint64(0)), 4) for a, b in zip(start, ends)], pa.binary()),
-                pa.array([_planes((of[a:b].view(np.uint64) >> np.uint64(64 - 8 * CLASS_BYTES)) << np.uint64(8) | steps[a:b], CLASS_BYTES + 1) for a, b in zip(start, ends)], pa.binary()),
+                pa.array([_planes(of[a:b].view(np.uint64) >> np.uint64(64 - 8 * CLASS_BYTES), CLASS_BYTES) for a, b in zip(start, ends)], pa.binary()),
             ],
             ["bucket", "signatures", "classes"],
         )
@@ -234,90 +235,89 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.uint64)
 
 
-def _bucket_met(threshold: float):
-    """Of each bucket's signatures that several classes have: (bucket, left, right, signature, block, blocks, classes).
-
-    A signature of up to ``BLOCK`` classes gives the pairs of those whose sizes allow ``threshold``, many signatures'
-    in one row, packed. A hot one gives its classes, ``BLOCK`` in a row: what comes out grows with the classes, not with
-    their pairs."""
-
-    def met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whats, ofs = [], []
-        for batch in batches:
-            for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
-                whats.append(np.cumsum(_from_planes(x, 4)))
-                ofs.append(_from_planes(y, CLASS_BYTES + 1))
-        what, of = np.concatenate(whats), np.concatenate(ofs)
-        order = np.lexsort((of, what))
-        what, of = what[order], of[order]
-        start = _starts(what, of)
-        what, of = what[start], of[start]
-        start = _starts(what)
-        size = np.diff(np.append(start, len(what)))
-        bucket = key[0].as_py()
-        for m in np.unique(size[(size > 1) & (size <= BLOCK)]):
-            first = start[size == m]
+def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's signatures that several classes have: ``MET``.
+
+    A signature of up to ``BLOCK`` classes gives their pairs, many signatures' in one row, packed. A hot one gives its
+    classes, ``BLOCK`` in a row: what comes out grows with the classes, not with their pairs."""
+    whats, ofs = [], []
+    for batch in batches:
+        for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
+            whats.append(np.cumsum(_from_planes(x, 4)))
+            ofs.append(_from_planes(y, CLASS_BYTES))
+    what, of = np.concatenate(whats), np.concatenate(ofs)
+    order = np.lexsort((of, what))
+    what, of = what[order], of[order]
+    start = _starts(what, of)
+    what, of = what[start], of[start]
+    start = _starts(what)
+    size = np.diff(np.append(start, len(what)))
+    bucket = key[0].as_py()
+    for weight in (1, EVIDENCE):
+        own = (what[start] & np.uint64(1)) == (weight > 1)
+        for m in np.unique(size[own & (size > 1) & (size <= BLOCK)]):
+            first = start[own & (size == m)]
             i, j = np.triu_indices(int(m), 1)
             at_once = max(1, 200_000 // len(i))
             for k in range(0, len(first), at_once):
-                yield _met_rows([(bucket, *_packed_pairs(of[first[k : k + at_once, None] + i].ravel(), of[first[k : k + at_once, None] + j].ravel(), threshold), None, None, None, None)])
-        for a, m in zip(start[size > BLOCK], size[size > BLOCK]):
+                a, b = (_planes(of[first[k : k + at_once, None] + x].ravel(), CLASS_BYTES) for x in (i, j))
+                yield _met_rows([(bucket, weight, a, b, None, None, None, None)])
+        for a, m in zip(start[own & (size > BLOCK)], size[own & (size > BLOCK)]):
             blocks = -(-int(m) // BLOCK)
             for k in range(0, blocks, 1000):
-                own = [(bucket, None, None, int(what[a]), x, blocks, of[a + x * BLOCK : min(a + (x + 1) * BLOCK, a + m)].view(np.int64)) for x in range(k, min(k + 1000, blocks))]
-                yield _met_rows(own)
-
-    # what Spark reads to choose the form that takes and gives one batch after the other
-    met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return met
+                yield _met_rows([(bucket, weight, None, None, int(what[a]), x, blocks, of[a + x * BLOCK : min(a + (x + 1) * BLOCK, a + m)].view(np.int64)) for x in range(k, min(k + 1000, blocks))])
 
 
-MET = "bucket int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
+# what Spark reads to choose the form that takes and gives one batch after the other
+_bucket_met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+MET = "bucket int, weight int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
+PAIRS = "short_a bigint, short_b bigint, weight int"
 
 
 def _met_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MET.split(", ")])
 
 
-def _packed_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[bytes, bytes]:
-    """The pairs, lower class first, whose sizes differ by no more than ``threshold`` allows."""
-    near = np.abs((a & np.uint64(255)).astype(np.int64) - (b & np.uint64(255)).astype(np.int64)) <= SIZE_STEPS * np.log2(1 / threshold) + 1
-    a, b = a[near] >> np.uint64(8), b[near] >> np.uint64(8)
-    a, b = np.minimum(a, b), np.maximum(a, b)
+def _pairs_of(sides: list[tuple[np.ndarray, np.ndarray]], weights: list[int]) -> pa.RecordBatch:
+    """The pairs, lower class first, without those of a class with itself."""
+    a, b = (np.concatenate([s[k] for s in sides]).view(np.int64) if sides else np.zeros(0, np.int64) for k in (0, 1))
+    weight = np.repeat(weights, [len(s[0]) for s in sides]).astype(np.int32)
     other = a != b
-    return _planes(a[other], CLASS_BYTES), _planes(b[other], CLASS_BYTES)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other]), pa.array(weight[other])], ["short_a", "short_b", "weight"])
 
 
-def _unpacked_pairs(threshold: float):
+def _unpacked_pairs():
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = ([_from_planes(x, CLASS_BYTES) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["short_a", "short_b"])
+        left, right, weights = (batch.column(c).to_pylist() for c in ("left", "right", "weight"))
+        return _pairs_of([(_from_planes(x, CLASS_BYTES), _from_planes(y, CLASS_BYTES)) for x, y in zip(left, right)], weights)
 
     return run
 
 
-def _crossed_blocks(threshold: float):
+def _crossed_blocks():
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
-            for side, packed in zip(out, _packed_pairs(np.repeat(x, len(y)), np.tile(y, len(x)), threshold)):
-                side.append(_from_planes(packed, CLASS_BYTES))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], ["short_a", "short_b"])
+        """Each block meets itself once, of which the pairs with the lower class first are kept, and others wholly."""
+        left, right, weights, same = (batch.column(c).to_pylist() for c in ("left", "right", "weight", "same"))
+        sides = []
+        for x, y, own in zip(left, right, same):
+            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            i, j = np.triu_indices(len(x), 1) if own else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+            sides.append((x[i], y[j]))
+        return _pairs_of(sides, weights)
 
     return run
 
 
-def met_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """(short_a, short_b) of the classes that met. The blocks of a hot signature are dealt over all tasks, joined by
-    signature and block, so that no task has it whole."""
-    cold = per_batch(met.filter("blocks is null").select("left", "right"), "short_a bigint, short_b bigint", _unpacked_pairs, threshold)
+def met_pairs(met: DataFrame) -> DataFrame:
+    """(short_a, short_b) of the classes that met with enough evidence. The blocks of a hot signature are dealt over all
+    tasks, joined by signature and block, so that no task has it whole."""
+    cold = per_batch(met.filter("blocks is null").select("left", "right", "weight"), PAIRS, _unpacked_pairs)
     hot = met.filter("blocks > 1")
-    left = hot.select("bucket", "signature", F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    left = hot.select("bucket", "signature", "weight", F.col("block").alias("from"), F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = hot.select("bucket", "signature", "block", F.col("classes").alias("right"))
-    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right"), "short_a bigint, short_b bigint", _crossed_blocks, threshold)
-    return cold.unionByName(crossed).distinct()
+    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right", "weight", (F.col("from") == F.col("block")).alias("same")), PAIRS, _crossed_blocks)
+    return cold.unionByName(crossed).groupBy("short_a", "short_b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= EVIDENCE).select("short_a", "short_b")
 
 
 def sketch_level(number: np.ndarray) -> np.ndarray:
@@ -405,8 +405,8 @@ def similar_classes(df: DataFrame, key: str, column: str, threshold: float = THR
     buckets = 1 << max(4, int(np.ceil(np.log2(max(1, n * 55 / PER_BUCKET)))))
     signed = per_batch(df.select(column), "bucket int, signatures binary, classes binary", _signatures, column, size, min_words, packed, buckets)
     # a task has a few buckets, at any number of texts
-    met = cut(signed.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_bucket_met(threshold), MET))
-    pairs = met_pairs(met, threshold)
+    met = cut(signed.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(_bucket_met, MET))
+    pairs = met_pairs(met)
     rep = who.groupBy("class").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("runs", "sketch")))
     short = F.shiftrightunsigned("class", 64 - 8 * CLASS_BYTES)
     side = lambda x: rep.select(short.alias(f"short_{x}"), F.col("runs").alias(f"runs_{x}"), F.col("sketch").alias(f"sketch_{x}"))
