@@ -135,3 +135,19 @@ def count_tokens(df: DataFrame, keys: tuple[str, ...], text: str = "text", name:
     """``keys`` and the number of ids of every row; 0 for null and empty texts."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return per_batch(df.select(*keys, text), f"{schema}, `{name}` bigint", _count, path, keys, text, name)
+
+
+def _decode(path: str, key: str, ids: str):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = bytes_of_id(path)
+        lists = batch.column(ids).to_pylist()
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array([decode(x, path) for x in lists], pa.string()), pa.array([sum(len(known.get(i, b"")) for i in x or ()) for x in lists], pa.int64())], [key, "text", "n_bytes"])
+
+    return run
+
+
+def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """(key, text, n_bytes) of lists of ids: their text, and the bytes up to which their offsets run. A null list gives an
+    empty text."""
+    kind = df.schema[key].dataType.simpleString()
+    return per_batch(df.select(key, ids), f"`{key}` {kind}, text string, n_bytes bigint", _decode, path, key, ids)

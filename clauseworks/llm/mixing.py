@@ -12,6 +12,8 @@ are cut into ranges in the same way.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from clauseworks.llm.encoding import DEFAULT_TOKENIZER, count_tokens
 from clauseworks.session import cut
 
 MAX_SOURCES = 10_000
+RANGE_ROWS = 50_000  # documents of a range, about; there are 2 ** 12 ranges at least
 MIX = ["doc_id", "source", "copy", "n_tokens", "finish", "cum_tokens"]
 
 
@@ -46,7 +49,7 @@ def _before(sums: DataFrame, by: list[str], name: str) -> DataFrame:
     return sums.withColumn("before", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"]).drop("tokens")
 
 
-def mix(sized: DataFrame, target: DataFrame, budget: int | None = None, seed: int = 17, range_bits: int = 12) -> DataFrame:
+def mix(sized: DataFrame, target: DataFrame, budget: int | None = None, seed: int = 17, range_bits: int | None = None) -> DataFrame:
     """The mix of ``sized`` (doc_id, source, n_tokens): one row for each use of a document.
 
     ``budget`` is the mix's total size in tokens; without it, the largest for which every source still has its share
@@ -58,7 +61,10 @@ def mix(sized: DataFrame, target: DataFrame, budget: int | None = None, seed: in
     spark = sized.sparkSession
     wanted = _targets(target)
     sized = sized.select("doc_id", "source", "n_tokens").filter(F.col("source").isin(*wanted) if wanted else F.lit(False))
-    have = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    counts = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
+    have = {r["source"]: r["n"] for r in counts}
+    if range_bits is None:
+        range_bits = max(12, math.ceil(math.log2(1 + sum(r["docs"] for r in counts) / RANGE_ROWS)))
     total = sum(wanted[s][0] for s in have)
     plan = [(s, wanted[s][0] / total, wanted[s][1], n) for s, n in have.items()]
     if budget is None:

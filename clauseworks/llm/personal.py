@@ -68,7 +68,7 @@ EMAIL = re.compile(
 )
 # What each form of EMAIL has, besides a sign: at and dot in words, or at in brackets.
 AT_WORDS, DOT_WORDS = frozenset(AT.split("|")), frozenset(DOT.split("|"))
-AT_BRACKETS = re.compile(r"[\[({<]\s*(?:at|arobase|a)\s*[\])}>]")
+AT_BRACKETS = re.compile(r"\w\s*[\[({<]\s*(?:at|arobase|a)\s*[\])}>]\s*[^\W_][\w-]*\s*(?:\.|[\[({<]\s*(?:dot|point)\s*[\])}>])\s*\w")
 NUMBER = re.compile(r"(?<![\w$€£#.,/@-])[+(]?(?:[A-Z]{1,3}[- ]?)?\(?\d[\dA-Z]*\)?(?:(?:[-. \xa0/(]{1,2}|-?\n|(?<=\)))[\dA-Z]*\d[\dA-Z]*\)?|[-/][A-Z]{1,2}(?![^\W_]))*(?![\w@]|[.,]\d)")
 GROUP = re.compile(r"[\dA-Z]+")
 EXTENSION = re.compile(r"\s*(?:ext|x|poste|extension)\.?\s*\d{1,5}(?![^\W_])", re.I)
@@ -137,14 +137,14 @@ class Names:
         return found
 
     def any_anchor(self, words: set[str]) -> bool:
-        """Whether one of the words is a title, a first name or spelled like a name. "m" and "me" are only with a point or a
-        capital, which ``CAPITALS`` sees."""
+        """Whether one of the words is a title or a first name. "m" and "me" are with a point or a capital only, and words
+        spelled like names in pairs with capitals; ``CAPITALS`` sees both."""
         if not self._anchors.isdisjoint(words):
             return True
         new = words - self._others
         if len(self._others) > 200_000:
             self._others.clear()
-        found = {w for w in new if w not in ("m", "me") and self.kind(w) in "TFN"}
+        found = {w for w in new if w not in ("m", "me") and self.kind(w) in "TF"}
         self._anchors |= found
         self._others |= new - found
         return bool(found)
@@ -323,13 +323,22 @@ def candidates(text: str, names: Names) -> list[Candidate]:
         out += ((m.start(), m.end(), "phone", ("in words",)) for m in PHONE_WORDS.finditer(text))
     if not STREETS.isdisjoint(own) or STREET_WORD.search(low):
         out += _addresses(text)
-    if names.any_anchor(own) or CAPITALS.search(text):
+    if names.any_anchor(own) or _capitals(text):
         words = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
         out += _persons(text, words, names)
     return out
 
 
-CAPITALS = re.compile(r"(?<=[a-zà-ÿ,;:(] )[A-ZÀ-Þ][\w'’-]+[ ][A-ZÀ-Þ][\w'’-]+|(?<![^\W_])[A-Z]\.\s?[A-ZÀ-Þ][a-zà-ÿ]|(?<![\w.])(?:[Mm]e?\.|Me?)\s")
+def _capitals(text: str) -> bool:
+    """Whether two words with a capital, of no place, an initial with its point or an M stand in the text."""
+    for m in CAPITALS.finditer(text):
+        pair = m.group().lower().split()
+        if len(pair) < 2 or len(pair[0]) == 2 and pair[0][1] == "." or PLACES.isdisjoint(pair) and FUNCTION.isdisjoint(pair):
+            return True
+    return False
+
+
+CAPITALS = re.compile(r"(?<![^\s(])[A-ZÀ-Þ][a-zà-ÿ'’-]+[ ][A-ZÀ-Þ][a-zà-ÿ'’-]+|(?<![^\W_])[A-Z]\.\s?[A-ZÀ-Þ][a-zà-ÿ]|(?<![\w.])(?:[Mm]e?\.|Me?)\s")
 
 
 def decode(spans: list[Candidate], weights: dict[str, dict[str, float]], gold: frozenset[int] | None = None) -> list[int]:

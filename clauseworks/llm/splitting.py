@@ -17,7 +17,9 @@ from clauseworks.llm.arrow import per_batch, texts
 
 LIMIT, OVERLAP = 1500, 150
 PARAGRAPHS = re.compile(r"\n\s*\n\s*")
-SENTENCES = re.compile(r"(?:[.!?…;][\"'”’»)\]]*\s+)|\n\s*")
+# What has a point and doesn't end a sentence, besides initials.
+ABBREVIATIONS = "Mr Mrs Ms Dr Mme Mlle St Ste Inc Ltd Apt Ave Blvd Rd s ss S sec Sec subs par para art Art reg Reg No no cl p pp e.g i.e".split()
+SENTENCES = re.compile(r"(?:[.!?…;](?<![\s.(][A-Z]\.)" + "".join(rf"(?<!\b{re.escape(a)}\.)" for a in ABBREVIATIONS) + r"[\"'”’»)\]]*\s+)|\n\s*")
 WORDS = re.compile(r"\s+")
 
 

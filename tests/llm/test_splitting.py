@@ -72,3 +72,10 @@ def test_frame_cases(spark):
     whole = "".join(r["text"][r["overlap"] :] for r in sorted((r for r in got if r["clause_id"] == 5), key=lambda r: r["piece"]))
     assert whole == long
     assert splitting.split(df.limit(0)).collect() == []
+
+
+def test_points_of_abbreviations_end_no_sentence():
+    text = "The rule of Mr. Wong under s. 22 and J. Doe holds. It is new."
+    at, level = splitting.boundaries(text)
+    sentences = [text[:a].rstrip()[-6:] for a, k in zip(at, level) if k == 2]
+    assert sentences == ["holds."]
