@@ -34,6 +34,14 @@ def judgments_by_analysis(results: DataFrame, clauses: DataFrame) -> DataFrame:
     )
 
 
+def summaries(counts: DataFrame) -> DataFrame:
+    """(analysis_id, risk_score, overall_summary) of ``judgments_by_analysis``: the answers that are non-compliant, and half of
+    those that need review, in hundredths of all."""
+    score = F.floor(50 * (2 * F.col("non_compliant") + F.col("needs_review")) / F.col("answers")).cast("int")
+    text = F.concat(F.col("non_compliant").cast("string"), F.lit(" of "), F.col("answers").cast("string"), F.lit(" answers are non-compliant, "), F.col("needs_review").cast("string"), F.lit(" need review"))
+    return counts.select("analysis_id", score.alias("risk_score"), text.alias("overall_summary"))
+
+
 def durations(analyses: DataFrame) -> DataFrame:
     """(id, millis): time from start to end; null while one of them is missing."""
     return analyses.select("id", F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("completed_at")).alias("millis"))

@@ -581,6 +581,29 @@ def judgments_by_analysis(spark, sf_dir):
     return rollup.judgments_by_analysis(table(spark, sf_dir, "compliance_result"), table(spark, sf_dir, "analyze_clause"))
 
 
+@query("""
+SELECT c.analysis_id, CAST(50 * (2 * count(*) FILTER (lower(replace(r.status, '-', '_')) = 'non_compliant') + count(*) FILTER (lower(replace(r.status, '-', '_')) = 'needs_review')) // count(*) AS INTEGER) AS risk_score,
+  count(*) FILTER (lower(replace(r.status, '-', '_')) = 'non_compliant') || ' of ' || count(*) || ' answers are non-compliant, ' || count(*) FILTER (lower(replace(r.status, '-', '_')) = 'needs_review') || ' need review' AS overall_summary
+FROM compliance_result r JOIN analyze_clause c ON r.clause_id = c.clause_id GROUP BY c.analysis_id""")
+def analysis_summaries(spark, sf_dir):
+    results, clauses = table(spark, sf_dir, "compliance_result", "clause_id", "status", "severity"), table(spark, sf_dir, "analyze_clause", "clause_id", "analysis_id")
+    return rollup.summaries(rollup.judgments_by_analysis(results, clauses))
+
+
+@query("SELECT id AS user_id, id NOT IN (SELECT user_id FROM agreements) AS is_empty FROM users")
+def empty_lists(spark, sf_dir):
+    """Whether each user's list of agreements is empty."""
+    owners = table(spark, sf_dir, "agreements", "user_id").distinct().select(F.col("user_id").alias("id"), F.lit(False).alias("none"))
+    return table(spark, sf_dir, "users", "id").join(owners, "id", "left").select(F.col("id").alias("user_id"), F.coalesce("none", F.lit(True)).alias("is_empty"))
+
+
+@query(f"SELECT id, '{{\"id\":\"' || id || '\",\"s3Key\":' || CAST(to_json(s3_key) AS VARCHAR) || '}}' AS body FROM {AGREEMENTS} WHERE s3_key IS NOT NULL")
+def upload_results(spark, sf_dir):
+    """What an upload gives back."""
+    stored = _once(spark, sf_dir, "agreements", "id", "s3_key").filter("s3_key is not null")
+    return stored.select("id", sources.responses(F.struct("id", F.col("s3_key").alias("s3Key"))).alias("body"))
+
+
 @query(f"SELECT id, date_diff('millisecond', started_at, completed_at) AS millis FROM {ANALYSES}")
 def analysis_durations(spark, sf_dir):
     return rollup.durations(_once(spark, sf_dir, "analyses", "id", "started_at", "completed_at"))
