@@ -9,8 +9,8 @@ are joined. Four things make that selective:
   parts, so that texts of neighbouring bands meet. At a similarity of 0.5 two texts may differ in two thirds of
   their runs, and no number of parts leaves a block equal for certain; ``plan`` has so many independent partitions
   that 5 or more blocks are equal in the mean.
-* Two equal blocks of rare runs make a candidate, as unlike texts share one by chance; where the mean is 5, one pair
-  in 25 at the threshold itself has fewer, and hardly any above it.
+* Two equal blocks make a candidate, as unlike texts share one by chance, and more often the more texts there are; where
+  the mean is 5, one pair in 25 at the threshold itself has fewer, and hardly any above it.
 * Runs that many texts have (``COMMON`` of all texts, counted over all of them in a table of fixed size) are left out
   of the blocks; a group of copies that is itself a large part of all texts meets on blocks of common runs. If the
   similarity of two texts is at least t, so is that of their rare runs or that of their common ones. So every text
@@ -46,7 +46,7 @@ EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8
 EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK, BUCKETS_A_TASK = 100_000, 256, 4
-EVIDENCE = 2  # equal blocks of rare runs that make a pair; of blocks with common ones, which are fewer, one is enough
+EVIDENCE = 2  # equal blocks that make two classes candidates
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
@@ -115,15 +115,15 @@ def plan(only_three: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return seeds, pairs
 
 
-def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature, with common runs) of every block that counts: of the sets without their common runs, of the
-    parts of common runs alone, and of the whole sets of texts that are mostly common."""
+def all_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of every block that counts: of the sets without their common runs, of the parts of common
+    runs alone, and of the whole sets of texts that are mostly common."""
     who, what = blocks(text[~common], value[~common], place[~common], n_texts)
     n, rare = np.bincount(text, minlength=n_texts), np.bincount(text[~common], minlength=n_texts)
     low = (rare <= LOW * n)[text]
     who2, what2 = blocks(text[low], value[low], place[low], n_texts, whole=True)
     who3, what3 = common_blocks(text, value, place, common, n_texts)
-    return np.concatenate([who, who2, who3]), np.concatenate([what, what2, what3]), np.repeat([False, True], [len(who) + len(who2), len(who3)])
+    return np.concatenate([who, who2, who3]), np.concatenate([what, what2, what3])
 
 
 def common_blocks(text: np.ndarray, value: np.ndarray, place: np.ndarray, common: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,12 +202,12 @@ def _signatures(column: str, size: int, min_words: int, packed: bytes, buckets:
         one = np.zeros(batch.num_rows, bool)
         one[owner[np.unique(kind, return_index=True)[1]]] = True
         text, value, place = (x[one[text]] for x in (text, value, place))
-        who, what, with_common = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
+        who, what = all_blocks(text, value, place, is_common[_slot(value)], batch.num_rows)
         if not len(who):
             return None
         of = kind[np.searchsorted(owner, who)]
         bucket = (what % np.uint64(buckets)).astype(np.int32)
-        what = what >> np.uint64(32) & ~np.uint64(1) | with_common.astype(np.uint64)
+        what = what >> np.uint64(32)
         order = np.lexsort((what, bucket))
         what, of, bucket = what[order], of[order], bucket[order]
         start = _starts(bucket)
@@ -253,44 +253,41 @@ def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     start = _starts(what)
     size = np.diff(np.append(start, len(what)))
     bucket = key[0].as_py()
-    for weight in (1, EVIDENCE):
-        own = (what[start] & np.uint64(1)) == (weight > 1)
-        for m in np.unique(size[own & (size > 1) & (size <= BLOCK)]):
-            first = start[own & (size == m)]
-            i, j = np.triu_indices(int(m), 1)
-            at_once = max(1, 200_000 // len(i))
-            for k in range(0, len(first), at_once):
-                a, b = (_planes(of[first[k : k + at_once, None] + x].ravel(), CLASS_BYTES) for x in (i, j))
-                yield _met_rows([(bucket, weight, a, b, None, None, None, None)])
-        for a, m in zip(start[own & (size > BLOCK)], size[own & (size > BLOCK)]):
-            blocks = -(-int(m) // BLOCK)
-            for k in range(0, blocks, 1000):
-                yield _met_rows([(bucket, weight, None, None, int(what[a]), x, blocks, of[a + x * BLOCK : min(a + (x + 1) * BLOCK, a + m)].view(np.int64)) for x in range(k, min(k + 1000, blocks))])
+    for m in np.unique(size[(size > 1) & (size <= BLOCK)]):
+        first = start[size == m]
+        i, j = np.triu_indices(int(m), 1)
+        at_once = max(1, 200_000 // len(i))
+        for k in range(0, len(first), at_once):
+            a, b = (_planes(of[first[k : k + at_once, None] + x].ravel(), CLASS_BYTES) for x in (i, j))
+            yield _met_rows([(bucket, a, b, None, None, None, None)])
+    for a, m in zip(start[size > BLOCK], size[size > BLOCK]):
+        blocks = -(-int(m) // BLOCK)
+        for k in range(0, blocks, 1000):
+            yield _met_rows([(bucket, None, None, int(what[a]), x, blocks, of[a + x * BLOCK : min(a + (x + 1) * BLOCK, a + m)].view(np.int64)) for x in range(k, min(k + 1000, blocks))])
 
 
 # what Spark reads to choose the form that takes and gives one batch after the other
 _bucket_met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-MET = "bucket int, weight int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
-PAIRS = "short_a bigint, short_b bigint, weight int"
+MET = "bucket int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
+PAIRS = "short_a bigint, short_b bigint"
 
 
 def _met_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MET.split(", ")])
 
 
-def _pairs_of(sides: list[tuple[np.ndarray, np.ndarray]], weights: list[int]) -> pa.RecordBatch:
+def _pairs_of(sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """The pairs, lower class first, without those of a class with itself."""
     a, b = (np.concatenate([s[k] for s in sides]).view(np.int64) if sides else np.zeros(0, np.int64) for k in (0, 1))
-    weight = np.repeat(weights, [len(s[0]) for s in sides]).astype(np.int32)
     other = a != b
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other]), pa.array(weight[other])], ["short_a", "short_b", "weight"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], ["short_a", "short_b"])
 
 
 def _unpacked_pairs():
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right, weights = (batch.column(c).to_pylist() for c in ("left", "right", "weight"))
-        return _pairs_of([(_from_planes(x, CLASS_BYTES), _from_planes(y, CLASS_BYTES)) for x, y in zip(left, right)], weights)
+        left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+        return _pairs_of([(_from_planes(x, CLASS_BYTES), _from_planes(y, CLASS_BYTES)) for x, y in zip(left, right)])
 
     return run
 
@@ -298,13 +295,13 @@ def _unpacked_pairs():
 def _crossed_blocks():
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Each block meets itself once, of which the pairs with the lower class first are kept, and others wholly."""
-        left, right, weights, same = (batch.column(c).to_pylist() for c in ("left", "right", "weight", "same"))
+        left, right, same = (batch.column(c).to_pylist() for c in ("left", "right", "same"))
         sides = []
         for x, y, own in zip(left, right, same):
             x, y = np.array(x, np.int64), np.array(y, np.int64)
             i, j = np.triu_indices(len(x), 1) if own else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
             sides.append((x[i], y[j]))
-        return _pairs_of(sides, weights)
+        return _pairs_of(sides)
 
     return run
 
@@ -312,12 +309,12 @@ def _crossed_blocks():
 def met_pairs(met: DataFrame) -> DataFrame:
     """(short_a, short_b) of the classes that met with enough evidence. The blocks of a hot signature are dealt over all
     tasks, joined by signature and block, so that no task has it whole."""
-    cold = per_batch(met.filter("blocks is null").select("left", "right", "weight"), PAIRS, _unpacked_pairs)
+    cold = per_batch(met.filter("blocks is null").select("left", "right"), PAIRS, _unpacked_pairs)
     hot = met.filter("blocks > 1")
-    left = hot.select("bucket", "signature", "weight", F.col("block").alias("from"), F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    left = hot.select("bucket", "signature", F.col("block").alias("from"), F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = hot.select("bucket", "signature", "block", F.col("classes").alias("right"))
-    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right", "weight", (F.col("from") == F.col("block")).alias("same")), PAIRS, _crossed_blocks)
-    return cold.unionByName(crossed).groupBy("short_a", "short_b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= EVIDENCE).select("short_a", "short_b")
+    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right", (F.col("from") == F.col("block")).alias("same")), PAIRS, _crossed_blocks)
+    return cold.unionByName(crossed).groupBy("short_a", "short_b").agg(F.count("*").alias("equal")).filter(F.col("equal") >= EVIDENCE).select("short_a", "short_b")
 
 
 def sketch_level(number: np.ndarray) -> np.ndarray:
