@@ -369,7 +369,7 @@ def _edges(s: Stream, k: int, stop: int, last: int, corpus: Corpus) -> Iterator[
         if hyphen and not line:
             return
         if line:
-            if hyphen in ("-", "‐", "‑") and hyphen:
+            if hyphen in ("-", "‐", "‑"):
                 whole = f"{s.words[j]}-{s.words[j + 1]}"
                 if j == k and (whole in corpus.words or s.words[j] in corpus.words and s.words[j + 1] in corpus.words):  # a compound at its own hyphen
                     yield 2, (s.words[j], s.words[j + 1]) if whole not in corpus.words else (whole,), 0.0, f"{raw}{hyphen}{s.text[s.start[j + 1] : s.end[j + 1]]}", None
