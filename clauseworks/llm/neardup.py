@@ -25,7 +25,7 @@ Exact copies (the same set of runs) are one class from the start and are compare
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +46,9 @@ EVIDENCE_OF_TWO, EVIDENCE_OF_THREE, TRIPLES_FROM, MOST_SEEDS, APART = 90, 400, 8
 EVIDENCE_OF_FOUR, FOUR, APART_SHARE = 640, 4, 0.25  # for parts of common runs alone
 SKETCH = 256  # bits of the smallest sketch
 PER_BUCKET, BLOCK, BUCKETS_A_TASK = 100_000, 256, 4
-EVIDENCE = 2  # equal blocks that make two classes candidates
+EVIDENCE = 2  # equal blocks that make two classes candidates, two at least
+ROW, PAIRS_AT_ONCE = 20_000, 500_000  # classes of a packed row of what met; pairs that a task of these rows holds
+PER_PART, LEAST_PARTS, PARTS_A_TASK, PER_CROSSING = 1_000_000, 64, 4, 4_000_000  # pairs of a part where they are counted, and of a task that crosses blocks
 CLASS_BYTES = 5  # of a class in the join of signatures; classes alike in them are told apart by the check
 
 
@@ -238,8 +240,8 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
 def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's signatures that several classes have: ``MET``.
 
-    A signature of up to ``BLOCK`` classes gives their pairs, many signatures' in one row, packed. A hot one gives its
-    classes, ``BLOCK`` in a row: what comes out grows with the classes, not with their pairs."""
+    Signatures of up to ``BLOCK`` classes give their classes, those of as many classes together in packed rows. A hot one
+    gives its classes, ``BLOCK`` in a row: what comes out grows with the classes, not with their pairs."""
     whats, ofs = [], []
     for batch in batches:
         for x, y in zip(batch.column("signatures").to_pylist(), batch.column("classes").to_pylist()):
@@ -253,13 +255,9 @@ def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     start = _starts(what)
     size = np.diff(np.append(start, len(what)))
     bucket = key[0].as_py()
-    for m in np.unique(size[(size > 1) & (size <= BLOCK)]):
-        first = start[size == m]
-        i, j = np.triu_indices(int(m), 1)
-        at_once = max(1, 200_000 // len(i))
-        for k in range(0, len(first), at_once):
-            a, b = (_planes(of[first[k : k + at_once, None] + x].ravel(), CLASS_BYTES) for x in (i, j))
-            yield _met_rows([(bucket, a, b, None, None, None, None)])
+    for m in np.unique(size[(size > 1) & (size <= BLOCK)]).tolist():
+        first, at_once = start[size == m], ROW // m
+        yield _met_rows([(bucket, _planes(of[first[k : k + at_once, None] + np.arange(m)].ravel(), CLASS_BYTES), m, None, None, None, None) for k in range(0, len(first), at_once)])
     for a, m in zip(start[size > BLOCK], size[size > BLOCK]):
         blocks = -(-int(m) // BLOCK)
         for k in range(0, blocks, 1000):
@@ -268,53 +266,115 @@ def _bucket_met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 # what Spark reads to choose the form that takes and gives one batch after the other
 _bucket_met.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-MET = "bucket int, left binary, right binary, signature bigint, block int, blocks int, classes array<bigint>"
+MET = "bucket int, packed binary, size int, signature bigint, block int, blocks int, classes array<bigint>"
 PAIRS = "short_a bigint, short_b bigint"
 
 
 def _met_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MET.split(", ")])
 
 
-def _pairs_of(sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """The pairs, lower class first, without those of a class with itself."""
-    a, b = (np.concatenate([s[k] for s in sides]).view(np.int64) if sides else np.zeros(0, np.int64) for k in (0, 1))
+def _cold_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of packed rows' signatures, at most ``PAIRS_AT_ONCE`` at a time."""
+    for raw, m in zip(batch.column("packed"), batch.column("size").to_pylist()):
+        of = _from_planes(raw.as_py(), CLASS_BYTES).reshape(-1, m)
+        i, j = np.triu_indices(m, 1)
+        at_once = PAIRS_AT_ONCE // len(i)
+        for k in range(0, len(of), at_once):
+            yield of[k : k + at_once, i].ravel(), of[k : k + at_once, j].ravel()
+
+
+def _crossed_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of two blocks, at most ``BLOCK`` squared at a time. Each block meets itself once, of which the pairs with
+    the lower class first are kept, and others wholly."""
+    for left, right, own in zip(*(batch.column(c) for c in ("left", "right", "same"))):
+        x, y = (c.values.to_numpy().view(np.uint64) for c in (left, right))
+        i, j = np.triu_indices(len(x), 1) if own.as_py() else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+        yield x[i], y[j]
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a ^ mixed(b, 901), 902)
+
+
+def _parted(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """The pairs, lower class first and without those of a class with itself, one row for each part."""
+    a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
     other = a != b
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], ["short_a", "short_b"])
+    a, b = np.minimum(a, b)[other], np.maximum(a, b)[other]
+    part = (_pair_hash(a, b) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    a, b, part = a[order], b[order], part[order]
+    start = _starts(part)
+    ends = np.append(start[1:], len(part)).astype(np.int64)
+    rows = [pa.array([_planes(x[p:q], CLASS_BYTES) for p, q in zip(start, ends)], pa.binary()) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(part[start], pa.int32()), *rows], ["part", "left", "right"])
 
 
-def _unpacked_pairs():
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
-        return _pairs_of([(_from_planes(x, CLASS_BYTES), _from_planes(y, CLASS_BYTES)) for x, y in zip(left, right)])
+def parted(df: DataFrame, pairs_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], parts: int) -> DataFrame:
+    """(part, left, right) of the pairs, packed. A task holds about ``PAIRS_AT_ONCE`` of them, however many its rows have:
+    a row of a few kB stands for tens of thousands of pairs."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for a, b in pairs_of(batch):
+                held.append((a, b))
+                n += len(a)
+                if n >= PAIRS_AT_ONCE:
+                    yield _parted(held, parts)
+                    held, n = [], 0
+        if held:
+            yield _parted(held, parts)
 
+    return spread(df).mapInArrow(run, "part int, left binary, right binary")
 
-def _crossed_blocks():
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Each block meets itself once, of which the pairs with the lower class first are kept, and others wholly."""
-        left, right, same = (batch.column(c).to_pylist() for c in ("left", "right", "same"))
-        sides = []
-        for x, y, own in zip(left, right, same):
-            x, y = np.array(x, np.int64), np.array(y, np.int64)
-            i, j = np.triu_indices(len(x), 1) if own else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
-            sides.append((x[i], y[j]))
-        return _pairs_of(sides)
 
-    return run
+def _enough(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's pairs that came ``EVIDENCE`` times."""
+    sides: tuple[list, list] = ([], [])
+    for batch in batches:
+        for side, column in zip(sides, ("left", "right")):
+            side += [_from_planes(x, CLASS_BYTES) for x in batch.column(column).to_pylist()]
+    a, b = map(np.concatenate, sides)
+    # most come once: only those whose hash comes again are sorted as pairs
+    hashed = _pair_hash(a, b)
+    again = np.sort(hashed)
+    again = again[1:][again[1:] == again[:-1]]
+    if not len(again):
+        return
+    hit = again[np.minimum(np.searchsorted(again, hashed), len(again) - 1)] == hashed
+    a, b = a[hit], b[hit]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    start = _starts(a, b)
+    good = start[np.diff(np.append(start, len(a))) >= EVIDENCE]
+    yield pa.RecordBatch.from_arrays([pa.array(x[good].view(np.int64)) for x in (a, b)], ["short_a", "short_b"])
+
+
+_enough.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
 
 
 def met_pairs(met: DataFrame) -> DataFrame:
     """(short_a, short_b) of the classes that met with enough evidence. The blocks of a hot signature are dealt over all
-    tasks, joined by signature and block, so that no task has it whole."""
-    cold = per_batch(met.filter("blocks is null").select("left", "right"), PAIRS, _unpacked_pairs)
-    hot = met.filter("blocks > 1")
-    left = hot.select("bucket", "signature", F.col("block").alias("from"), F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    right = hot.select("bucket", "signature", "block", F.col("classes").alias("right"))
-    crossed = per_batch(left.join(right, ["bucket", "signature", "block"]).select("left", "right", (F.col("from") == F.col("block")).alias("same")), PAIRS, _crossed_blocks)
-    return cold.unionByName(crossed).groupBy("short_a", "short_b").agg(F.count("*").alias("equal")).filter(F.col("equal") >= EVIDENCE).select("short_a", "short_b")
+    tasks, joined by signature and block, so that no task has it whole; the pairs are counted in as many parts as
+    their number needs."""
+    ahead = F.col("blocks") - F.col("block")  # blocks that a block meets, itself included
+    cold, hot = met.agg(
+        F.sum(F.length("packed") / CLASS_BYTES * (F.col("size") - 1) / 2),
+        F.sum(F.size("classes") * F.lit(float(BLOCK)) * ahead),
+    ).first()
+    parts = max(LEAST_PARTS, int(((cold or 0) + (hot or 0)) / PER_PART))
+    blocks = met.filter("blocks > 1")
+    left = blocks.select("bucket", "signature", F.col("block").alias("from"), F.col("classes").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    right = blocks.select("bucket", "signature", "block", F.col("classes").alias("right"))
+    # rows so small are else thought to be little work
+    crossings = left.join(right, ["bucket", "signature", "block"]).repartition(1 + int((hot or 0) / PER_CROSSING), "bucket", "signature", "block", "from")
+    both = parted(met.filter("blocks is null").select("packed", "size"), _cold_pairs, parts).unionByName(
+        parted(crossings.select("left", "right", (F.col("from") == F.col("block")).alias("same")), _crossed_pairs, parts)
+    )
+    return both.repartition(max(1, parts // PARTS_A_TASK), "part").groupBy("part").applyInArrow(_enough, PAIRS)
 
 
 def sketch_level(number: np.ndarray) -> np.ndarray:
